@@ -17,6 +17,8 @@ from .common import sized, stored, table, text_hash
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hashes (16 bytes each) of dropped lines up to which their table is broadcast; beyond, texts are shuffled once.
+BROADCAST_HASHES = 1_000_000
 #: Batches into which the query deals the table.
 BATCHES = 4
 
@@ -82,7 +84,8 @@ class LineRuns:
         found = base.select("th", F.crc32(F.col("text").cast("binary")).alias("tc"), F.explode(keys).alias("k"))
         found = found.select("th", "tc", "k.h", "k.c").join(sized(frequent), ["h", "c"], "left_semi").distinct()
         gone = stored(found.groupBy("th", "tc").agg(F.collect_list(F.struct("h", "c")).alias("gone")), "gone")
-        met = base.withColumn("tc", F.crc32(F.col("text").cast("binary"))).join(sized(gone), ["th", "tc"], "left")
+        hashes = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+        met = base.withColumn("tc", F.crc32(F.col("text").cast("binary"))).join(F.broadcast(gone) if hashes <= BROADCAST_HASHES else gone, ["th", "tc"], "left")
         lines = lines_of(F.col("text"))
         kept = F.filter(lines, lambda x: ~F.array_contains(F.col("gone"), _hashed(line_key(x))))
         met = met.select("doc_id", "text", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), kept).alias("left"))
