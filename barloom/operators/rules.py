@@ -17,6 +17,10 @@ from . import indicators as I
 
 Rule = Callable[[Sheet], tuple]
 RULES: dict[str, Rule] = {}
+#: Rules over an indicator with a non-linear recurrence: it is added to the bars first.
+PREPARED = {
+    "supertrend": ("supertrend", {}), "supertrend_macd": ("supertrend", {}), "parabolic_sar": ("parabolic_sar", {}), "fisher_crossover": ("fisher", {"n": 10}),
+}
 LATCHED = {"trend_follower", "macd_ma", "kdj", "bb_keltner_squeeze", "vwap_trend", "obv_ema_trend", "oscillator_overlord", "bb_squeeze", "chandelier_exit"}
 
 
@@ -43,7 +47,8 @@ def turned(s: Sheet, flag: Column) -> tuple[Column, Column]:
 
 
 def signals(bars: DataFrame, name: str) -> DataFrame:
-    s = Sheet(bars)
+    kernel, parameters = PREPARED.get(name, (None, {}))
+    s = Sheet(I.with_indicator(bars, kernel, **parameters) if kernel else bars)
     entry, leave, *strength = RULES[name](s)
     entry, leave = s.put(F.coalesce(entry, F.lit(False))), s.put(F.coalesce(leave, F.lit(False)))
     if name in LATCHED:
@@ -436,6 +441,28 @@ def wolfstein(s):
     return (a > 27.5) & (p > m), a < 20.5, a / 100
 
 
+@rule
+def supertrend(s):
+    return turned(s, F.col("bullish"))
+
+
+@rule
+def supertrend_macd(s):
+    (h,) = _out(s, "macd", "histogram")
+    return F.col("bullish") & (h > 0), F.col("bearish")
+
+
+@rule
+def parabolic_sar(s):
+    return turned(s, F.col("bullish"))
+
+
+@rule
+def fisher_crossover(s):
+    a, b = F.col("fisher"), F.col("signal")
+    return crossed_up(s, a, b), crossed_down(s, a, b)
+
+
 def paired(bars: DataFrame, name: str) -> DataFrame:
     """Trades of a rule: a long while out enters, an exit while in leaves, the last bar closes; return on close."""
     marks = signals(bars, name).select("symbol", "tf", "t", "direction")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import indicators, patterns, resample, rules, trades
+from ..operators import indicators, patterns, resample, rules, series, trades
 from ..sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,40 @@ QUERIES: dict[str, Query] = {
     "order_projection": lambda s, d: trades.order_projection(_order_events(s, d)),
     "leaderboard": _leaderboard,
 }
+
+
+def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_custkey").distinct()
+    return o.select("id", F.lag("id").over(Window.partitionBy("o_custkey").orderBy("id")).alias("previous_id"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.ticks_of_events(spark, sf_dir).select(F.col("symbol").alias("source"), F.col("t").alias("at"), F.floor("price").alias("ms"))
+
+
+def _sized(mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        b = indicators.with_indicator(bars(spark, sf_dir), "atr")
+        x = b.join(rules.signals(bars(spark, sf_dir), "donchian_breakout"), ["symbol", "tf", "t"]).where("direction = 'long'")
+        return rounded(series.sized_positions(x.withColumns({"price": F.col("c"), "stop": F.col("c") - F.col("atr")}), mode).select("symbol", "t", "qty"), 4)
+
+    return run
+
+
+QUERIES |= {
+    "bar_returns": lambda s, d: rounded(series.bar_returns(bars(s, d))),
+    "correlation_matrix": lambda s, d: rounded(series.correlations(bars(s, d))),
+    "rolling_sharpe": lambda s, d: rounded(series.rolling_sharpe(bars(s, d)), 4),
+    "dedup_flat": lambda s, d: series.dedup_flat(bars(s, d)),
+    "change_only": lambda s, d: series.change_only(bars(s, d)),
+    "time_bucket": lambda s, d: series.time_bucket(bars(s, d), 50),
+    "order_rate_limit": lambda s, d: series.order_rate(source.ticks_of_events(s, d)),
+    "feed_latency_stats": lambda s, d: series.latency_stats(_samples(s, d)),
+    "walk_forward_splits": lambda s, d: series.walk_forward_splits(bars(s, d)),
+    "bars_in_trade": lambda s, d: rounded(series.excursions(rules.paired(bars(s, d), "donchian_breakout"), bars(s, d))),
+    "strategy_lineage": lambda s, d: series.lineage(_strategies(s, d)),
+}
+QUERIES |= {f"sizing_{m}": _sized(m) for m in ("percent_equity", "fixed_usd", "fixed_qty", "equal_weight", "fixed_fractional", "atr")}
 QUERIES |= {name: _indicator(name) for name in indicators.INDICATORS}
 QUERIES |= {f"rule_{name}": _rule(name) for name in rules.RULES}
 
@@ -218,3 +252,19 @@ SELECT order_id, min(ms) FILTER (k = 'view') AS placed_at, max(ms) AS last_at, C
 x AS (SELECT e.symbol, e.tf, e.t, e.y AS a, g.y AS b, lag(e.y) OVER (PARTITION BY e.symbol ORDER BY e.t) AS pa, lag(g.y) OVER (PARTITION BY e.symbol ORDER BY e.t) AS pb FROM e JOIN g ON e.symbol = g.symbol AND e.t = g.t)
 SELECT symbol, tf, t, 'ma_crossover' AS rule, CASE WHEN a > b THEN 'long' ELSE 'exit' END AS direction, 1.0::DOUBLE AS strength FROM x WHERE (pa <= pb AND a > b) OR (pa >= pb AND a < b)""",
 }
+
+ORACLE_SQL |= {
+    "bar_returns": f"WITH {_bars_sql()} SELECT symbol, t, round(c, 6) AS c, round(c / lag(c) OVER {_BY} - 1, 6) AS ret FROM bars",
+    "correlation_matrix": f"WITH {_bars_sql()} SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(coalesce(r, 0), 6) END AS r FROM (SELECT p.symbol AS a, q.symbol AS b, corr(p.c, q.c) AS r FROM bars p JOIN bars q ON p.t = q.t GROUP BY p.symbol, q.symbol)",
+    "dedup_flat": f"WITH {_bars_sql()}, x AS (SELECT symbol, t, c, lag(c) OVER {_BY} AS a, lead(c) OVER {_BY} AS b FROM bars) SELECT symbol, t, c FROM x WHERE a IS NULL OR b IS NULL OR a <> c OR b <> c",
+    "change_only": f"WITH {_bars_sql()}, x AS (SELECT symbol, t, c, lag(c) OVER {_BY} AS a, lead(c) OVER {_BY} AS b FROM bars) SELECT symbol, t, c FROM x WHERE a IS NULL OR b IS NULL OR a <> c",
+    "time_bucket": f"""WITH {_bars_sql()}, x AS (SELECT symbol, t, c, (row_number() OVER {_BY} - 1) * 50 // count(*) OVER (PARTITION BY symbol) AS bucket FROM bars)
+SELECT symbol, bucket, arg_min(t, (c, t)) AS low_t, min(c) AS low, arg_max(t, (c, -t)) AS high_t, max(c) AS high FROM x GROUP BY ALL""",
+    "order_rate_limit": """SELECT event_type AS symbol, epoch_us(ts) // 1000 AS t, event_id,
+  count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS n FROM events""",
+    "feed_latency_stats": """WITH r AS (SELECT event_type AS source, floor(value)::BIGINT AS ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 DESC, floor(value) DESC) AS rn FROM events),
+g AS (SELECT source, list_sort(list(ms)) AS x, sum(ms) AS s FROM r WHERE rn <= 1000 GROUP BY source)
+SELECT source, len(x)::INTEGER AS n, floor(s / len(x))::BIGINT AS mean, x[len(x) * 50 // 100 + 1] AS p50, x[len(x) * 95 // 100 + 1] AS p95, x[len(x) * 99 // 100 + 1] AS p99, x[-1] AS max FROM g""",
+    "strategy_lineage": """WITH RECURSIVE o AS (SELECT DISTINCT o_orderkey AS id, o_custkey FROM orders), s AS (SELECT id, lag(id) OVER (PARTITION BY o_custkey ORDER BY id) AS previous_id FROM o),
+r AS (SELECT id, id AS root, 0 AS depth FROM s WHERE previous_id IS NULL UNION ALL SELECT s.id, r.root, r.depth + 1 FROM s JOIN r ON s.previous_id = r.id) SELECT * FROM r""",
+}
