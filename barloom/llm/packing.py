@@ -24,7 +24,7 @@ from .common import stored, table
 
 WINDOW, END = 2048, 1
 #: Rests that one group packs; bounds a task, and costs at most the padding of a last window a group.
-RESTS_PER_GROUP = 20_000
+RESTS_PER_GROUP = 5_000
 _ENCODERS: dict[str, object] = {}
 
 
