@@ -1,27 +1,31 @@
 """Signal rules over bars: ``signals(bars, rule)`` gives symbol, tf, t, rule, direction, strength.
 
 A rule is an entry and an exit condition over indicator columns. Entry is tested first and one signal leaves
-per bar. Latched rules enter only while out and leave only while in; their conditions exclude each other, so the
-state is the last of them that held. Conditions are null, and so false, until all inputs are warm.
+per bar. Latched rules enter only while out and leave only while in. Rules whose exit depends on what they saw since
+their entry fold over each series (``FOLDED``). Conditions are null, and so false, until all inputs are warm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sheet import Sheet
+from . import charts
 from . import indicators as I
 
 Rule = Callable[[Sheet], tuple]
 RULES: dict[str, Rule] = {}
+#: Rules as folds: the columns of a bar that they need, and the fold that yields a direction and a strength, or nothing.
+FOLDED: dict[str, tuple[Callable[[Sheet], list[Column]], Callable[[Iterator], Iterator]]] = {}
 #: Rules over an indicator with a non-linear recurrence: it is added to the bars first.
 PREPARED = {
     "supertrend": ("supertrend", {}), "supertrend_macd": ("supertrend", {}), "parabolic_sar": ("parabolic_sar", {}), "fisher_crossover": ("fisher", {"n": 10}),
 }
-LATCHED = {"trend_follower", "macd_ma", "kdj", "bb_keltner_squeeze", "vwap_trend", "obv_ema_trend", "oscillator_overlord", "bb_squeeze", "chandelier_exit"}
+LATCHED = {"trend_follower", "macd_ma", "kdj", "bb_keltner_squeeze", "vwap_trend", "obv_ema_trend", "oscillator_overlord", "bb_squeeze", "chandelier_exit", "ma_pullback", "mean_reversion"}
 
 
 def rule(f: Rule) -> Rule:
@@ -46,17 +50,34 @@ def turned(s: Sheet, flag: Column) -> tuple[Column, Column]:
     return flag & ~before, ~flag & before
 
 
+def latched(s: Sheet, entry: Column, leave: Column) -> tuple[Column, Column]:
+    """Entries while out and exits while in. A bar where both conditions hold turns the state over, so the state is
+    the last bar where one alone held, turned over once for each bar since where both did."""
+    past = s.w.rowsBetween(Window.unboundedPreceding, -1)
+    turns = s.put(F.sum((entry & leave).cast("int")).over(s.w.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.struct(entry.cast("int").alias("state"), turns.alias("turns"))
+    base = s.put(F.last(F.when(entry != leave, alone), ignorenulls=True).over(past))
+    held = s.put((F.coalesce(base["state"], F.lit(0)) + F.coalesce(s.lag(turns), F.lit(0)) - F.coalesce(base["turns"], F.lit(0))) % 2)
+    return entry & (held == 0), leave & (held == 1)
+
+
+def emitted(s: Sheet, name: str, entry: Column, leave: Column, strength: Column | None = None, **more: Column) -> DataFrame:
+    """One signal a bar, entries first; ``more`` are columns of entries."""
+    entry, leave = s.put(F.coalesce(entry, F.lit(False))), s.put(F.coalesce(leave, F.lit(False)))
+    if name in LATCHED:
+        entry, leave = latched(s, entry, leave)
+    power = F.lit(1.0) if strength is None else F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength))
+    side = F.when(entry, "long").when(leave, "exit").alias("direction")
+    extra = (F.when(entry, x).alias(k) for k, x in more.items())
+    return s.df.select("symbol", "tf", "t", F.lit(name).alias("rule"), side, F.when(entry, power).otherwise(1.0).alias("strength"), *extra).where("direction IS NOT NULL")
+
+
 def signals(bars: DataFrame, name: str) -> DataFrame:
+    if name in FOLDED:
+        return _folded(bars, name)
     kernel, parameters = PREPARED.get(name, (None, {}))
     s = Sheet(I.with_indicator(bars, kernel, **parameters) if kernel else bars)
-    entry, leave, *strength = RULES[name](s)
-    entry, leave = s.put(F.coalesce(entry, F.lit(False))), s.put(F.coalesce(leave, F.lit(False)))
-    if name in LATCHED:
-        held = s.put(F.coalesce(F.last(F.when(entry, 1).when(leave, 0), ignorenulls=True).over(s.w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        entry, leave = entry & (held == 0), leave & (held == 1)
-    power = F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength[0])) if strength else F.lit(1.0)
-    out = s.df.select("symbol", "tf", "t", F.lit(name).alias("rule"), F.when(entry, "long").when(leave, "exit").alias("direction"), F.when(entry, power).otherwise(1.0).alias("strength"))
-    return out.where("direction IS NOT NULL")
+    return emitted(s, name, *RULES[name](s))
 
 
 def cross_rule(name: str, pair: Callable[[Sheet], tuple[Column, Column]], *, up: Callable | None = None) -> None:
@@ -463,6 +484,130 @@ def fisher_crossover(s):
     return crossed_up(s, a, b), crossed_down(s, a, b)
 
 
+@rule
+def ma_pullback(s):
+    m = s.sma(s.c, 50)
+    away = s.put((s.c - m) / m)
+    close_by = s.put((away >= 0) & (away <= 0.02))
+    return s.lag(close_by) & (away > 0.02), s.c < m
+
+
+@rule
+def mean_reversion(s):
+    """Four closes in a row below the lower band while out, then one above it. A bar that leaves starts the row anew."""
+    up, low = _out(s, "bbands", "upper", "lower")
+    (r,) = _out(s, "rsi", "value")
+    leave = s.put((s.c >= up) | (r > 70))
+    below = s.put(((s.c < low) & r.isNotNull() & ~leave).cast("int"))
+    before = F.min(below).over(s.w.rowsBetween(-4, -1))
+    return (s.put(before) == 1) & s.lag(below, 4).isNotNull() & (s.c > low), leave, (50 - r) / 50
+
+
+@rule
+def orb_breakout(s, bars=30, gap=60):
+    """Breakouts of the range of a session's first bars; a session ends where bars are further apart than the gap."""
+    session = s.put(F.coalesce(I._session(s, gap), F.lit(0)))
+    w = Window.partitionBy("symbol", "tf", session).orderBy("t")
+    place = s.put(F.row_number().over(w))
+    opening = lambda f, x: s.put(f(F.when(place <= bars, x)).over(w))
+    top, bottom = opening(F.max, s.h), opening(F.min, s.l)
+    ready = place > bars
+    return ready & (s.c > top), ready & (s.c < bottom), (s.c - top) / top
+
+
+@rule
+def waddah_attar(s):
+    line, _ = _out(s, "macd", "macd", "signal", fast=20, slow=40, signal=9)
+    up, low = _out(s, "bbands", "upper", "lower")
+    (a,) = _out(s, "atr", "atr", n=100)
+    line = s.put(F.when(a.isNotNull() & up.isNotNull(), line))
+    push = s.put((line - s.lag(line)) * 150)
+    sure = s.put((F.abs(push) > up - low) & (F.abs(push) > a * 3.7) & (push > 0))
+    return sure, ~sure
+
+
+@rule
+def pattern_breakout(s):
+    kinds = (
+        "double_bottom", "double_top", "inverse_head_and_shoulders", "head_and_shoulders", "ascending_triangle", "descending_triangle", "symmetric_triangle", "bull_flag", "falling_wedge",
+    )
+    best = charts.best_pattern(s, kinds)
+    warm = s.put(F.row_number().over(s.w) >= 20)
+    return warm & best["kind"].isin(*charts.BULLISH), warm & best["kind"].isin(*charts.BEARISH), best["confidence"]
+
+
+def _folded(bars: DataFrame, name: str) -> DataFrame:
+    inputs, fold = FOLDED[name]
+    s = Sheet(bars)
+    columns = [x.alias(f"x{i}") for i, x in enumerate(inputs(s))]
+    rows = s.df.select("symbol", "tf", "t", *columns)
+    names = [f"x{i}" for i in range(len(columns))]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        seen = list(fold(zip(*(pdf[x] for x in names), strict=True)))
+        out = pdf[["symbol", "tf", "t"]].assign(rule=name, direction=[x[0] if x else None for x in seen], strength=[x[1] if x else 1.0 for x in seen])
+        return out[out["direction"].notna()]
+
+    return rows.groupBy("symbol", "tf").applyInPandas(one, "symbol string, tf string, t long, rule string, direction string, strength double")
+
+
+def _trailing(bars: Iterator[tuple]) -> Iterator[tuple | None]:
+    top = stop = None
+    for c, average, width in bars:
+        signal = None
+        if average == average and width == width:  # both known
+            if top is None:
+                if c > average:
+                    top, stop, signal = c, c - width, ("long", 1.0)
+            else:
+                if c > top:
+                    top, stop = c, c - width
+                if c < stop:
+                    top, signal = None, ("exit", 1.0)
+        yield signal
+
+
+def _swings(bars: Iterator[tuple]) -> Iterator[tuple | None]:
+    stop = None
+    for c, breaks, bounces, floor, tight in bars:
+        signal = None
+        if floor == floor:
+            if stop is None:
+                if breaks:
+                    stop, signal = floor, ("long", 1.0)
+                elif bounces:
+                    stop, signal = tight, ("long", 0.8)
+            elif c < stop:
+                stop, signal = None, ("exit", 1.0)
+            else:
+                stop = max(stop, floor)
+        yield signal
+
+
+def _trailing_inputs(s: Sheet) -> list[Column]:
+    return [s.c, _emas(s, 20)[0], s.put(_out(s, "atr", "atr")[0] * 2)]
+
+
+def _swing_inputs(s: Sheet, n: int = 5) -> list[Column]:
+    """Close, breakout above the last swing high, pin bar near the last swing low, that low, and the pin bar's own stop."""
+    (e,), (a,) = _emas(s, 50), _out(s, "atr", "atr")
+    warm = e.isNotNull() & a.isNotNull()
+    around = lambda f, x: [f(x).over(s.w.rowsBetween(*r)) for r in ((-2 * n, -n - 1), (1 - n, 0))]
+    full = F.count(F.lit(1)).over(s.w.rowsBetween(-2 * n, 0)) == 2 * n + 1
+    mid_h, mid_l = s.lag(s.h, n), s.lag(s.l, n)
+    peak = s.put(warm & full & (mid_h > F.greatest(*around(F.max, "h"))))
+    dip = s.put(warm & full & (mid_l < F.least(*around(F.min, "l"))))
+    top, floor = (s.put(F.last(F.when(flag, x), ignorenulls=True).over(s.w)) for flag, x in ((peak, mid_h), (dip, mid_l)))
+    body, lower, upper = F.abs(s.c - s.o), F.least(s.o, s.c) - s.l, s.h - F.greatest(s.o, s.c)
+    pin = (body > 0) & (lower > body * 2) & (upper < body) & (F.abs(s.c - floor) < a * 0.5)
+    known, yes = top.isNotNull() & floor.isNotNull(), lambda x: s.put(F.coalesce(x & (s.c > e), F.lit(False)))
+    return [s.c, yes(s.c > top), yes(pin), s.put(F.when(known, floor)), s.put(s.l - a * 0.5)]
+
+
+FOLDED |= {"atr_trailing": (_trailing_inputs, _trailing), "price_action_swing": (_swing_inputs, _swings)}
+
+
 def paired(bars: DataFrame, name: str) -> DataFrame:
     """Trades of a rule: a long while out enters, an exit while in leaves, the last bar closes; return on close."""
     marks = signals(bars, name).select("symbol", "tf", "t", "direction")

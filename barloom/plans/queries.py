@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import indicators, patterns, resample, rules, series, trades
+from ..operators import charts, frames, indicators, patterns, resample, rules, series, trades
 from ..sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def _rule(name: str) -> Query:
     return lambda spark, sf_dir: rounded(rules.signals(bars(spark, sf_dir), name))
 
 
+def _two_frames(name: str) -> Query:
+    return lambda s, d: rounded(frames.two_frame_signals(bars(s, d, "M15"), bars(s, d), name, "M15", "H1"))
+
+
 def _leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     names = ("ma_crossover", "donchian_breakout", "highest_breakout")
@@ -117,7 +121,9 @@ QUERIES |= {
 }
 QUERIES |= {f"sizing_{m}": _sized(m) for m in ("percent_equity", "fixed_usd", "fixed_qty", "equal_weight", "fixed_fractional", "atr")}
 QUERIES |= {name: _indicator(name) for name in indicators.INDICATORS}
-QUERIES |= {f"rule_{name}": _rule(name) for name in rules.RULES}
+QUERIES |= {f"rule_{name}": _rule(name) for name in (*rules.RULES, *rules.FOLDED)}
+QUERIES |= {f"rule_{name}": _two_frames(name) for name in frames.BASE}
+QUERIES["chart_patterns"] = lambda s, d: rounded(charts.chart_patterns(bars(s, d)))
 
 
 def _bars_sql(tf: str = "H1", name: str = "bars") -> str:
@@ -254,6 +260,13 @@ SELECT symbol, tf, t, 'ma_crossover' AS rule, CASE WHEN a > b THEN 'long' ELSE '
 }
 
 ORACLE_SQL |= {
+    "rule_orb_breakout": f"""WITH {_bars_sql()}, g AS (SELECT *, coalesce((t - lag(t) OVER {_BY} > 3600000)::INT, 0) AS new FROM bars), s AS (SELECT *, sum(new) OVER {_BY} AS session FROM g),
+x AS (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY t) AS place FROM s), y AS (SELECT *, max(h) FILTER (place <= 30) OVER w AS top, min(l) FILTER (place <= 30) OVER w AS bottom FROM x WINDOW w AS (PARTITION BY symbol, session))
+SELECT symbol, tf, t, 'orb_breakout' AS rule, CASE WHEN c > top THEN 'long' ELSE 'exit' END AS direction, CASE WHEN c > top THEN round(least(1, (c - top) / top), 6) ELSE 1.0 END::DOUBLE AS strength FROM y WHERE place > 30 AND (c > top OR c < bottom)""",
+    "rule_ma_pullback": f"""WITH {_bars_sql()}, m AS (SELECT *, {_full('avg(c)', 50)} AS m FROM bars), n AS (SELECT *, c >= m AND (c - m) / m <= 0.02 AS near FROM m),
+e AS (SELECT *, CASE WHEN lag(near) OVER {_BY} AND (c - m) / m > 0.02 THEN 'long' WHEN c < m THEN 'exit' END AS mark FROM n),
+d AS (SELECT symbol, tf, t, mark, coalesce(lag(mark) OVER {_BY}, 'exit') AS before FROM e WHERE mark IS NOT NULL)
+SELECT symbol, tf, t, 'ma_pullback' AS rule, mark AS direction, 1.0::DOUBLE AS strength FROM d WHERE mark <> before""",
     "bar_returns": f"WITH {_bars_sql()} SELECT symbol, t, round(c, 6) AS c, round(c / lag(c) OVER {_BY} - 1, 6) AS ret FROM bars",
     "correlation_matrix": f"WITH {_bars_sql()} SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(coalesce(r, 0), 6) END AS r FROM (SELECT p.symbol AS a, q.symbol AS b, corr(p.c, q.c) AS r FROM bars p JOIN bars q ON p.t = q.t GROUP BY p.symbol, q.symbol)",
     "dedup_flat": f"WITH {_bars_sql()}, x AS (SELECT symbol, t, c, lag(c) OVER {_BY} AS a, lead(c) OVER {_BY} AS b FROM bars) SELECT symbol, t, c FROM x WHERE a IS NULL OR b IS NULL OR a <> c OR b <> c",
