@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import charts, frames, indicators, patterns, resample, rules, series, trades
+from ..operators import charts, frames, indicators, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,76 @@ QUERIES |= {
     "bars_in_trade": lambda s, d: rounded(series.excursions(rules.paired(bars(s, d), "donchian_breakout"), bars(s, d))),
     "strategy_lineage": lambda s, d: series.lineage(_strategies(s, d)),
 }
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakouts as entries at their close, with a stop at half and a target at one and a half times it."""
+    b = bars(spark, sf_dir)
+    at = b.join(rules.signals(b, "donchian_breakout").where("direction = 'long'").select("symbol", "tf", "t"), ["symbol", "tf", "t"])
+    return at.select("symbol", "tf", "t", F.lit("long").alias("side"), F.col("c").alias("entry_price"), (F.col("c") * 0.5).alias("stop"), (F.col("c") * 1.5).alias("target"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.barriers(bars(spark, sf_dir), _entries(spark, sf_dir), 24, trailing=0.6)
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.paired(bars(spark, sf_dir), "donchian_breakout")
+
+
+def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = indicators.with_indicator(bars(spark, sf_dir), "regime")
+    return x.select("symbol", "tf", "t", F.concat_ws("/", "trend.status", "volatility.status").alias("label"))
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("symbol").orderBy("entry_t")
+    return _trades(spark, sf_dir).select("symbol", (F.row_number().over(w) - 1).alias("i"), "ret")
+
+
+def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes of each walk-forward test window as curves."""
+    b = bars(spark, sf_dir)
+    met = b.join(series.walk_forward_splits(b), "symbol").where("t BETWEEN test_from AND test_to")
+    return met.select("symbol", "fold", "t", F.col("c").alias("equity"))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a position of its customer: its lines open, add and, the last of several, close; returned lines are cancelled."""
+    li, o = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("lineitem", "orders"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    k, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"k": k, "n": n})
+    action = F.when(F.col("k") == 1, "open").when(F.col("k") == F.col("n"), "close").otherwise("add")
+    price = F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0))
+    done = F.when(F.col("l_returnflag") == "R", "order_cancelled").otherwise("order_filled")
+    kinds = F.array(F.lit("order_place"), F.lit("order_placed"), done)
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("k").cast("string"))
+    rows = x.select(F.col("o_custkey").alias("hand"), F.col("l_orderkey").alias("trade"), "k", action.alias("action"), name("c").alias("client_id"), name("o").alias("order_id"),
+                    F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("side"), price.alias("price"), F.col("l_quantity").cast("double").alias("qty"), F.posexplode(kinds).alias("j", "kind"))
+    return risk.replayed(rows.withColumn("seq", F.col("k") * 3 + F.col("j")))
+
+
+QUERIES |= {
+    "exit_barriers": lambda s, d: rounded(_labelled(s, d)),
+    "exit_reasons": lambda s, d: risk.exit_reasons(_labelled(s, d), "symbol"),
+    "edge_guard": lambda s, d: rounded(risk.edge_guard(trades.trades_of(s, d)), 3),
+    "account_guards": lambda s, d: rounded(risk.account_guards(trades.trades_of(s, d)), 3),
+    "monthly_returns": lambda s, d: rounded(risk.monthly_returns(trades.equity(trades.trades_of(s, d))), 4),
+    "trade_quality": lambda s, d: rounded(risk.trade_quality(trades.trades_of(s, d), "hand")),
+    "trade_quality_by_side": lambda s, d: rounded(risk.trade_quality(trades.trades_of(s, d), "side")),
+    "buy_and_hold": lambda s, d: rounded(risk.buy_and_hold(bars(s, d)).drop("cagr_pct"), 4),
+    "sharpe_skill": lambda s, d: rounded(risk.skill(series.bar_returns(bars(s, d)), "symbol", trials=20)),
+    "sizing_kelly": lambda s, d: rounded(risk.kelly_sized(_trades(s, d))),
+    "sizing_capped": lambda s, d: rounded(risk.capped(_sized("fixed_qty")(s, d).join(bars(s, d).select("symbol", "t", F.col("c").alias("price")), ["symbol", "t"]), share=0.001)),
+    "regime_breakdown": lambda s, d: rounded(risk.by_regime(_trades(s, d), _regimes(s, d))),
+    "regime_changes": lambda s, d: risk.changes(_regimes(s, d)),
+    "bootstrap": lambda s, d: rounded(risk.bootstrap(_returns(s, d))),
+    "lttb": lambda s, d: risk.lttb(bars(s, d), 100),
+    "stitch_oos": lambda s, d: rounded(risk.stitched(_curves(s, d))),
+    "position_replay": lambda s, d: rounded(_positions(s, d)),
+    "event_counts": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("hand"), F.col("event_type").alias("code")).agg(F.count(F.lit(1)).alias("n")),
+}
 QUERIES |= {f"sizing_{m}": _sized(m) for m in ("percent_equity", "fixed_usd", "fixed_qty", "equal_weight", "fixed_fractional", "atr")}
 QUERIES |= {name: _indicator(name) for name in indicators.INDICATORS}
 QUERIES |= {f"rule_{name}": _rule(name) for name in (*rules.RULES, *rules.FOLDED)}
@@ -281,3 +351,47 @@ SELECT source, len(x)::INTEGER AS n, floor(s / len(x))::BIGINT AS mean, x[len(x)
     "strategy_lineage": """WITH RECURSIVE o AS (SELECT DISTINCT o_orderkey AS id, o_custkey FROM orders), s AS (SELECT id, lag(id) OVER (PARTITION BY o_custkey ORDER BY id) AS previous_id FROM o),
 r AS (SELECT id, id AS root, 0 AS depth FROM s WHERE previous_id IS NULL UNION ALL SELECT s.id, r.root, r.depth + 1 FROM s JOIN r ON s.previous_id = r.id) SELECT * FROM r""",
 }
+
+_ORDER = "PARTITION BY hand ORDER BY exit_at, entry_at, trade, line, part"
+_LABELS = f"""{_bars_sql()}, i AS (SELECT *, row_number() OVER {_BY} AS rn, {_prior('max(h)', 20)} AS top FROM bars), e AS (SELECT * FROM i WHERE c > top),
+j AS (SELECT e.symbol, e.tf, e.t, e.c AS entry_price, i.t AS at, i.rn - e.rn AS held, i.h, i.l, i.c AS x, greatest(e.c, max(i.h) OVER w) AS far, least(e.c, min(i.l) OVER w) AS worst
+  FROM e JOIN i ON i.symbol = e.symbol AND i.rn BETWEEN e.rn + 1 AND e.rn + 24 WINDOW w AS (PARTITION BY e.symbol, e.t ORDER BY i.rn)),
+k AS (SELECT *, CASE WHEN l <= far * (1 - 0.6) THEN 'trailing_stop' WHEN l <= entry_price * 0.5 THEN 'stop_loss' WHEN h >= entry_price * 1.5 THEN 'take_profit' WHEN held = 24 THEN 'max_bars_held' END AS reason FROM j),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY reason IS NULL, CASE WHEN reason IS NULL THEN -held ELSE held END) = 1),
+labels AS (SELECT e.symbol, e.tf, e.t, 'long' AS side, e.c AS entry_price, e.c * 0.5 AS stop, e.c * 1.5 AS target, f.reason, f.at AS exit_t,
+  CASE f.reason WHEN 'trailing_stop' THEN f.far * (1 - 0.6) WHEN 'stop_loss' THEN e.c * 0.5 WHEN 'take_profit' THEN e.c * 1.5 ELSE f.x END AS exit_price,
+  coalesce(f.held, 0)::INTEGER AS bars_held, abs(coalesce(f.worst, e.c) - e.c) / e.c AS mae, abs(coalesce(f.far, e.c) - e.c) / e.c AS mfe FROM e LEFT JOIN f ON e.symbol = f.symbol AND e.t = f.t)"""
+
+
+def _quality_sql(key: str) -> str:
+    return f"""WITH {_TRADES}, g AS (SELECT {key}, count(*) AS n, count(*) FILTER (pnl > 0) / count(*)::DOUBLE AS rate, avg(pnl / 100000) FILTER (pnl > 0) AS up, avg(-pnl / 100000) FILTER (pnl <= 0) AS down,
+  coalesce(sum(pnl / 100000) FILTER (pnl > 0), 0) AS gain, coalesce(sum(-pnl / 100000) FILTER (pnl <= 0), 0) AS pain, avg(pnl / 100000) AS m, stddev_samp(pnl / 100000) AS s FROM trades GROUP BY ALL),
+p AS (SELECT *, coalesce(up / nullif(down, 0), 0) AS pay FROM g)
+SELECT {key}, n, round(rate * 100, 6) AS win_rate, round(pay, 6) AS payoff, round(CASE WHEN pay = 0 THEN 0 ELSE 100 / (1 + pay) END, 6) AS breakeven,
+  round(CASE WHEN pay = 0 THEN 0 ELSE greatest(-1, least(1, rate - (1 - rate) / pay)) END, 6) AS kelly, round(CASE WHEN pain > 0 THEN gain / pain WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS profit_factor,
+  round(CASE WHEN n > 1 AND s > 1e-15 THEN sqrt(n) * m / s ELSE 0 END, 6) AS sqn FROM p"""
+
+
+ORACLE_SQL |= {
+    "exit_barriers": f"""WITH {_LABELS} SELECT symbol, tf, t, side, round(entry_price, 6) AS entry_price, round(stop, 6) AS stop, round(target, 6) AS target, reason, exit_t, round(exit_price, 6) AS exit_price, bars_held,
+  round(mae, 6) AS mae, round(mfe, 6) AS mfe FROM labels""",
+    "exit_reasons": f"WITH {_LABELS} SELECT symbol, coalesce(reason, 'end_of_data') AS reason, count(*) AS n FROM labels GROUP BY ALL",
+    "edge_guard": f"""WITH {_TRADES}, i AS (SELECT hand, exit_at, entry_at, trade, line, part, net_pnl, row_number() OVER o AS i, sum(net_pnl) OVER l AS window_sum, avg(net_pnl) OVER l AS window_avg, min(net_pnl) OVER l AS window_min,
+  sum(net_pnl) OVER u + 100000 AS equity FROM trades WINDOW o AS ({_ORDER}), l AS ({_ORDER} ROWS 19 PRECEDING), u AS ({_ORDER} ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, i - coalesce(max(i) FILTER (net_pnl >= 0) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING), 0) AS losing_run FROM i)
+SELECT * EXCLUDE (i) REPLACE (round(net_pnl, 3) AS net_pnl, round(window_sum, 3) AS window_sum, round(window_avg, 3) AS window_avg, round(window_min, 3) AS window_min, round(equity, 3) AS equity),
+  CASE WHEN equity > 0 THEN CASE WHEN window_sum < equity * -0.1 THEN 'total_loss' WHEN window_avg < equity * -0.02 THEN 'average_loss' WHEN window_min < equity * -0.05 THEN 'single_loss' WHEN losing_run >= 8 THEN 'consecutive_losses' END END AS breach FROM r""",
+    "account_guards": f"""WITH {_TRADES}, e AS (SELECT hand, exit_at, entry_at, trade, line, part, net_pnl, exit_at // 86400000 AS day, sum(net_pnl) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING) + 100000 AS equity FROM trades),
+d AS (SELECT *, sum(net_pnl) OVER w AS day_pnl, greatest(100000, max(equity) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING)) AS peak FROM e WINDOW w AS (PARTITION BY hand, day ORDER BY exit_at, entry_at, trade, line, part ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, (peak - equity) / peak AS drawdown, equity > 0 AND day_pnl < 0 AND -day_pnl >= equity * 0.02 AS bad, equity > 0 AND (peak - equity) / peak >= 0.1 AS deep FROM d)
+SELECT hand, exit_at, entry_at, trade, line, part, round(net_pnl, 3) AS net_pnl, day, round(equity, 3) AS equity, round(day_pnl, 3) AS day_pnl, round(drawdown, 3) AS drawdown,
+  CASE WHEN bool_or(deep) OVER ({_ORDER} ROWS UNBOUNDED PRECEDING) THEN 'max_drawdown' WHEN bool_or(bad) OVER (PARTITION BY hand, day ORDER BY exit_at, entry_at, trade, line, part ROWS UNBOUNDED PRECEDING) THEN 'daily_loss' END AS halted FROM f""",
+    "monthly_returns": f"""WITH {_TRADES}, {_EQUITY}, m AS (SELECT hand, strftime(make_timestamp(t * 1000), '%Y-%m') AS month, arg_max(equity, t) AS equity FROM equity GROUP BY ALL),
+l AS (SELECT *, lag(equity) OVER (PARTITION BY hand ORDER BY month) AS before FROM m) SELECT hand, month, round((equity - before) / before * 100, 4) AS ret FROM l WHERE before <> 0""",
+    "trade_quality": _quality_sql("hand"), "trade_quality_by_side": _quality_sql("side"),
+    "buy_and_hold": f"""WITH {_bars_sql()}, r AS (SELECT symbol, tf, t, c, c / nullif(lag(c) OVER {_BY}, 0) - 1 AS r, max(c) OVER {_BY} AS peak FROM bars),
+g AS (SELECT symbol, tf, arg_max(c, t) / arg_min(c, t) AS whole, (max(t) - min(t)) / (365.25 * 86400000) AS years, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(pow(least(r, 0), 2))) AS down, max((peak - c) / peak) AS dd FROM r GROUP BY ALL)
+SELECT symbol, tf, round((whole - 1) * 100, 4) AS total_return_pct, round(ln(whole) / years, 4) AS log_growth, round(s * sqrt(n / years) * 100, 4) AS volatility_pct, round(m / s * sqrt(n / years), 4) AS sharpe,
+  round(m / down * sqrt(n / years), 4) AS sortino, round(dd * 100, 4) AS max_drawdown_pct FROM g""",
+    "event_counts": "SELECT user_id AS hand, event_type AS code, count(*) AS n FROM events GROUP BY ALL",
+}
