@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, frames, indicators, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
+from .indicator_sql import indicator_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -395,3 +396,5 @@ SELECT symbol, tf, round((whole - 1) * 100, 4) AS total_return_pct, round(ln(who
   round(m / down * sqrt(n / years), 4) AS sortino, round(dd * 100, 4) AS max_drawdown_pct FROM g""",
     "event_counts": "SELECT user_id AS hand, event_type AS code, count(*) AS n FROM events GROUP BY ALL",
 }
+
+ORACLE_SQL |= indicator_sql(_bars_sql())
