@@ -1,8 +1,9 @@
-"""DuckDB SQL of indicators, built as layers: each layer is a table expression with more columns over the one before."""
+"""DuckDB SQL of indicators and rules, built as layers: each layer is a table expression with more columns over the one before."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 _BY = "(PARTITION BY symbol, tf ORDER BY t)"
 _EPS = 2.220446049250313e-16
@@ -65,6 +66,12 @@ class Layers:
         out = ", ".join(f"{x} AS {k}" if k in plain else f"round({x}, 6) AS {k}" for k, x in columns.items())
         return f"WITH RECURSIVE {', '.join(self.tables)} SELECT symbol, tf, t, {out} FROM {self.at}"
 
+    def rule(self, name: str, entry: str, leave: str, strength: str = "1.0") -> str:
+        power = f"round(least(1, greatest(0, {strength})), 6)"
+        self.add(entry_=f"coalesce({entry}, false)", leave_=f"coalesce({leave}, false)")
+        return f"""WITH RECURSIVE {', '.join(self.tables)} SELECT symbol, tf, t, '{name}' AS rule, CASE WHEN entry_ THEN 'long' ELSE 'exit' END AS direction,
+  CASE WHEN entry_ THEN {power} ELSE 1.0 END::DOUBLE AS strength FROM {self.at} WHERE entry_ OR leave_"""
+
 
 def indicator_sql(bars: str) -> dict[str, str]:
     new = lambda: Layers(bars)
@@ -153,3 +160,55 @@ def indicator_sql(bars: str) -> dict[str, str]:
         "fractal": new().add(**back).sql(("bullish", "bearish"), bullish=dip, bearish=top, fractal_high=f"CASE WHEN {top} THEN h2 END", fractal_low=f"CASE WHEN {dip} THEN l2 END"),
         "rwi": walk.sql(rwi_high=best("x"), rwi_low=best("y")),
     }
+
+
+def rule_sql(bars: str) -> dict[str, str]:
+    new = lambda: Layers(bars)
+    tr = f"greatest(h - l, abs(h - {lag('c')}), abs(l - {lag('c')}))"
+
+    def before(s: Layers, *names: str) -> Layers:
+        return s.add(**{f"{x}_p": lag(x) for x in names})
+
+    up, down = (lambda a, b: f"({a}_p <= {b}_p AND {a} > {b})"), (lambda a, b: f"({a}_p >= {b}_p AND {a} < {b})")
+    over, under = (lambda a, k: f"({a}_p <= {k} AND {a} > {k})"), (lambda a, k: f"({a}_p >= {k} AND {a} < {k})")
+    gauss = lambda n: [math.exp(-((i - math.floor(0.85 * (n - 1))) ** 2) / (2 * (n / 6) ** 2)) for i in range(n)]
+    even = lambda w: [x / sum(w) for x in w]
+    roc = lambda n: f"CASE WHEN {lag('c', n)} = 0 THEN 0 ELSE (c - {lag('c', n)}) / {lag('c', n)} * 100 END"
+    rsi = lambda s: s.add(move=f"c - {lag('c')}").smooth("gain", "greatest(move, 0) + 0 * move", 14, 1 / 14).smooth("loss", "greatest(-move, 0) + 0 * move", 14, 1 / 14).add(
+        rsi=f"CASE WHEN abs(loss) < {_EPS} THEN 100 ELSE 100 - 100 / (1 + gain / loss) END"
+    )
+    macd = lambda s: s.smooth("f12", "c", 12).smooth("f26", "c", 26).add(line="f12 - f26").smooth("sig", "line", 9).add(hist="line - sig")
+    bands = lambda s: s.add(m=roll("avg", "c", 20), dev=roll("stddev_pop", "c", 20)).add(bu="m + 2 * dev", bl="m - 2 * dev")
+    stoch = lambda s: s.add(hh=roll("max", "h", 14), ll=roll("min", "l", 14)).add(k=percent_k("hh", "ll")).add(d=roll("avg", "k", 3))
+    atr = lambda s: s.add(tr=tr).smooth("atr", "tr", 14, 1 / 14)
+    crossing = lambda s, name, a="a", b="b", also="true": before(s, a, b).rule(name, f"{up(a, b)} AND {also}", down(a, b))
+    zero = lambda s, name, x: before(s, x).rule(name, over(x, 0), under(x, 0))
+    hull = lambda s, k, n: s.add(**{f"{k}x": f"2 * ({wma('c', n // 2)}) - ({wma('c', n)})"}).add(**{k: wma(f"{k}x", round(math.sqrt(n)))})
+    double = lambda s, k, n: s.smooth(f"{k}1", "c", n).smooth(f"{k}2", f"{k}1", n).add(**{k: f"2 * {k}1 - {k}2"})
+    triple = lambda s, k, n: s.smooth(f"{k}1", "c", n).smooth(f"{k}2", f"{k}1", n).smooth(f"{k}3", f"{k}2", n).add(**{k: f"3 * {k}1 - 3 * {k}2 + {k}3"})
+    fitted = lambda n: f"({roll('avg', 'c', n)}) + ({dot('c', [(i - (n - 1) / 2) / sum((j - (n - 1) / 2) ** 2 for j in range(n)) for i in range(n)])}) * {(n - 1) / 2}"
+    emas = lambda *ns: reduce(lambda s, n: s.smooth(f"e{n}", "c", n), ns, new())
+    return {f"rule_{k}": v for k, v in {
+        "hma_crossover": crossing(hull(hull(new(), "a", 16), "b", 49), "hma_crossover"),
+        "dema_crossover": crossing(double(double(new(), "a", 12), "b", 26), "dema_crossover"),
+        "tema_crossover": crossing(triple(triple(new(), "a", 8), "b", 21), "tema_crossover"),
+        "alma_cross": crossing(new().add(a=dot("c", even(gauss(9))), b=dot("c", even(gauss(21)))), "alma_cross"),
+        "lsma_cross": crossing(new().add(a=fitted(20), b=fitted(50)), "lsma_cross"),
+        "macd_crossover": zero(macd(new()), "macd_crossover", "hist"),
+        "roc": zero(new().add(x=roc(10)), "roc", "x"),
+        "ao": zero(new().add(mid="(h + l) / 2").add(x=f"({roll('avg', 'mid', 5)}) - ({roll('avg', 'mid', 34)})"), "ao", "x"),
+        "stochastic_dk": crossing(stoch(new()), "stochastic_dk", "k", "d"),
+        "stochastic_crossover": before(stoch(new()), "k", "d").rule("stochastic_crossover", f"{up('k', 'd')} AND d < 20", f"{down('k', 'd')} AND d > 80", "k / 100"),
+        "triple_ema": before(emas(10, 20, 50).add(x="e10 > e20 AND e20 > e50"), "x").rule("triple_ema", "x AND NOT x_p", "NOT x AND x_p"),
+        "scalping_ema": before(atr(emas(8, 21)).smooth("w", "atr", 20), "e8", "e21").rule("scalping_ema", f"{up('e8', 'e21')} AND atr > w", down("e8", "e21"), "(e8 - e21) / e21"),
+        "rsi_mean_rev": rsi(new()).rule("rsi_mean_rev", "rsi < 30", "rsi > 70", "(30 - rsi) / 30"),
+        "rsi_ma_cross": before(rsi(emas(20, 50)), "e20", "e50").rule("rsi_ma_cross", f"{up('e20', 'e50')} AND rsi > 50", f"{down('e20', 'e50')} OR rsi < 45"),
+        "momentum_roc": emas(50).add(x=roc(10)).rule("momentum_roc", "x > 2 AND c > e50", "x < 0 OR c < e50", "x / 6"),
+        "dual_momentum": new().add(a=roc(10), b=roc(30)).rule("dual_momentum", "a > 0 AND b > 0", "a < 0 OR b < 0"),
+        "bb_rsi_reversal": rsi(bands(new())).rule("bb_rsi_reversal", "c < bl AND rsi < 35", "c > m OR rsi > 65"),
+        "bollinger_macd": macd(bands(new())).rule("bollinger_macd", "c > bu AND hist > 0", "c < m OR hist < 0"),
+        "range_rover": stoch(new()).add(m=roll("avg", "c", 50)).rule("range_rover", "d IS NOT NULL AND k < 20 AND c > m", "d IS NOT NULL AND k > 80"),
+        "volatility_squeezer": before(atr(new()).add(m=roll("avg", "c", 50)), "atr").rule("volatility_squeezer", "atr > atr_p AND c > m", "c < m"),
+        "volatility_vanguard": before(atr(bands(new())), "atr").rule("volatility_vanguard", "c > bu AND atr > atr_p", "c < m"),
+        "keltner_breakout": new().add(tr=tr).smooth("e", "c", 20).smooth("a", "tr", 10, 1 / 10).rule("keltner_breakout", "c > e + 2 * a", "c < e - 2 * a"),
+    }.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, frames, indicators, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
-from .indicator_sql import indicator_sql
+from .indicator_sql import indicator_sql, rule_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,4 +397,4 @@ SELECT symbol, tf, round((whole - 1) * 100, 4) AS total_return_pct, round(ln(who
     "event_counts": "SELECT user_id AS hand, event_type AS code, count(*) AS n FROM events GROUP BY ALL",
 }
 
-ORACLE_SQL |= indicator_sql(_bars_sql())
+ORACLE_SQL |= indicator_sql(_bars_sql()) | rule_sql(_bars_sql())
