@@ -271,3 +271,30 @@ def replayed(events: DataFrame) -> DataFrame:
     start = F.struct(F.lit("idle"), F.lit(None), F.lit(None), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0)).cast(state)
     out = grouped.select("hand", "trade", F.aggregate("rows", start, step).alias("x"))
     return out.select("hand", "trade", "x.phase", "x.side", "x.qty", F.col("x.entry").alias("entry_price"), "x.adds", "x.pnl")
+
+
+def beta(returns: DataFrame, annual: float) -> DataFrame:
+    """Each symbol's beta to the mean return of all symbols at equal times, and its alpha a year; 0 without variance."""
+    known = returns.where("ret IS NOT NULL")
+    market = known.groupBy("t").agg(F.avg("ret").alias("market"))
+    g = known.join(market, "t").groupBy("symbol").agg(F.covar_samp("ret", "market").alias("cov"), F.var_samp("market").alias("var"), F.avg("ret").alias("r"), F.avg("market").alias("m"))
+    b = F.coalesce(F.col("cov") / F.nullif("var", F.lit(0.0)), F.lit(0.0))
+    return g.select("symbol", b.alias("beta"), ((F.col("r") - b * F.col("m")) * annual).alias("alpha"))
+
+
+def exposure(trades: DataFrame) -> DataFrame:
+    """Per hand: time in trades as a share of the time from its first entry to its last exit; overlapping trades add up."""
+    g = trades.groupBy("hand").agg(F.sum(F.col("exit_at") - F.col("entry_at")).alias("busy"), (F.max("exit_at") - F.min("entry_at")).alias("span"))
+    return g.select("hand", F.coalesce(F.col("busy") / F.nullif(F.col("span").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("exposure"))
+
+
+def holdings(positions: DataFrame) -> DataFrame:
+    """Per hand of replayed positions: open ones, gross exposure at entry prices, realised profit."""
+    opened = F.col("qty") > 0
+    return positions.groupBy("hand").agg(F.count_if(opened).alias("open"), F.sum(F.when(opened, F.col("qty") * F.col("entry_price")).otherwise(0.0)).alias("gross"), F.sum("pnl").alias("realised"))
+
+
+def walk_forward_summary(curves: DataFrame) -> DataFrame:
+    """Curves (symbol, fold, t, equity) per symbol: folds, their mean return and the share of profitable ones."""
+    folds = curves.groupBy("symbol", "fold").agg((F.max_by("equity", "t") / F.nullif(F.min_by("equity", "t"), F.lit(0.0)) - 1).alias("ret"))
+    return folds.groupBy("symbol").agg(F.count(F.lit(1)).alias("folds"), F.avg("ret").alias("mean_return"), F.avg((F.col("ret") > 0).cast("double")).alias("profitable"))

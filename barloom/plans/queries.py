@@ -187,6 +187,10 @@ QUERIES |= {
     "bootstrap": lambda s, d: rounded(risk.bootstrap(_returns(s, d))),
     "lttb": lambda s, d: risk.lttb(bars(s, d), 100),
     "stitch_oos": lambda s, d: rounded(risk.stitched(_curves(s, d))),
+    "beta": lambda s, d: rounded(risk.beta(series.bar_returns(bars(s, d)), 8766.0), 4),
+    "exposure": lambda s, d: rounded(risk.exposure(trades.trades_of(s, d))),
+    "holdings": lambda s, d: rounded(risk.holdings(_positions(s, d)), 4),
+    "walk_forward_summary": lambda s, d: rounded(risk.walk_forward_summary(_curves(s, d))),
     "position_replay": lambda s, d: rounded(_positions(s, d)),
     "event_counts": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("hand"), F.col("event_type").alias("code")).agg(F.count(F.lit(1)).alias("n")),
 }
@@ -394,6 +398,10 @@ l AS (SELECT *, lag(equity) OVER (PARTITION BY hand ORDER BY month) AS before FR
 g AS (SELECT symbol, tf, arg_max(c, t) / arg_min(c, t) AS whole, (max(t) - min(t)) / (365.25 * 86400000) AS years, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(pow(least(r, 0), 2))) AS down, max((peak - c) / peak) AS dd FROM r GROUP BY ALL)
 SELECT symbol, tf, round((whole - 1) * 100, 4) AS total_return_pct, round(ln(whole) / years, 4) AS log_growth, round(s * sqrt(n / years) * 100, 4) AS volatility_pct, round(m / s * sqrt(n / years), 4) AS sharpe,
   round(m / down * sqrt(n / years), 4) AS sortino, round(dd * 100, 4) AS max_drawdown_pct FROM g""",
+    "beta": f"""WITH {_bars_sql()}, r AS (SELECT symbol, t, c / lag(c) OVER {_BY} - 1 AS ret FROM bars), m AS (SELECT t, avg(ret) AS market FROM r WHERE ret IS NOT NULL GROUP BY t),
+g AS (SELECT symbol, covar_samp(ret, market) AS cov, var_samp(market) AS var, avg(ret) AS r, avg(market) AS m FROM r JOIN m USING (t) WHERE ret IS NOT NULL GROUP BY symbol)
+SELECT symbol, round(cov / var, 4) AS beta, round((r - cov / var * m) * 8766, 4) AS alpha FROM g""",
+    "exposure": f"WITH {_TRADES} SELECT hand, round(coalesce(sum(exit_at - entry_at) / nullif((max(exit_at) - min(entry_at))::DOUBLE, 0), 0), 6) AS exposure FROM trades GROUP BY hand",
     "event_counts": "SELECT user_id AS hand, event_type AS code, count(*) AS n FROM events GROUP BY ALL",
 }
 

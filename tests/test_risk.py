@@ -142,6 +142,18 @@ def test_stitched(spark):
     assert all(math.isclose(a, b) for a, b in zip(got, [10, 12, 12, 6, 6, 12], strict=True))
 
 
+def test_summaries(spark):
+    curves = spark.createDataFrame([("a", 0, 0, 10.0), ("a", 0, 1, 12.0), ("a", 1, 2, 50.0), ("a", 1, 3, 25.0)], "symbol string, fold int, t long, equity double")
+    (r,) = risk.walk_forward_summary(curves).collect()
+    assert (r["folds"], r["profitable"]) == (2, 0.5) and math.isclose(r["mean_return"], -0.15)
+    rows = [(1, 1, "open", "buy", 2.0, 10.0, 0, 1.5), (1, 2, "idle", None, 0.0, 0.0, 0, -4.0), (2, 3, "idle", None, 0.0, 0.0, 0, 0.0)]
+    positions = spark.createDataFrame(rows, "hand long, trade long, phase string, side string, qty double, entry_price double, adds int, pnl double")
+    assert sorted(map(tuple, risk.holdings(positions).collect())) == [(1, 1, 20.0, -2.5), (2, 0, 0.0, 0.0)]
+    rets = [(s, t, x) for t in range(20) for s, x in (("a", 0.01 * (-1) ** t), ("b", 0.03 * (-1) ** t))] + [("a", -1, None)]
+    got = {r["symbol"]: r for r in risk.beta(spark.createDataFrame(rets, "symbol string, t long, ret double"), 252.0).collect()}
+    assert math.isclose(got["a"]["beta"], 0.5) and math.isclose(got["b"]["beta"], 1.5) and abs(got["b"]["alpha"]) < 1e-9
+
+
 def test_guards(spark):
     schema = "hand long, exit_at long, entry_at long, trade long, line int, part long, net_pnl double"
     pnl = [-500.0, -1800.0, 100.0, -9000.0, 50.0, 20.0]
