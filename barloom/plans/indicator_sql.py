@@ -210,5 +210,8 @@ def rule_sql(bars: str) -> dict[str, str]:
         "range_rover": stoch(new()).add(m=roll("avg", "c", 50)).rule("range_rover", "d IS NOT NULL AND k < 20 AND c > m", "d IS NOT NULL AND k > 80"),
         "volatility_squeezer": before(atr(new()).add(m=roll("avg", "c", 50)), "atr").rule("volatility_squeezer", "atr > atr_p AND c > m", "c < m"),
         "volatility_vanguard": before(atr(bands(new())), "atr").rule("volatility_vanguard", "c > bu AND atr > atr_p", "c < m"),
+        "waddah_attar": bands(new().smooth("a", "c", 20).smooth("b", "c", 40).add(x="a - b").smooth("z", "x", 9).add(tr=tr).smooth("w", "tr", 100, 1 / 100)).add(
+            y="CASE WHEN z IS NOT NULL AND w IS NOT NULL AND bu IS NOT NULL THEN x END"
+        ).add(p=f"(y - {lag('y')}) * 150").add(sure="abs(p) > bu - bl AND abs(p) > w * 3.7 AND p > 0").rule("waddah_attar", "sure", "NOT sure"),
         "keltner_breakout": new().add(tr=tr).smooth("e", "c", 20).smooth("a", "tr", 10, 1 / 10).rule("keltner_breakout", "c > e + 2 * a", "c < e - 2 * a"),
     }.items()}
