@@ -102,6 +102,13 @@ def test_secret_findings_are_all_occurrences(spark, odd, none):
     docs = spark.createDataFrame([(1, "key abcdefgh12345678 abcdefgh12345678x abcdefgh12345678"), (2, None), (3, "")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["start"], r["candidate"]) for r in secret_scan.findings(docs).collect())
     assert got == [(1, 4, "abcdefgh12345678"), (1, 21, "abcdefgh12345678x"), (1, 39, "abcdefgh12345678")]
+    texts = ["token=abcdefgh12345678", "a=\"abcdefgh12345678===\" é=ABCDEFGH12345678abcdefgh", "é" * 60 + " ABCDEFGH12345678==x" * 5 + "\nß", "abcdefgh12345678" * 9, "=" * 40]
+    got = secret_scan.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [
+        (i, m.start(), m[0], t[max(0, m.start() - secret_scan.CONTEXT) : m.start()], t[m.end() : m.end() + secret_scan.CONTEXT])
+        for i, t in enumerate(texts) for m in re.finditer(secret_scan.CANDIDATE, t)
+    ]
+    assert sorted(tuple(r) for r in got) == want and len(want) == 9
     assert secret_scan.scan(none).count() == 0
     assert secret_scan.scan(odd).count() == secret_scan.findings(odd).count()
     assert all(r["is_secret"] for r in secret_scan.scan(docs, docs.limit(0).selectExpr("text candidate", "text before", "text after", "1.0 is_secret")).collect())
