@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import stored, table
 WINDOW, END = 2048, 1
 #: Rests that one group packs; bounds a task, and costs at most the padding of a last window a group.
 RESTS_PER_GROUP = 5_000
+#: Fixed: the one token of the vocabulary that a text may spell out; it is one id wherever it stands.
+SPELLED_OUT = {"<|endoftext|>": 50256}
 _ENCODERS: dict[str, object] = {}
 
 
@@ -40,19 +43,26 @@ def encoder(ranks: str | None = None):
             vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         # The public pattern, written with possessive repeats so that nothing is tried twice.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens=SPELLED_OUT)
     return _ENCODERS[path]
 
 
+def ids_of(text: str, coder) -> np.ndarray:
+    """The ids of a whole text, then the end id."""
+    got = coder.encode(text, allowed_special="all") if any(t in text for t in SPELLED_OUT) else coder.encode_ordinary(text)
+    got.append(END)
+    return np.frombuffer(array("I", got), np.uint32).astype("<u4", copy=False)
+
+
 def pieces(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) for each piece; a null text is empty: only the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        coder = encoder(ranks)
         for b in batches:
             row, start, length, crc, whole, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column(1)):
-                got = np.array([*encode(text.as_py() or ""), END], "<u4")
+                got = ids_of(text.as_py() or "", coder)
                 for at in range(0, len(got), window):
                     piece = got[at : at + window]
                     row.append(i)
