@@ -31,7 +31,9 @@ THRESHOLD = 0.7
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 #: Fixed: signs that stand for letters.
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
-_SPLIT = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…—–"})
+#: Fixed: signs that part words, in one byte and in several.
+_SPLIT = bytes.maketrans(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 31)
+_WIDE_SPLIT = "“”„«»…—–"
 _SIGNS = re.compile(r"[\W_]+")
 _LONG = re.compile(r"(.)\1+")
 FEATURES = (
@@ -40,34 +42,62 @@ FEATURES = (
 )
 
 
+def _split(lower: str) -> list[str]:
+    for c in _WIDE_SPLIT:
+        if c in lower:
+            lower = lower.replace(c, " ")
+    return lower.encode("utf-8", "replace").translate(_SPLIT).decode().split()
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().translate(_SPLIT).split()
+    return _split(text.lower())
+
+
+class Disguises(dict):
+    """1 for a lower-case token that is no word of the lexicon as it stands but one when look-alike signs are read as
+    letters, signs are left out or repeated letters are counted once; else 0. Remembers up to ``MOST`` tokens that
+    took a closer look; most are plain at their first and last letter."""
+
+    MOST = 50_000
 
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.edges = lexicon, {w[0] + w[-1] for w in lexicon}
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+    def __missing__(self, w: str) -> int:
+        if len(w) >= 40:
+            return 0
+        if w.isalpha():
+            if w[0] + w[-1] not in self.edges:
+                return 0
+            hidden = w not in self.lexicon and _LONG.search(w) and _LONG.sub(r"\1", w) in self.lexicon
+        else:
+            plain = w.strip(".,;:!?\"'()[]")
+            if plain.isalpha():
+                return 0
+            hidden = plain not in self.lexicon and _SIGNS.sub("", plain.translate(LOOKALIKES)) in self.lexicon
+        if len(self) >= self.MOST:
+            self.clear()
+        self[w] = 1 if hidden else 0
+        return self[w]
+
+
+def features(text: str, lexicon: dict[str, float], disguises: Disguises | None = None) -> list[float]:
     """The features of one whole text, in the order of FEATURES; an empty text has zeros."""
-    words = words_of(text)
+    lower = text.lower()
+    words = _split(lower)
     n = max(1, len(words))
-    at = [i for i, w in enumerate(words) if w in lexicon]
+    at = [] if lexicon.keys().isdisjoint(words) else [i for i, w in enumerate(words) if w in lexicon]
     weights = [lexicon[words[i]] for i in at]
-    second = [w in SECOND_PERSON for w in words] if at else []
+    second = list(map(SECOND_PERSON.__contains__, words))
     near = sum(any(second[max(0, i - 3) : i + 4]) for i in at)
-    disguised = 0
-    for w in text.lower().split():
-        if not w.isalpha() and len(w) < 40:
-            plain = w.strip(".,;:!?\"'()[]")
-            if not plain.isalpha() and plain not in lexicon:
-                disguised += _SIGNS.sub("", plain.translate(LOOKALIKES)) in lexicon
-        elif w not in lexicon and len(w) < 40:
-            short = _LONG.sub(r"\1", w) if _LONG.search(w) else w
-            disguised += short != w and short in lexicon
+    disguises = Disguises(lexicon) if disguises is None else disguises
+    disguised = sum(map(disguises.__getitem__, lower.split()))
     count = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
     size = max(1, int(count.sum()))
     exclaims, asks, digits = int(count[33]), int(count[63]), int(count[48:58].sum())
     signs = int(count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum())
-    you = sum(second) if at else sum(w in SECOND_PERSON for w in words)
     return [
-        len(at) / n, float(np.log1p(len(at))), float(len({words[i] for i in at})), sum(weights) / n, max(weights, default=0.0), near / max(1, len(at)), you / n,
+        len(at) / n, float(np.log1p(len(at))), float(len({words[i] for i in at})), sum(weights) / n, max(weights, default=0.0), near / max(1, len(at)), sum(second) / n,
         int(count[65:91].sum()) / size, exclaims / size, asks / size, signs / size, digits / size, disguised / n, float(np.log1p(disguised)), float(np.log1p(len(words))),
     ]
 
@@ -78,8 +108,10 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], name: str = "__fea
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        disguises = Disguises(lexicon)
         for b in batches:
-            got = pa.array([features(t.as_py() or "", shared.value) for t in b.column(at)], pa.list_(pa.float64()))
+            got = pa.array([features(t.as_py() or "", lexicon, disguises) for t in b.column(at)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
