@@ -298,3 +298,21 @@ def walk_forward_summary(curves: DataFrame) -> DataFrame:
     """Curves (symbol, fold, t, equity) per symbol: folds, their mean return and the share of profitable ones."""
     folds = curves.groupBy("symbol", "fold").agg((F.max_by("equity", "t") / F.nullif(F.min_by("equity", "t"), F.lit(0.0)) - 1).alias("ret"))
     return folds.groupBy("symbol").agg(F.count(F.lit(1)).alias("folds"), F.avg("ret").alias("mean_return"), F.avg((F.col("ret") > 0).cast("double")).alias("profitable"))
+
+
+def diversification(returns: DataFrame) -> DataFrame:
+    """One row from (symbol, t, ret): mean volatility of the symbols, volatility of holding all of them in equal parts, and
+    the first over the second (1 without volatility). A symbol without a return at a time adds 0 there."""
+    known = returns.where("ret IS NOT NULL")
+    alone = known.groupBy("symbol").agg(F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("vol")).select("vol", F.lit(None).cast("double").alias("total"))
+    together = known.groupBy("t").agg(F.sum("ret").alias("total")).select(F.lit(None).cast("double").alias("vol"), "total")
+    g = alone.unionByName(together).agg(F.avg("vol").alias("mean_vol"), F.coalesce(F.stddev_samp("total") / F.count("vol"), F.lit(0.0)).alias("portfolio_vol"))
+    return g.withColumn("ratio", F.when(F.col("portfolio_vol") < 2.220446049250313e-16, 1.0).otherwise(F.col("mean_vol") / F.col("portfolio_vol")))
+
+
+def turnover(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """Per symbol: trades for every 100 bars; both sides are counted before they meet."""
+    made = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"))
+    seen = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
+    n = F.coalesce("trades", F.lit(0))
+    return seen.join(made, "symbol", "left").select("symbol", n.alias("trades"), "bars", (n / F.col("bars") * 100).alias("turnover_pct"))

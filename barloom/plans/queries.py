@@ -188,6 +188,8 @@ QUERIES |= {
     "lttb": lambda s, d: risk.lttb(bars(s, d), 100),
     "stitch_oos": lambda s, d: rounded(risk.stitched(_curves(s, d))),
     "beta": lambda s, d: rounded(risk.beta(series.bar_returns(bars(s, d)), 8766.0), 4),
+    "diversification": lambda s, d: rounded(risk.diversification(series.bar_returns(bars(s, d)))),
+    "turnover": lambda s, d: rounded(risk.turnover(rules.paired(bars(s, d), "donchian_breakout"), bars(s, d))),
     "exposure": lambda s, d: rounded(risk.exposure(trades.trades_of(s, d))),
     "holdings": lambda s, d: rounded(risk.holdings(_positions(s, d)), 4),
     "walk_forward_summary": lambda s, d: rounded(risk.walk_forward_summary(_curves(s, d))),
@@ -401,6 +403,10 @@ SELECT symbol, tf, round((whole - 1) * 100, 4) AS total_return_pct, round(ln(who
     "beta": f"""WITH {_bars_sql()}, r AS (SELECT symbol, t, c / lag(c) OVER {_BY} - 1 AS ret FROM bars), m AS (SELECT t, avg(ret) AS market FROM r WHERE ret IS NOT NULL GROUP BY t),
 g AS (SELECT symbol, covar_samp(ret, market) AS cov, var_samp(market) AS var, avg(ret) AS r, avg(market) AS m FROM r JOIN m USING (t) WHERE ret IS NOT NULL GROUP BY symbol)
 SELECT symbol, round(cov / var, 4) AS beta, round((r - cov / var * m) * 8766, 4) AS alpha FROM g""",
+    "diversification": f"""WITH {_bars_sql()}, r AS (SELECT symbol, t, c / lag(c) OVER {_BY} - 1 AS ret FROM bars),
+a AS (SELECT avg(vol) AS mean_vol, count(*) AS n FROM (SELECT coalesce(stddev_samp(ret), 0) AS vol FROM r WHERE ret IS NOT NULL GROUP BY symbol)),
+p AS (SELECT coalesce(stddev_samp(total), 0) AS vol FROM (SELECT sum(ret) AS total FROM r WHERE ret IS NOT NULL GROUP BY t))
+SELECT round(mean_vol, 6) AS mean_vol, round(vol / n, 6) AS portfolio_vol, round(CASE WHEN vol / n < 2.220446049250313e-16 THEN 1.0::DOUBLE ELSE mean_vol / (vol / n) END, 6) AS ratio FROM a, p""",
     "exposure": f"WITH {_TRADES} SELECT hand, round(coalesce(sum(exit_at - entry_at) / nullif((max(exit_at) - min(entry_at))::DOUBLE, 0), 0), 6) AS exposure FROM trades GROUP BY hand",
     "event_counts": "SELECT user_id AS hand, event_type AS code, count(*) AS n FROM events GROUP BY ALL",
 }

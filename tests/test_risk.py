@@ -154,6 +154,20 @@ def test_summaries(spark):
     assert math.isclose(got["a"]["beta"], 0.5) and math.isclose(got["b"]["beta"], 1.5) and abs(got["b"]["alpha"]) < 1e-9
 
 
+def test_diversification_and_turnover(spark):
+    schema = "symbol string, t long, ret double"
+    mirrored = [(s, t, sign * 0.01 * (-1) ** t) for t in range(10) for s, sign in (("a", 1), ("b", -1))]
+    (none,) = risk.diversification(spark.createDataFrame(mirrored, schema)).collect()
+    assert none["ratio"] == 1.0 and none["portfolio_vol"] == 0.0
+    (same,) = risk.diversification(spark.createDataFrame([(s, t, 0.01 * t) for t in range(10) for s in "ab"] + [("a", 10, None)], schema)).collect()
+    assert math.isclose(same["ratio"], 1.0) and math.isclose(same["mean_vol"], same["portfolio_vol"])
+    (half,) = risk.diversification(spark.createDataFrame([("a", t, 0.02 * (-1) ** t) for t in range(10)] + [("b", t, 0.0) for t in range(10)], schema)).collect()
+    assert math.isclose(half["ratio"], 1.0)
+    bars = spark.createDataFrame([("a", t) for t in range(50)] + [("b", t) for t in range(4)], "symbol string, t long")
+    got = {r["symbol"]: r["turnover_pct"] for r in risk.turnover(bars.where("symbol = 'a' AND t < 5"), bars).collect()}
+    assert got == {"a": 10.0, "b": 0.0}
+
+
 def test_guards(spark):
     schema = "hand long, exit_at long, entry_at long, trade long, line int, part long, net_pnl double"
     pnl = [-500.0, -1800.0, 100.0, -9000.0, 50.0, 20.0]
