@@ -1,8 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is learnt: words whose document counts differ most between toxic and other labelled rows (G²).
+The lexicon is learnt: words whose document counts differ most between toxic and other labelled rows (G²). Each
+word is judged by its own G² alone, so the words of a rare language stand beside those of the most common one.
 Features of a whole text: lexicon densities, second-person proximity, capitals, punctuation and
-obfuscation rates. Trees and calibration are fitted on a bounded sample of the rows that may be learnt from.
+obfuscation rates. Trees and calibration are fitted on a bounded sample of the rows that may be learnt from; there,
+a row's features come from a lexicon learnt without its fold, so that chance words look as weak as they are elsewhere.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,8 @@ from .common import id_crc, stored, table
 
 #: Labelled rows that are learnt from, about (a threshold on a hash picks them); words of the lexicon, at most.
 SAMPLE_ROWS, LEXICON_WORDS = 20_000, 200
-#: A lexicon word needs this share of the strongest word's G², and G² of its own.
-LEAST_SHARE, LEAST_G2 = 0.2, 12.0
+#: G² that a lexicon word needs; folds of the sample.
+LEAST_G2, FOLDS = 12.0, 4
 THRESHOLD = 0.7
 #: Fixed: second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -125,28 +128,37 @@ class Model:
     rate: float
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words and weights (log odds) from ``sample(text, toxic)``: at most LEXICON_WORDS words reach the driver."""
+def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """Words and weights (log odds) from ``sample(text, toxic, fold)``: of all rows, then for each fold of the rows outside
+    it. At most LEXICON_WORDS words of each reach the driver; rows of one class only give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1), strict=True):
+            for text, toxic, fold in zip(*b.columns, strict=True):
                 words = sorted(set(words_of(text.as_py() or "")))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic.as_py()] * len(words), pa.int32())], ["word", "toxic"])
+                cols = [pa.array(words, pa.string()), pa.array([toxic.as_py()] * len(words), pa.int32()), pa.array([fold.as_py()] * len(words), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["word", "toxic", "fold"])
 
-    n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    if not n1 or not n0:
-        return {}
-    seen = sample.select("text", "toxic").mapInArrow(run, "word string, toxic int")
+    sums = (F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
+    sizes = {r["fold"]: (r["k1"], r["k0"]) for r in sample.groupBy("fold").agg(*sums).collect()}
+    seen = sample.select("text", "toxic", "fold").mapInArrow(run, "word string, toxic int, fold int")
+    counts = stored(seen.groupBy("word", "fold").agg(*sums), "words")
     k1, k0 = F.col("k1"), F.col("k0")
-    share = (k1 + k0) / F.lit(float(n1 + n0))
-    term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
-    g2 = 2 * (term(k1, share * n1) + term(k0, share * n0) + term(n1 - k1, (1 - share) * n1) + term(n0 - k0, (1 - share) * n0))
-    odds = F.log((k1 + 0.5) / F.lit(n1 + 1.0)) - F.log((k0 + 0.5) / F.lit(n0 + 1.0))
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
-    scored = counts.where(k1 * n0 > k0 * n1).select("word", g2.alias("g2"), odds.alias("odds")).where(F.col("g2") >= LEAST_G2)
-    top = scored.orderBy(F.desc("g2"), "word").limit(LEXICON_WORDS).collect()
-    return {r["word"]: r["odds"] for r in top if r["g2"] >= LEAST_SHARE * top[0]["g2"]}
+    out = []
+    for apart in (None, *range(FOLDS)):
+        n1, n0 = (sum(n[i] for fold, n in sizes.items() if fold != apart) for i in (0, 1))
+        if not n1 or not n0:
+            out.append({})
+            continue
+        share = (k1 + k0) / F.lit(float(n1 + n0))
+        term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
+        g2 = 2 * (term(k1, share * n1) + term(k0, share * n0) + term(n1 - k1, (1 - share) * n1) + term(n0 - k0, (1 - share) * n0))
+        odds = F.log((k1 + 0.5) / F.lit(n1 + 1.0)) - F.log((k0 + 0.5) / F.lit(n0 + 1.0))
+        rows = counts if apart is None else counts.where(F.col("fold") != apart)
+        rows = rows.groupBy("word").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
+        scored = rows.where(k1 * n0 > k0 * n1).select("word", g2.alias("g2"), odds.alias("odds")).where(F.col("g2") >= LEAST_G2)
+        out.append({r["word"]: r["odds"] for r in scored.orderBy(F.desc("g2"), "word").limit(LEXICON_WORDS).collect()})
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -157,15 +169,17 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity sample"), "doc_id"), 11).cast("double") / F.lit(float(1 << 53))
     picked = known.where(draw < min(1.0, sample_rows / max(1, n)))
     # The sample's size is bounded by sample_rows, so its side may always be broadcast.
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")
+    fold = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("fold", fold), "labelled")
     rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     rate = (toxic or 0) / max(1, rows)
-    lexicon = learn_lexicon(sample) if 0 < rate < 1 else {}
     if not 0 < rate < 1:
-        return Model(lexicon, None, None, rate)
-    train = stored(with_features(sample, lexicon).select("doc_id", "toxic", "__features").coalesce(4), "features")
-    train = train.select("doc_id", F.col("toxic").cast("double").alias("label"), array_to_vector("__features").alias("features"))
-    last = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(4)) == 0
+        return Model({}, None, None, rate)
+    lexicon, *apart = learn_lexicons(sample)
+    parts = [with_features(sample.where(F.col("fold") == k), apart[k]) for k in range(FOLDS)]
+    train = stored(reduce(DataFrame.unionByName, parts).select("fold", "toxic", "__features").coalesce(4), "features")
+    train = train.select("fold", F.col("toxic").cast("double").alias("label"), array_to_vector("__features").alias("features"))
+    last = F.col("fold") == 0
     fold, rest = train.where(last), train.where(~last)
     if fold.agg(F.countDistinct("label")).first()[0] < 2 or rest.agg(F.countDistinct("label")).first()[0] < 2:
         fold = rest = train

@@ -137,6 +137,17 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert len(toxicity.features("", {})) == len(toxicity.FEATURES)
 
 
+def test_toxicity_reaches_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL")
+    docs = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    out = toxicity.score(docs, toxicity.fit(docs.drop("toxic"), labels, ~toxicity.held_out(F.col("doc_id")))).where(toxicity.held_out(F.col("doc_id")))
+    rows = out.select("lang", "toxic", (F.col("__score") >= toxicity.THRESHOLD).alias("said")).collect()
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([r["said"] for r in rows if r["lang"] == lang and r["toxic"]]) > 0.8, lang
+        assert np.mean([r["said"] for r in rows if r["lang"] == lang and not r["toxic"]]) < 0.01, lang
+
+
 def test_disguised_words_count():
     at = toxicity.FEATURES.index("disguised")
     lexicon = {"idiot": 2.0, "clown": 2.0}
