@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +97,24 @@ def excursions(trades: DataFrame, bars: DataFrame, bucket_ms: int = 86_400_000)
 
 
 def lineage(strategies: DataFrame) -> DataFrame:
-    """id, root, depth: each version's first ancestor, by a recursive query over (id, previous_id)."""
-    spark = strategies.sparkSession
-    strategies.createOrReplaceTempView("__strategies")
-    return spark.sql("""
-WITH RECURSIVE r(id, root, depth) MAX RECURSION LEVEL 10000 AS (
-  SELECT id, id, 0 FROM __strategies WHERE previous_id IS NULL
-  UNION ALL SELECT s.id, r.root, r.depth + 1 FROM __strategies s JOIN r ON s.previous_id = r.id)
-SELECT id, root, depth FROM r""")
+    """id, root, depth: each version's first ancestor, by pointer doubling over (id, previous_id).
+
+    A round joins each open row with its ancestor's row and so doubles how far it looks back: log2 of the longest chain
+    rounds. Rows that have met their root leave the rounds. A version that no root reaches (its ancestor is missing or in
+    a ring) gives no row; ids are distinct."""
+    sc = strategies.sparkSession.sparkContext
+    if not sc.getCheckpointDir():  # unset in local runs only
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+    rows = strategies.where("id IS NOT NULL").select("id", F.coalesce("previous_id", "id").alias("root"), F.when(F.col("previous_id").isNull(), 0).otherwise(1).alias("depth"), F.col("previous_id").isNull().alias("done"))
+    rows = rows.checkpoint()
+    n = rows.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        if not rows.where("NOT done").head(1):
+            break
+        up = rows.select(F.col("id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("done").alias("met"))
+        met = rows.where("NOT done").join(up, "root").select("id", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("met").alias("done"))
+        rows = rows.where("done").unionByName(met).checkpoint()
+    return rows.where("done").select("id", "root", "depth")
 
 
 def sized_positions(signals: DataFrame, mode: str, *, cash: float = 100_000.0, share: float = 0.1, amount: float = 1_000.0, qty: float = 1.0, slots: int = 10, risk: float = 0.01, mult: float = 2.0) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from barloom.operators.series import lineage
 from barloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -42,3 +43,11 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_lineage_of_a_long_chain(spark):
+    ids = spark.range(1, 12_001)
+    chain = ids.selectExpr("id", "CASE WHEN id > 1 THEN id - 1 END AS previous_id")
+    others = spark.createDataFrame([(20_000, None), (20_001, 20_000), (20_002, 20_000), (30_001, 30_000), (40_000, 40_001), (40_001, 40_000)], "id long, previous_id long")
+    got = sorted(tuple(r) for r in lineage(chain.union(others)).collect())
+    assert got == [(i, 1, i - 1) for i in range(1, 12_001)] + [(20_000, 20_000, 0), (20_001, 20_000, 1), (20_002, 20_000, 1)]
