@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import sized, stored, table, text_hash, without
 from .components import components
+from .jaccard import similar
 
 SEED, BUDGET = 42, 2
 #: Distinct fingerprints under one 32-bit key above which that key is dealt out by node pairs 8 levels deeper.
@@ -184,8 +185,20 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id; all columns are kept."""
-    gone = near_groups(docs).where("doc_id <> component_id")
+    """``docs`` with one document of each group, the one with the smallest doc_id; all columns are kept.
+
+    A group hangs together by fingerprints within the budget, as in ``near_groups``, or by shingles of five words with a
+    Jaccard similarity of 0.8 or more. Its nodes are text hashes, so rows with a null id take part and lose to any other.
+    """
+    prints = stored(fingerprints(docs), "prints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("th").alias("rep")), "distinct")
+    equal = prints.join(distinct, "fp").where("th <> rep").select(F.col("th").alias("u"), F.col("rep").alias("v"))
+    label = components(links(distinct).union(equal).union(similar(docs)))
+    grouped = prints.join(label, prints["th"] == label["node"], "left").select("doc_id", "th", F.coalesce("label", "th").alias("label"))
+    grouped = stored(grouped, "grouped")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    keep = grouped.groupBy("label").agg(F.min(order).alias("k")).select("label", F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th"))
+    gone = grouped.join(keep, "label").where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))))
     return without(docs, gone)
 
 

@@ -109,6 +109,27 @@ def test_near_odd_rows(odd, none):
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} == {1, 4, 7, None, 9, 10, 11}
 
 
+def test_near_stage_finds_similar_shingles(spark, sf, documents):
+    def plain(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(96)]
+    near = [x if i not in (30, 60) else "changed" for i, x in enumerate(base)]
+    far = [x if i % 10 else "other" for i, x in enumerate(base)]
+    made = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (None, " ".join(near[:-1]))], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near(made).collect()} == {1, 3}
+    sets, by = {d["doc_id"]: plain(d["text"]) for d in documents}, defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            by[x].add(i)
+    met = {p for ids in by.values() if len(ids) < 40 for p in combinations(sorted(ids), 2)}
+    want = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r["doc_id"] for r in simhash.drop_near(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert want and not [p for p in want if kept >= set(p)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(60)]
