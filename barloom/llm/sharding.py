@@ -3,7 +3,7 @@
 A document descends region, rack and shard. At each level every child draws -ln(u)/weight, u a hash of
 (doc_id, child's path) in (0, 1), and the smallest draw wins (weighted rendezvous). Draws of one child
 don't depend on the others, so a changed weight moves rows into or out of that child's subtree only.
-Growth adds a region of its own: rows move only into the new shard. This keeps the ``key`` law.
+Growth appends a region to the tree in use (``extended``): rows move only into the new shard. This keeps the ``key`` law.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ class Node:
 
 
 def uniform_tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
-    """Regions of ``racks`` racks of ``per_rack`` shards for the first whole regions; each further shard is a
-    region of its own, so a tree for n+1 shards is the tree for n and one region more."""
+    """A first tree for ``shards`` shards: regions of ``racks`` racks of ``per_rack`` shards as far as whole regions go, each
+    shard left over as a region of its own. A tree in use grows by ``extended``, never by a new first tree."""
     whole = shards // (racks * per_rack)
     regions = []
     for r in range(whole):
@@ -46,6 +46,18 @@ def uniform_tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
     return Node("", float(shards), None, tuple(regions))
 
 
+def _shards(node: Node) -> int:
+    return 1 if node.shard is not None else sum(_shards(c) for c in node.children)
+
+
+def extended(tree: Node) -> Node:
+    """``tree`` with one more shard, the next number, as a region of its own: whatever the tree and however often it was
+    extended, rows move into the new shard only."""
+    s = _shards(tree)
+    leaf = Node(f"x{s}/k0/s0", 1.0, s)
+    return Node(tree.path, tree.weight + 1.0, None, (*tree.children, Node(f"x{s}", 1.0, None, (Node(f"x{s}/k0", 1.0, None, (leaf,)),))))
+
+
 def _draw(key: Column, node: Node) -> Column:
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node.path)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return -F.log(u) / F.lit(float(node.weight))
@@ -72,25 +84,27 @@ def shard(docs: DataFrame, shards: int = 16, tree: Node | None = None, grown: No
 
     A null text has size 1 and the crc32 of no bytes (0). Rows that repeat a doc_id go to one shard, each
     with its own slot; a null doc_id is a key like any other. Texts, ties and other columns don't matter to
-    the shard. An empty table gives an empty table. Slots ascend by (hash bucket, doc_id, size, crc).
+    the shard. An empty table gives an empty table. Slots ascend by (hash bucket, doc_id, size, crc). Equal rows are
+    counted before they are numbered, and a bucket is drawn from id, size and crc, so neither copies nor a repeated id
+    fill one task.
     """
-    tree, grown = tree or uniform_tree(shards), grown or uniform_tree(shards + 1)
+    tree = tree or uniform_tree(shards)
+    grown = grown or extended(tree)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.col("doc_id")
-    rows = docs.select(
-        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
-        shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("slot"), key), 1).alias("spread"),
-    )
+    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), F.shiftrightunsigned(F.xxhash64(F.lit("slot"), key, "size", "text_crc32"), 1).alias("spread"))
     rows = stored(rows, "shards")
     parts = max(1, -(-rows.count() // (shards * ROWS_PER_BUCKET)))
     rows = rows.withColumn("part", F.col("spread") % parts)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("n"))
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
-    out = rows.withColumn("at", F.row_number().over(inside) - 1).join(offsets, ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), "grown_shard")
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "part"]).withColumn("first", F.col("first") + F.col("at"))
+    out = out.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,50 @@ def test_changed_weight_moves_into_its_subtree_only(spark):
     assert abs(share[2] / len(got) - 3 / 10) < 0.02 and abs(share[7] / len(got) - 1 / 10) < 0.02
 
 
+@pytest.mark.parametrize("n", [*range(1, 18), 23, 24, 31, 32, 39, 40])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    from pyspark.sql import functions as F
+
+    first = sharding.uniform_tree(n)
+    trees = [first, sharding.extended(first), sharding.extended(sharding.extended(first))]
+    rows = spark.range(4000).select(*(sharding.shard_of(F.col("id"), t).alias(f"s{i}") for i, t in enumerate(trees))).collect()
+    assert {r["s0"] for r in rows} == set(range(n))
+    for a, b, new in (("s0", "s1", n), ("s1", "s2", n + 1)):
+        moved = [r[b] for r in rows if r[a] != r[b]]
+        assert set(moved) == {new} and abs(len(moved) / 4000 - 1 / (new + 1)) < 0.05
+
+
+def plain_shard(key, node):
+    """The descent in plain code: Spark's xxhash64 of (key, path) is XXH64 of the key's 8 bytes, then of the path with that as the seed."""
+    import struct
+
+    import xxhash
+
+    while node.shard is None:
+        draws = []
+        for i, c in enumerate(node.children):
+            h = xxhash.xxh64_intdigest(c.path.encode(), seed=xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42))
+            draws.append((-np.log(((h >> 11) + 0.5) / (1 << 53)) / c.weight, i))
+        node = node.children[min(draws)[1]]
+    return node.shard
+
+
+def test_shards_are_those_of_the_plain_descent(spark, sf):
+    tree = sharding.uniform_tree(16)
+    grown = sharding.extended(tree)
+    for r in sharding.op3_sharding(spark, sf).collect():
+        assert r["shard"] == plain_shard(r["doc_id"], tree) and r["grown_shard"] == plain_shard(r["doc_id"], grown)
+
+
+def test_sharding_counts_copies_before_it_numbers_them(spark):
+    rows = spark.createDataFrame([(None, "t")] * 300 + [(i, "t") for i in range(50)], "doc_id long, text string")
+    out = sharding.shard(rows, 4).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 350 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def plain_sainte_lague(claims, seats):
     won = [0] * len(claims)
     for _ in range(seats):
@@ -92,12 +136,32 @@ def check_mix(rows, docs):
 
 def test_mixing_query(spark, sf, documents, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_PER_SHARD", 20)
+    monkeypatch.setattr(mixing, "ROWS_PER_PART", 4)
     out = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
     rows = out.collect()
     check_mix(rows, documents)
     assert sorted(map(str, rows)) == sorted(map(str, out.collect()))
 
 
+def test_mixing_takes_whole_documents_in_one_order(spark, sf, monkeypatch):
+    """Within a shard, documents are taken whole from the first on; at most one of them is cut."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(mixing, "ROWS_PER_PART", 37)
+    rows = [r for r in mixing.mix(docs).collect() if r["size"]]
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    for group in by_source.values():
+        low = min(r["taken"] // r["size"] for r in group)
+        assert sum(r["taken"] % r["size"] != 0 for r in group) <= 1 and all(low * r["size"] <= r["taken"] <= (low + 1) * r["size"] for r in group)
+
+
+def test_mixing_empty_texts_only(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, " \n", None)], "doc_id long, text string, source string")
+    assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix(rows).collect()} == {(0, 0.0, 0)}
+    assert mixing.mixed_documents(rows).count() == 0
+
+
 def test_mixing_odd_rows(odd, none):
     check_mix(mixing.mix(odd).collect(), [r.asDict() for r in odd.collect()])
     assert mixing.mix(none).count() == 0
