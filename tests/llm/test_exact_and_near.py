@@ -167,10 +167,32 @@ def test_line_odd_rows(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("limits", [("FEW_KEYS", 0), ("FEW_KEYS", 2), ("BROADCAST_HASHES", -1)])
+def test_lines_by_each_way(spark, sf, odd, documents, monkeypatch, limits):
+    monkeypatch.setattr(line_dedup, *limits)
+    got = sorted(tuple(r) for r in line_dedup.op4_line_dedup(spark, sf).collect())
+    assert got == sorted(brute_lines(documents))
+    rows = [r.asDict() for r in odd.collect()]
+    out = line_dedup.dedup_lines(odd, min_docs=2, batches=3).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out), key=str) == sorted(brute_lines(rows, 2), key=str)
+
+
 def test_runs_compact(spark):
-    runs = line_dedup.LineRuns(spark, fan_in=2)
+    runs = line_dedup.LineRuns(spark, fan_in=2, min_docs=4)
     for k in range(4):
         runs.add(spark.createDataFrame([(k, f"x\nonly {k}")], "doc_id long, text string"))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     assert {r["n"] for r in runs.levels[2][0].collect()} == {1, 4}
-    assert runs.frequent(4).count() == 1
+    assert runs.frequent().count() == 1
+
+
+def test_settled_keys_leave_later_batches(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=2)
+    batch = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs.add(batch("x\ny", "x", "z"))
+    runs.add(batch("x", "y", "y"))
+    assert sorted(r["n"] for r in runs.levels[0][0].collect()) == [1, 1, 2]
+    assert [r["n"] for r in runs.levels[0][1].collect()] == [2]  # x is settled and no longer counted
+    assert runs.frequent().count() == 2
+    counts = runs.levels[0][0].join(runs.levels[0][1].hint("merge"), ["h", "c"], "left_anti")
+    assert "SortMergeJoin" in counts._jdf.queryExecution().executedPlan().toString()
