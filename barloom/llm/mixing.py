@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import sized, stored, table, text_hash
 
 BLOCK, SHARE, MOST_REPEATS, WEIGHTS = 32, 1.5, 2, (3, 1, 2)
-#: Rows of a shard, about; a source has as many shards as that needs.
-ROWS_PER_SHARD = 20_000
+#: Rows of a shard, about; a source has as many shards as that needs. Rows of a part of a shard, about: a task sorts one part.
+ROWS_PER_SHARD, ROWS_PER_PART = 20_000, 2_000
 
 
 def sainte_lague(claims: np.ndarray, seats: int) -> np.ndarray:
@@ -109,8 +109,15 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_REPEATS, block:
     quotas = shards.groupBy("source").applyInPandas(_quotas(most, block), "source string, shard long, shard_size long, quota long")
     quotas = stored(quotas, "quotas").withColumnsRenamed({"source": "__source", "shard": "__shard"})
     met = dealt.join(sized(quotas), dealt["source"].eqNullSafe(quotas["__source"]) & (dealt["shard"] == quotas["__shard"]))
-    before = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # A shard's order is that of the draws; parts are equal spans of the draws, and what stands before a part is a sum over parts.
+    parts = -(-ROWS_PER_SHARD // ROWS_PER_PART)
+    met = met.withColumn("part", F.shiftright((F.shiftrightunsigned("draw", 44) * F.lit(parts)).cast("long"), 20))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = met.groupBy("source", "shard", "part").agg(F.sum("size").alias("s"))
+    spans = stored(spans.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.col("part").alias("__part"), F.coalesce(F.sum("s").over(up_to(Window.partitionBy("source", "shard").orderBy("part"))), F.lit(0)).alias("first")), "spans")
+    inside = up_to(Window.partitionBy("source", "shard", "part").orderBy(F.shiftrightunsigned("draw", 1), "doc_id", "size"))
+    met = met.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    met = met.join(sized(spans), met["source"].eqNullSafe(spans["__source"]) & (met["shard"] == spans["__shard"]) & (met["part"] == spans["__part"])).withColumn("before", F.col("first") + F.col("inside"))
     rounds = F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - rounds * F.col("shard_size") - F.col("before")))
     return met.select("doc_id", "th", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
