@@ -98,17 +98,29 @@ def test_secret_scan(spark, sf, documents):
     assert sum((got - want).values()) <= 0.05 * sum(want.values()) + 2
 
 
+def test_forest_on_kinds_that_it_never_saw(spark, sf):
+    words = secret_scan.dictionary(spark.read.parquet(f"{sf}/documents.parquet"))
+    made = secret_scan.made_labels(spark, words, each=100)
+    assert made.count() == 100 * len(secret_scan.KINDS) and sorted(made.limit(50).collect()) == sorted(secret_scan.made_labels(spark, words, each=100).limit(50).collect())
+    model = secret_scan.fit(made.where("NOT held_out"), words)
+    rows = secret_scan.judge(made.where("held_out").withColumnRenamed("is_secret", "truth"), model, words).collect()
+    hits = sum(r["truth"] == 1 and r["is_secret"] for r in rows)
+    assert hits / sum(r["truth"] for r in rows) >= 0.9 and hits / sum(r["is_secret"] for r in rows) >= 0.9
+
+
 def test_secret_findings_are_all_occurrences(spark, odd, none):
     docs = spark.createDataFrame([(1, "key abcdefgh12345678 abcdefgh12345678x abcdefgh12345678"), (2, None), (3, "")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["start"], r["candidate"]) for r in secret_scan.findings(docs).collect())
     assert got == [(1, 4, "abcdefgh12345678"), (1, 21, "abcdefgh12345678x"), (1, 39, "abcdefgh12345678")]
-    texts = ["token=abcdefgh12345678", "a=\"abcdefgh12345678===\" é=ABCDEFGH12345678abcdefgh", "é" * 60 + " ABCDEFGH12345678==x" * 5 + "\nß", "abcdefgh12345678" * 9, "=" * 40]
+    texts = ["token=abcdefgh12345678", "my password = \"hunter2x\" and Secret: ab$c!d%e, pwd=abc", "api_key:'x1y2' tokens : a-b-c-d", "a=\"abcdefgh12345678===\" é=ABCDEFGH12345678abcdefgh", "é" * 60 + " ABCDEFGH12345678==x" * 5 + "\nß", "abcdefgh12345678" * 9, "=" * 40]
     got = secret_scan.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    want = [
-        (i, m.start(), m[0], t[max(0, m.start() - secret_scan.CONTEXT) : m.start()], t[m.end() : m.end() + secret_scan.CONTEXT])
-        for i, t in enumerate(texts) for m in re.finditer(secret_scan.CANDIDATE, t)
-    ]
-    assert sorted(tuple(r) for r in got) == want and len(want) == 9
+    want = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            name = re.match(secret_scan.PREFIX + r"(?=[^\s\"'`]{4})", m[0])
+            at = m.start() + (name.end() if name else 0)
+            want.append((i, at, t[at : m.end()], t[max(0, at - secret_scan.CONTEXT) : at], t[m.end() : m.end() + secret_scan.CONTEXT]))
+    assert sorted(tuple(r) for r in got) == want and {"hunter2x", "ab$c!d%e,", "x1y2", "a-b-c-d"} <= {w[2] for w in want}
     assert secret_scan.scan(none).count() == 0
     assert secret_scan.scan(odd).count() == secret_scan.findings(odd).count()
     assert all(r["is_secret"] for r in secret_scan.scan(docs, docs.limit(0).selectExpr("text candidate", "text before", "text after", "1.0 is_secret")).collect())
@@ -119,11 +131,9 @@ def test_toxicity_query(spark, sf, documents):
     rows = {r["doc_id"]: r for r in toxicity.op10_toxicity(spark, sf).collect()}
     assert len(rows) == len(documents)
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for i, r in rows.items())
-    insults = re.compile(r"(?i)\b(?:trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b")
-    bad = [rows[d["doc_id"]]["predicted"] for d in documents if len(insults.findall(d["text"])) >= 3]
-    good = [rows[d["doc_id"]]["predicted"] for d in documents if not insults.search(d["text"])]
-    assert np.mean(bad) > 0.9 and np.mean(good) < 0.01
-    assert len(labels) > 0
+    found = [rows[i]["predicted"] for i, t in labels.items() if t == 1 and i in rows]
+    wrong = [rows[i]["predicted"] for i, t in labels.items() if t == 0 and i in rows]
+    assert np.mean(found) > 0.8 and np.mean(wrong) < 0.02
 
 
 def test_toxicity_odd_rows(spark, odd, none):
@@ -144,7 +154,7 @@ def test_toxicity_reaches_every_language(spark):
     out = toxicity.score(docs, toxicity.fit(docs.drop("toxic"), labels, ~toxicity.held_out(F.col("doc_id")))).where(toxicity.held_out(F.col("doc_id")))
     rows = out.select("lang", "toxic", (F.col("__score") >= toxicity.THRESHOLD).alias("said")).collect()
     for lang in ("en", "de", "fr", "es"):
-        assert np.mean([r["said"] for r in rows if r["lang"] == lang and r["toxic"]]) > 0.8, lang
+        assert np.mean([r["said"] for r in rows if r["lang"] == lang and r["toxic"]]) >= 0.9, lang
         assert np.mean([r["said"] for r in rows if r["lang"] == lang and not r["toxic"]]) < 0.01, lang
 
 
@@ -152,6 +162,7 @@ def test_disguised_words_count():
     at = toxicity.FEATURES.index("disguised")
     lexicon = {"idiot": 2.0, "clown": 2.0}
     assert toxicity.features("you 1d10t and i.d.i.o.t and cloooown here", lexicon)[at] == pytest.approx(np.log1p(3))
+    assert toxicity.features("you " + "i.d.i.o.t" + "." * 60 + " here", lexicon)[at] == pytest.approx(np.log1p(1))
     assert toxicity.features("you idiot", lexicon)[toxicity.FEATURES.index("near_second_person")] == 1
 
 
@@ -168,3 +179,14 @@ def test_pipeline(spark, sf, documents):
         before = spark.createDataFrame(kept, docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in before.collect()}
+
+
+def test_pipeline_odd_rows(spark, sf, odd, none):
+    """Every stage takes nulls, repeated rows, very long texts, an empty table and clashing columns, and hands on the columns of its input."""
+    for start in (odd, none):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, sf)
+            assert after.columns == odd.columns, name
+            docs = spark.createDataFrame([tuple(r) for r in after.collect()], odd.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
