@@ -15,11 +15,13 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests) a temporary folder is made and set; on a cluster it is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="barloom-")
         sc.setCheckpointDir(found)
     return found

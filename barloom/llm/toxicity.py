@@ -58,8 +58,8 @@ def words_of(text: str) -> list[str]:
 
 class Disguises(dict):
     """1 for a lower-case token that is no word of the lexicon as it stands but one when look-alike signs are read as
-    letters, signs are left out or repeated letters are counted once; else 0. Remembers up to ``MOST`` tokens that
-    took a closer look; most are plain at their first and last letter."""
+    letters, signs are left out or repeated letters are counted once; else 0. Remembers up to ``MOST`` tokens of at most
+    40 characters that took a closer look, longer ones are looked at anew; most are plain at their first and last letter."""
 
     MOST = 50_000
 
@@ -67,8 +67,6 @@ class Disguises(dict):
         self.lexicon, self.edges = lexicon, {w[0] + w[-1] for w in lexicon}
 
     def __missing__(self, w: str) -> int:
-        if len(w) >= 40:
-            return 0
         if w.isalpha():
             if w[0] + w[-1] not in self.edges:
                 return 0
@@ -78,10 +76,11 @@ class Disguises(dict):
             if plain.isalpha():
                 return 0
             hidden = plain not in self.lexicon and _SIGNS.sub("", plain.translate(LOOKALIKES)) in self.lexicon
-        if len(self) >= self.MOST:
-            self.clear()
-        self[w] = 1 if hidden else 0
-        return self[w]
+        if len(w) <= 40:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[w] = 1 if hidden else 0
+        return 1 if hidden else 0
 
 
 def features(text: str, lexicon: dict[str, float], disguises: Disguises | None = None) -> list[float]:
