@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +78,15 @@ class Sheet:
     def seen(self, x: Column) -> Column:
         return self.put(F.count(x).over(self.w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def scan(self, *steps: tuple[Column, Column]) -> list[Column]:
+    def scan(self, *steps: tuple[Column, Column], size: int = CHUNK) -> list[Column]:
         """y_t = q_t·y_{t-1} + b_t for each (q, b), y before the first row 0, q above 0.
 
         Chunks of a series are summed in parallel with Q = Πq: local = Q·Σ b/Q. The chunk ends of a series, a
-        short array, fold into what each chunk carries in; y = local + Q·carry.
+        short array, fold into what each chunk carries in; y = local + Q·carry. ``size`` rows make a chunk: q to its
+        power must stay above the smallest double.
         """
         row = self.put(F.row_number().over(self.w) - 1)
-        chunk = self.put(F.floor(row / CHUNK))
+        chunk = self.put(F.floor(row / size))
         inside = Window.partitionBy(*KEYS, chunk).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
         made = []
         for q, b in steps:
@@ -117,7 +120,9 @@ class Sheet:
             q = F.when(x.isNull() | (seen < n), 1.0).otherwise(1.0 - alpha)
             todo.append((self.put(q), self.put(b)))
             ready.append((seen, n))
-        done = iter(self.scan(*todo)) if todo else iter(())
+        least = min((1.0 - alpha for _, alpha, _ in steps if alpha < 1), default=0.5)
+        fits = max(1, int(-250 * math.log(10) / math.log(max(least, 1e-250)))) if least < 1 / 3 else CHUNK
+        done = iter(self.scan(*todo, size=min(CHUNK, fits))) if todo else iter(())
         return [s if n is None else self.put(F.when(s >= n, next(done))) for s, n in ready]
 
     def ema(self, x: Column, n: int) -> Column:

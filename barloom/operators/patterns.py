@@ -9,7 +9,7 @@ from ..functions.sheet import Sheet, near_zero
 
 
 def candlesticks(bars: DataFrame) -> DataFrame:
-    """The bars with one boolean column per pattern; patterns that look back are null until they can."""
+    """The bars with one boolean column per pattern; patterns that look back are null until they can. A bar that closes where it opened counts as rising."""
     s = Sheet(bars)
     o, h, low, c = s.o, s.h, s.l, s.c
     size = s.put(h - low)
@@ -25,10 +25,10 @@ def candlesticks(bars: DataFrame) -> DataFrame:
     hammer, star = (upper < 0.2) & (lower > 0.6) & (body < 0.35), (lower < 0.2) & (upper > 0.6) & (body < 0.35)
     return s.done(
         doji=body < 0.1, hammer=hammer & (c < past), hanging_man=hammer & (c >= past), shooting_star=star & (c > past), inverted_hammer=star & (c <= past),
-        marubozu_bull=(body > 0.95) & (c > o), marubozu_bear=(body > 0.95) & (c < o),
-        engulfing_bull=(pc < po) & (c > o) & (o < pc) & (c > po), engulfing_bear=(pc > po) & (c < o) & (o > pc) & (c < po),
-        morning_star=F.when(warm, (qc < qo) & (s2 > mean * 0.5) & (b1 < 0.4) & (s.lag(h) < F.least(qc, o) + mean * 0.3) & (c > o) & (c > (qo + qc) / 2)),
-        evening_star=(qc > qo) & (s2 > first * 0.5) & (b1 < 0.4) & (c < o) & (c < (qo + qc) / 2),
+        marubozu_bull=(body > 0.95) & (c >= o), marubozu_bear=(body > 0.95) & (c < o),
+        engulfing_bull=(pc < po) & (c > o) & (o < pc) & (c > po), engulfing_bear=(pc >= po) & (c < o) & (o > pc) & (c < po),
+        morning_star=F.when(warm, (qc < qo) & (s2 > mean * 0.5) & (b1 < 0.4) & (s.lag(h) < F.least(qc, o) + mean * 0.3) & (c >= o) & (c > (qo + qc) / 2)),
+        evening_star=(qc >= qo) & (s2 > first * 0.5) & (b1 < 0.4) & (c < o) & (c < (qo + qc) / 2),
         three_white_soldiers=(c > pc) & (pc > qc) & (c > o) & (pc > po) & (qc > qo) & (body > 0.5) & (b1 > 0.5) & (b2 > 0.5) & (o > po) & (o < pc) & (po > qo) & (po < qc),
         three_black_crows=(c < pc) & (pc < qc) & (c < o) & (pc < po) & (qc < qo) & (body > 0.5) & (b1 > 0.5) & (b2 > 0.5) & (o < po) & (o > pc) & (po < qo) & (po > qc),
     )

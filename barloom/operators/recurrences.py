@@ -79,26 +79,29 @@ def supertrend(bars: Iterator[Bar], n: int = 10, mult: float = 3.0) -> Iterator[
             continue
         mid = (h + low) / 2
         top, floor = mid + mult * atr, mid - mult * atr
-        if up is not None:
-            flipped = c < down if bull else c > up
-            floor = max(floor, down) if before >= down else floor
-            top = min(top, up) if before <= up else top
-            bull = bull != flipped
+        if up is None:
+            bull = c > floor
+        elif bull:
+            bull = c >= down
+            floor = max(floor, down) if bull else floor
+        else:
+            bull = c > up
+            top = top if bull else min(top, up)
         up, down, before = top, floor, c
         yield (floor if bull else top), bull, not bull
 
 
 def parabolic_sar(bars: Iterator[Bar], step: float = 0.02, most: float = 0.2) -> Iterator[tuple]:
     past: list[tuple[float, float]] = []
-    sar = ep = 0.0
-    af, bull = step, True
+    sar = None
+    ep, af, bull = 0.0, step, True
     for _, h, low, _ in bars:
         if not past:
             past = [(h, low)]
             yield None, None
             continue
-        if len(past) == 1 and sar == 0.0 and ep == 0.0:
-            sar, ep = past[0][1], max(past[0][0], h)
+        if sar is None:
+            sar, ep = min(past[0][1], low), h
         else:
             sar += af * (ep - sar)
             sar = min(sar, *(x[1] for x in past)) if bull else max(sar, *(x[0] for x in past))

@@ -55,13 +55,27 @@ def gaps(bars: DataFrame, tf: str) -> DataFrame:
     return pairs.where(F.col("before") - F.col("after") > 2 * ms).withColumn("missing", (F.col("before") - F.col("after")).cast("long") / ms - 1).withColumn("missing", F.col("missing").cast("long"))
 
 
-def as_of(base: DataFrame, high: DataFrame, base_tf: str, high_tf: str, columns: list[str], prefix: str = "htf_") -> DataFrame:
-    """Each base bar with the latest higher bar that closed by its own close; one union and one sort by symbol."""
+def filled(df: DataFrame, value: str, at: str, order: list[str], keys: list[str], span: int) -> DataFrame:
+    """``df`` with each null of ``value`` replaced by the last one before it within ``keys``, in time order.
+
+    Rows are dealt by key and bucket of ``span`` milliseconds, so a long series is many tasks; one row a bucket carries what
+    the buckets before end with."""
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__bucket", F.floor(F.col(at) / span))
+    ends = df.where(F.col(value).isNotNull()).groupBy(*keys, "__bucket").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    buckets = df.select(*keys, "__bucket").distinct().join(ends, [*keys, "__bucket"], "left")
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carry = buckets.select(*keys, "__bucket", before.alias("__carry"))
+    seen = df.withColumn(value, F.last(value, ignorenulls=True).over(inside))
+    return seen.join(carry, [*keys, "__bucket"], "left").withColumn(value, F.coalesce(value, "__carry")).drop("__bucket", "__carry")
+
+
+def as_of(base: DataFrame, high: DataFrame, base_tf: str, high_tf: str, columns: list[str], prefix: str = "htf_", buckets: int = 512) -> DataFrame:
+    """Each base bar with the latest higher bar that closed by its own close; the series is cut into spans of ``buckets`` higher bars."""
     a = base.withColumns({"__at": F.col("t") + TIMEFRAMES[base_tf], "__side": F.lit(1), "__r": F.lit(None).cast(high.select(F.struct(*columns)).schema[0].dataType)})
     b = high.select("symbol", (F.col("t") + TIMEFRAMES[high_tf]).alias("__at"), F.lit(0).alias("__side"), F.struct(*columns).alias("__r"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    seen = filled(both, "__r", "__at", ["__at", "__side"], ["symbol"], buckets * TIMEFRAMES[high_tf]).where("__side = 1")
     return seen.select(*base.columns, *(F.col(f"__r.{c}").alias(prefix + c) for c in columns))
 
 

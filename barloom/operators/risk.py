@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_cdf, probit
+from .series import numbered
 
 DAY = 86_400_000
 _TRADE_ORDER = ("exit_at", "entry_at", "trade", "line", "part")
@@ -22,10 +23,15 @@ def barriers(bars: DataFrame, entries: DataFrame, most: int, trailing: float | N
     A bar tests the trailing stop (a share off the best price since entry, its own included), the stop and then the
     target; with ``heuristic``, the target comes first in a bar that runs against the side. After ``most`` bars the close
     ends it. Adds reason, exit_t, exit_price, bars_held, mae and mfe; reason is null where the bars end first. Null stops
-    and targets never fire. Each bar holds the next ``most`` bars as an array, so entries meet them in one equi join.
+    and targets never fire. Bars are numbered and cut into blocks of ``most`` rows; an entry meets its own block and the next
+    in an equi join, and the at most ``most`` bars after it fold as one array. Entries of equal columns count once.
     """
-    w = Window.partitionBy("symbol", "tf").orderBy("t").rowsBetween(1, most)
-    ahead = bars.select("symbol", "tf", "t", F.collect_list(F.struct("t", "o", "h", "l", "c")).over(w).alias("ahead"))
+    rows = numbered(bars.select("symbol", "tf", "t", "o", "h", "l", "c"), ["symbol", "tf"], "t", 500 * DAY)
+    block = F.floor(F.col("i") / most)
+    at = entries.join(rows.select("symbol", "tf", "t", "i"), ["symbol", "tf", "t"]).withColumn("block", F.explode(F.array(block, block + 1)))
+    later = rows.select("symbol", "tf", F.col("i").alias("j"), F.floor(F.col("i") / most).alias("block"), F.struct("i", "t", "o", "h", "l", "c").alias("bar"))
+    near = F.when((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + most), F.col("bar"))
+    ahead = at.join(later, ["symbol", "tf", "block"], "left").groupBy(*entries.columns).agg(F.sort_array(F.collect_list(near)).alias("ahead"))
     long, p = F.col("side") == "long", F.col("entry_price")
     event = lambda price, reason: F.struct(price.cast("double").alias("price"), F.lit(reason).alias("reason"))
     state = "struct<best:double,worst:double,far:double,held:int,t:bigint,price:double,reason:string>"
@@ -45,7 +51,7 @@ def barriers(bars: DataFrame, entries: DataFrame, most: int, trailing: float | N
         return F.when(acc["reason"].isNotNull(), acc).otherwise(new)
 
     start = F.struct(p, p, p, F.lit(0), null, null, null).cast(state)
-    met = entries.join(ahead, ["symbol", "tf", "t"]).withColumn("__x", F.aggregate("ahead", start, step))
+    met = ahead.withColumn("__x", F.aggregate("ahead", start, step))
     x = F.col("__x")
     adverse, favourable = F.abs(x["worst"] - p) / p, F.abs(x["far"] - p) / p
     return met.select(*entries.columns, x["reason"].alias("reason"), x["t"].alias("exit_t"), x["price"].alias("exit_price"), x["held"].alias("bars_held"), adverse.alias("mae"), favourable.alias("mfe"))

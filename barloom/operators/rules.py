@@ -8,6 +8,7 @@ their entry fold over each series (``FOLDED``). Conditions are null, and so fals
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -608,18 +609,30 @@ def _swing_inputs(s: Sheet, n: int = 5) -> list[Column]:
 FOLDED |= {"atr_trailing": (_trailing_inputs, _trailing), "price_action_swing": (_swing_inputs, _swings)}
 
 
+def trades_of(bars: DataFrame, marks: DataFrame) -> DataFrame:
+    """Trades of rules' signals: a long while out enters, an exit while in leaves, the last bar closes; return on close.
+
+    Only signals meet their bars; a signal that repeats the one before changes nothing."""
+    closes = bars.select("symbol", "tf", "t", "c")
+    w = Window.partitionBy("rule", "symbol", "tf").orderBy("t")
+    x = marks.select("rule", "symbol", "tf", "t", "direction").join(closes, ["symbol", "tf", "t"])
+    x = x.withColumn("was", F.coalesce(F.lag("direction").over(w), F.lit("exit"))).where("direction <> was")
+    x = x.withColumns({"exit_t": F.lead("t").over(w), "exit_price": F.lead("c").over(w)}).where("direction = 'long'")
+    last = closes.groupBy("symbol", "tf").agg(F.max("t").alias("last_t"), F.max_by("c", "t").alias("last_c"))
+    x = x.join(last, ["symbol", "tf"])
+    out = x.select("rule", "symbol", "tf", F.col("t").alias("entry_t"), F.col("c").alias("entry_price"), F.coalesce("exit_t", "last_t").alias("exit_t"), F.coalesce("exit_price", "last_c").alias("exit_price"))
+    return out.withColumn("ret", F.col("exit_price") / F.col("entry_price") - 1)
+
+
 def paired(bars: DataFrame, name: str) -> DataFrame:
-    """Trades of a rule: a long while out enters, an exit while in leaves, the last bar closes; return on close."""
-    marks = signals(bars, name).select("symbol", "tf", "t", "direction")
-    rows = bars.join(marks, ["symbol", "tf", "t"], "left")
-    w = Window.partitionBy("symbol", "tf").orderBy("t")
-    state = F.coalesce(F.last(F.when(F.col("direction") == "long", 1).when(F.col("direction") == "exit", 0), ignorenulls=True).over(w), F.lit(0))
-    rows = rows.withColumn("inside", state)
-    rows = rows.withColumn("opens", (F.col("inside") == 1) & (F.coalesce(F.lag("inside").over(w), F.lit(0)) == 0))
-    rows = rows.withColumn("episode", F.sum(F.col("opens").cast("int")).over(w))
-    held = rows.where((F.col("inside") == 1) | ((F.col("inside") == 0) & (F.col("direction") == "exit") & (F.col("episode") > 0)))
-    first_exit = held.groupBy("symbol", "tf", "episode").agg(
-        F.min("t").alias("entry_t"), F.min_by("c", "t").alias("entry_price"), F.coalesce(F.min(F.when(F.col("inside") == 0, F.col("t"))), F.max("t")).alias("exit_t"),
-        F.coalesce(F.min_by("c", F.when(F.col("inside") == 0, F.col("t"))), F.max_by("c", "t")).alias("exit_price"),
-    )
-    return first_exit.withColumn("rule", F.lit(name)).withColumn("ret", F.col("exit_price") / F.col("entry_price") - 1)
+    return trades_of(bars, signals(bars, name))
+
+
+def leaderboard(bars: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Each rule on each series: signals, trades, wins and its compounded return in percent, best first."""
+    marks = reduce(DataFrame.unionByName, (signals(bars, n).select("rule", "symbol", "tf", "t", "direction") for n in names))
+    keys = ["rule", "symbol", "tf"]
+    seen = marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("signals"))
+    made = trades_of(bars, marks).groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("ret") > 0).alias("wins"), F.product(F.col("ret") + 1).alias("grown"))
+    out = seen.join(made, keys, "left").select(*keys, "signals", F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("wins", F.lit(0)).alias("wins"), ((F.coalesce("grown", F.lit(1.0)) - 1) * 100).alias("return_pct"))
+    return out.orderBy(F.desc("return_pct"), *keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BY_TIME = ("symbol", "t")
@@ -73,16 +73,44 @@ def latency_stats(samples: DataFrame, last: int = 1000) -> DataFrame:
     return g.select("source", n.alias("n"), F.floor(F.col("s") / n).alias("mean"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.element_at("x", -1).alias("max"))
 
 
-def walk_forward_splits(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5) -> DataFrame:
-    """Rolling windows over each symbol's bars: fold, times of the first and last training and test bar."""
-    x = bars.select("symbol", "t", (F.row_number().over(_w("symbol")) - 1).alias("i"))
+def numbered(df: DataFrame, keys: list[str], order: str, span: int, name: str = "i") -> DataFrame:
+    """Rows numbered from 0 within ``keys`` by ``order`` (milliseconds): within buckets of ``span``, then shifted by the counts of the buckets before."""
+    df = df.withColumn("__bucket", F.floor(F.col(order) / span))
+    counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*keys, "__bucket", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(order)) - 1
+    return df.withColumn("__in", inside).join(shifts, [*keys, "__bucket"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")
+
+
+def _folds(size: Column, train: int, test: int, embargo: int, step: int) -> Column:
+    return F.floor((size - (train + embargo + test)) / step) + 1
+
+
+def walk_forward_splits(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5, step: int | None = None, anchored: bool = False) -> DataFrame:
+    """Windows over each symbol's bars: fold, times of the first and last training and test bar. Windows move by ``step``
+    (``test`` rows if not given); anchored ones train from the first bar on. The four ends of a fold are row numbers, so
+    they meet their bars in one equi join."""
+    step = step or test
+    x = numbered(bars.select("symbol", "t"), ["symbol"], "t", 500 * 86_400_000)
     size = x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= train + embargo + test)
-    folds = size.select("symbol", F.posexplode(F.sequence(F.lit(0), F.col("n") - train - embargo - test, F.lit(test))).alias("fold", "start"))
-    met = x.join(folds, "symbol").where((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + train + embargo + test))
-    inside, after = F.col("i") < F.col("start") + train, F.col("i") >= F.col("start") + train + embargo
-    return met.groupBy("symbol", "fold").agg(
-        F.min(F.when(inside, F.col("t"))).alias("train_from"), F.max(F.when(inside, F.col("t"))).alias("train_to"), F.min(F.when(after, F.col("t"))).alias("test_from"), F.max(F.when(after, F.col("t"))).alias("test_to")
-    )
+    folds = size.select("symbol", F.explode(F.sequence(F.lit(0), _folds(F.col("n"), train, test, embargo, step) - 1)).alias("fold"))
+    start = F.col("fold") * step
+    ends = {"train_from": F.lit(0) if anchored else start, "train_to": start + train - 1, "test_from": start + train + embargo, "test_to": start + train + embargo + test - 1}
+    asked = folds.select("symbol", F.col("fold").cast("int").alias("fold"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.cast("long").alias("i")) for k, v in ends.items()))).alias("e")).select("symbol", "fold", "e.k", "e.i")
+    met = asked.join(x, ["symbol", "i"])
+    return met.groupBy("symbol", "fold").agg(*(F.max(F.when(F.col("k") == k, F.col("t"))).alias(k) for k in ends))
+
+
+def in_tests(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5, step: int | None = None) -> DataFrame:
+    """The bars of each fold's test window: all columns and fold. A bar's folds follow from its row number."""
+    step = step or test
+    x = numbered(bars, ["symbol"], "t", 500 * 86_400_000)
+    size = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("__n"))
+    place = F.col("i") - (train + embargo)
+    low, high = F.greatest(F.lit(0), F.ceil((place - test + 1) / step)), F.least(F.floor(place / step), _folds(F.col("__n"), train, test, embargo, step) - 1)
+    met = x.join(size, "symbol").where(F.col("__n") >= train + embargo + test).withColumns({"__low": low, "__high": high}).where("__high >= __low")
+    return met.select(*bars.columns, F.explode(F.sequence("__low", "__high")).cast("int").alias("fold"))
 
 
 def excursions(trades: DataFrame, bars: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import charts, frames, indicators, patterns, resample, risk, rules, series, trades
+from ..functions import calls
+from ..functions.sheet import Sheet
+from ..operators import book, charts, frames, indicators, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
-from .indicator_sql import indicator_sql, rule_sql
+from .indicator_sql import indicator_sql, rule_sql, two_frame_sql, walk_rule_sql
+from .report_sql import report_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,13 +42,16 @@ def _two_frames(name: str) -> Query:
     return lambda s, d: rounded(frames.two_frame_signals(bars(s, d, "M15"), bars(s, d), name, "M15", "H1"))
 
 
-def _leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    names = ("ma_crossover", "donchian_breakout", "highest_breakout")
-    all_ = rules.paired(b, names[0])
-    for name in names[1:]:
-        all_ = all_.unionByName(rules.paired(b, name))
-    return all_.groupBy("rule").agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("ret") > 0).alias("wins"), F.round(F.sum("ret"), 6).alias("total_ret"))
+BOARD = ("ma_crossover", "donchian_breakout", "highest_breakout", "macd_crossover", "roc", "ao", "stochastic_dk", "dual_momentum", "bb_rsi_reversal", "supertrend", "parabolic_sar", "heiken_ashi_color")
+
+
+def walk(spark: SparkSession, sf_dir: str, tf: str = "H1") -> DataFrame:
+    """Bars of prices with a memory: closes are 500 and a tenth of the ticks' distance from 50, summed up to each bar; a bar opens where the last one closed."""
+    b = bars(spark, sf_dir, tf)
+    w = Window.partitionBy("symbol", "tf").orderBy("t")
+    x = b.select("symbol", "tf", "t", (F.sum((F.col("c") - 50.0) / 10.0).over(w) + 500.0).alias("c"), "v")
+    x = x.withColumn("o", F.coalesce(F.lag("c").over(w), F.col("c")))
+    return x.select("symbol", "tf", "t", "o", F.greatest("o", "c").alias("h"), F.least("o", "c").alias("l"), "c", "v")
 
 
 def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +91,7 @@ QUERIES: dict[str, Query] = {
     "streaks": lambda s, d: trades.streaks(trades.trades_of(s, d)),
     "recent_closed_pnl": lambda s, d: trades.recent_closed(trades.trades_of(s, d), 3),
     "order_projection": lambda s, d: trades.order_projection(_order_events(s, d)),
-    "leaderboard": _leaderboard,
+    "leaderboard": lambda s, d: rounded(rules.leaderboard(bars(s, d), BOARD)),
 }
 
 
@@ -149,9 +155,39 @@ def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closes of each walk-forward test window as curves."""
+    return series.in_tests(bars(spark, sf_dir)).select("symbol", "fold", "t", F.col("c").alias("equity"))
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as fills of their supplier in five made symbols: returned ones sell, accepted ones buy, others by their number."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = F.when(F.col("l_returnflag") == "R", "sell").when(F.col("l_returnflag") == "A", "buy").when(F.col("l_linenumber") % 2 == 1, "buy").otherwise("sell")
+    q = F.col("l_quantity").cast("double")
+    return li.where(q > 0).select(
+        F.col("l_suppkey").cast("long").alias("hand"), F.concat(F.lit("P"), (F.col("l_partkey") % 5).cast("string")).alias("symbol"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("t"), F.col("l_orderkey").alias("order"),
+        F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), side.alias("side"), q.alias("qty"), (F.col("l_extendedprice") / q).alias("price"), (F.col("l_extendedprice") * F.col("l_tax")).alias("commission"),
+    )
+
+
+def _rule_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    met = b.join(series.walk_forward_splits(b), "symbol").where("t BETWEEN test_from AND test_to")
-    return met.select("symbol", "fold", "t", F.col("c").alias("equity"))
+    return book.next_open_fills(b, rules.signals(b, "donchian_breakout"))
+
+
+def _series_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Sheet(bars(spark, sf_dir))
+    c, o = s.c, s.o
+    return s.done(
+        crossed=calls.crossed(s, c, o), cross_above=calls.cross_above(s, c, o), cross_below=calls.cross_below(s, c, o), above=calls.above(c, o), below=calls.below(c, o), rising=calls.rising(s, c), falling_3=calls.falling(s, c, 3),
+        in_range=calls.in_range(c, 20.0, 80.0), within=calls.within(c, o, 5.0), flag=calls.flag(c / 100), slope=calls.slope(s, c, 5), momentum=calls.momentum(s, c, 3), pct_change=calls.pct_change(s, c, 2), highest=calls.highest(s, c, 7),
+        lowest=calls.lowest(s, c, 7), avg=calls.avg(s, s.lag(c), 6), total=calls.total(s, s.lag(c), 6), stdev=calls.stdev(s, c, 10), zscore=calls.zscore(s, c, 10), running_sum=calls.running_sum(s, c, 4),
+    ).drop("o", "h", "l", "c", "v")
+
+
+def _regime_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = indicators.with_indicator(bars(spark, sf_dir), "regime")
+    names = [(k, f) for k in ("trend", "volatility") for f in ("value", "status")]
+    return rounded(x.select("symbol", "tf", "t", *(F.col(f"{k}.{f}").alias(f"{k}_{f}") for k, f in names)))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +214,7 @@ QUERIES |= {
     "monthly_returns": lambda s, d: rounded(risk.monthly_returns(trades.equity(trades.trades_of(s, d))), 4),
     "trade_quality": lambda s, d: rounded(risk.trade_quality(trades.trades_of(s, d), "hand")),
     "trade_quality_by_side": lambda s, d: rounded(risk.trade_quality(trades.trades_of(s, d), "side")),
-    "buy_and_hold": lambda s, d: rounded(risk.buy_and_hold(bars(s, d)).drop("cagr_pct"), 4),
+    "buy_and_hold": lambda s, d: rounded(risk.buy_and_hold(walk(s, d)), 4),
     "sharpe_skill": lambda s, d: rounded(risk.skill(series.bar_returns(bars(s, d)), "symbol", trials=20)),
     "sizing_kelly": lambda s, d: rounded(risk.kelly_sized(_trades(s, d))),
     "sizing_capped": lambda s, d: rounded(risk.capped(_sized("fixed_qty")(s, d).join(bars(s, d).select("symbol", "t", F.col("c").alias("price")), ["symbol", "t"]), share=0.001)),
@@ -198,8 +234,20 @@ QUERIES |= {
 }
 QUERIES |= {f"sizing_{m}": _sized(m) for m in ("percent_equity", "fixed_usd", "fixed_qty", "equal_weight", "fixed_fractional", "atr")}
 QUERIES |= {name: _indicator(name) for name in indicators.INDICATORS}
+QUERIES["regime"] = _regime_columns
+QUERIES["mcginley"] = lambda s, d: rounded(indicators.with_indicator(walk(s, d), "mcginley").drop("o", "h", "l", "c", "v"))
 QUERIES |= {f"rule_{name}": _rule(name) for name in (*rules.RULES, *rules.FOLDED)}
 QUERIES |= {f"rule_{name}": _two_frames(name) for name in frames.BASE}
+QUERIES |= {f"rule_{name}": (lambda name: lambda s, d: rounded(rules.signals(walk(s, d), name)))(name) for name in ("tsi", "bb_squeeze", "mean_reversion", "rsi_mean_rev")}
+QUERIES |= {
+    "series_functions": lambda s, d: rounded(_series_functions(s, d)),
+    "next_open_fills": lambda s, d: rounded(_rule_fills(s, d)),
+    "fill_trades": lambda s, d: rounded(book.trades_of_fills(_fills(s, d), ["hand", "symbol"], ["t", "order", "line", "part"]), 3),
+    "rule_trades": lambda s, d: rounded(book.trades_of_fills(_rule_fills(s, d), ["rule", "symbol", "tf"], ["t", "side"])),
+    "marked_equity": lambda s, d: rounded(book.marked_equity(bars(s, d), _rule_fills(s, d)), 4),
+    "signal_pairs": lambda s, d: rounded(rules.paired(bars(s, d), "donchian_breakout")),
+    "walk_forward_anchored": lambda s, d: series.walk_forward_splits(bars(s, d), step=40, anchored=True),
+}
 QUERIES["chart_patterns"] = lambda s, d: rounded(charts.chart_patterns(bars(s, d)))
 
 
@@ -411,4 +459,10 @@ SELECT round(mean_vol, 6) AS mean_vol, round(vol / n, 6) AS portfolio_vol, round
     "event_counts": "SELECT user_id AS hand, event_type AS code, count(*) AS n FROM events GROUP BY ALL",
 }
 
-ORACLE_SQL |= indicator_sql(_bars_sql()) | rule_sql(_bars_sql())
+_WALK_SQL = f"""{_bars_sql(name='ticked')}, closes AS (SELECT symbol, tf, t, sum((c - 50.0) / 10.0) OVER {_BY} + 500.0 AS c, v FROM ticked),
+opened AS (SELECT symbol, tf, t, coalesce(lag(c) OVER {_BY}, c) AS o, c, v FROM closes), bars AS (SELECT symbol, tf, t, o, greatest(o, c) AS h, least(o, c) AS l, c, v FROM opened)"""
+ORACLE_SQL["buy_and_hold"] = ORACLE_SQL["buy_and_hold"].replace(_bars_sql(), _WALK_SQL, 1).replace("SELECT symbol, tf, round((whole", "SELECT symbol, tf, round((pow(whole, 1 / years) - 1) * 100, 4) AS cagr_pct, round((whole", 1)
+ORACLE_SQL |= indicator_sql(_bars_sql()) | rule_sql(_bars_sql()) | walk_rule_sql(_WALK_SQL)
+ORACLE_SQL["mcginley"] = indicator_sql(_WALK_SQL)["mcginley"]
+ORACLE_SQL |= two_frame_sql(_bars_sql("M15"), _bars_sql("H1", "high_bars"), source.TIMEFRAMES["H1"], source.TIMEFRAMES["M15"])
+ORACLE_SQL |= report_sql(_bars_sql, _prior, _TRADES, _EQUITY, {name: ORACLE_SQL[f"rule_{name}"] for name in BOARD}, indicator_sql(_bars_sql()))

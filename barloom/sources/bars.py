@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,16 @@ TIMEFRAMES = {
 BAR_SCHEMA = "t long, o double, h double, l double, c double, v double"
 
 
-def scan_bars(spark: SparkSession, path: str | list[str], start: int | None = None, end: int | None = None) -> DataFrame:
-    """Bars of files or directories with start <= t <= end; ``v`` may be integer or missing in a file."""
-    df = spark.read.option("mergeSchema", "true").parquet(*([path] if isinstance(path, str) else path))
+def scan_bars(spark: SparkSession, path: str | list[str], start: int | None = None, end: int | None = None, mixed: bool = False) -> DataFrame:
+    """Bars of files or directories with start <= t <= end. The schema is fixed, so no footer is read for it; with ``mixed``,
+    files where ``v`` is a long or missing are merged. Where files lie by month, only the months of the span are listed."""
+    paths = [path] if isinstance(path, str) else path
+    df = spark.read.option("mergeSchema", "true").parquet(*paths) if mixed else spark.read.schema(BAR_SCHEMA).parquet(*paths)
+    if "month" in df.columns:
+        df = df.withColumn("month", F.substring(F.col("month").cast("string"), 1, 7))
+        months = [None if t is None else datetime.fromtimestamp(t / 1000, UTC).strftime("%Y-%m") for t in (start, end)]
+        df = df if months[0] is None else df.where(F.col("month") >= months[0])
+        df = df if months[1] is None else df.where(F.col("month") <= months[1])
     v = F.coalesce(F.col("v").cast("double"), F.lit(0.0)) if "v" in df.columns else F.lit(0.0)
     keep = F.col("t").isNotNull()
     keep = keep if start is None else keep & (F.col("t") >= start)
@@ -65,8 +74,9 @@ def parse_kline_json(frames: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Parquet by tf, symbol and month; Spark's commit makes files visible at once."""
-    bars.withColumn("month", F.date_format(F.timestamp_millis("t"), "yyyy-MM")).sortWithinPartitions("t").write.mode("overwrite").partitionBy("tf", "symbol", "month").parquet(path)
+    """Parquet by tf, symbol and month; only the partitions of these bars are replaced. One task writes one partition's file, in order."""
+    rows = bars.withColumn("month", F.date_format(F.timestamp_millis("t"), "yyyy-MM")).repartition("tf", "symbol", "month").sortWithinPartitions("tf", "symbol", "month", "t")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tf", "symbol", "month").parquet(path)
 
 
 def latest_month(bars: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.sheet import Sheet
-from barloom.operators import indicators, recurrences, resample, rules, trades
+from barloom.operators import book, indicators, patterns, resample, rules, trades
 from barloom.sources import bars as source
 from barloom.streaming import bars as streams
 
@@ -102,15 +102,109 @@ def test_scan_from_the_first_value(bars, rows):
     same(of(s.done(y=y), "a", "y")[0], want)
 
 
-def test_grouped_kernels(bars, rows):
+def loop_supertrend(rows, n=10, mult=3.0):
+    """Bands by true-range arrays: the trailing band holds while its side lasts, the other one is the basic band."""
+    h, low, c = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    tr = np.maximum(h - low, np.maximum(abs(h - np.r_[np.nan, c[:-1]]), abs(low - np.r_[np.nan, c[:-1]])))
+    tr[0] = h[0] - low[0]
+    atr = plain_ema(tr.tolist(), n, 1 / n)
+    upper, lower, side, out = None, None, None, []
+    for i, a in enumerate(atr):
+        if a is None:
+            out.append((None, None))
+            continue
+        basic = ((h[i] + low[i]) / 2 - mult * a, (h[i] + low[i]) / 2 + mult * a)
+        if side is None:
+            side, (lower, upper) = c[i] > basic[0], basic
+        elif side and c[i] >= lower:
+            lower, upper = max(lower, basic[0]), basic[1]
+        elif not side and c[i] <= upper:
+            lower, upper = basic[0], min(upper, basic[1])
+        else:
+            side, (lower, upper) = not side, basic
+        out.append((lower if side else upper, side))
+    return out
+
+
+def loop_sar(rows, step=0.02, most=0.2):
+    h, low = [r[1] for r in rows], [r[2] for r in rows]
+    out = [(None, None), (min(low[0], low[1]), True)]
+    sar, best, pace, up = out[1][0], h[1], step, True
+    for i in range(2, len(rows)):
+        sar += pace * (best - sar)
+        sar = min(sar, low[i - 1], low[i - 2]) if up else max(sar, h[i - 1], h[i - 2])
+        if (up and low[i] < sar) or (not up and h[i] > sar):
+            up, sar, pace, best = not up, best, step, low[i] if up else h[i]
+        elif (up and h[i] > best) or (not up and low[i] < best):
+            best, pace = h[i] if up else low[i], min(most, pace + step)
+        out.append((sar, up))
+    return out
+
+
+def test_grouped_kernels_against_other_loops(bars, rows):
     own = [r[3:7] for r in rows if r[0] == "a"]
-    for name, outputs in (("supertrend", ("value", "bullish")), ("parabolic_sar", ("sar", "bullish")), ("kalman", ("value", "velocity")), ("fisher", ("fisher", "signal")), ("mcginley", ("value",))):
-        got = of(indicators.with_indicator(bars, name), "a", *outputs)
-        want = list(zip(*getattr(recurrences, name)(iter(own)), strict=True))[: len(outputs)]
-        for a, b in zip(got, want, strict=True):
+    for name, columns, loop in (("supertrend", ("value", "bullish"), loop_supertrend), ("parabolic_sar", ("sar", "bullish"), loop_sar)):
+        got = of(indicators.with_indicator(bars, name), "a", *columns)
+        for a, b in zip(got, zip(*loop(own), strict=True), strict=True):
             same([None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) for x in a], [None if x is None else float(x) for x in b])
 
 
+def test_a_long_decay_does_not_underflow(spark):
+    one = spark.createDataFrame([("a", "H1", i, 0.0, 0.0, 0.0, float(i % 7), 1.0) for i in range(400)], SCHEMA)
+    for alpha in (0.999, 0.9999999):
+        s = Sheet(one)
+        y = s.smooth((s.c, alpha, 1), seed="first")[0]
+        state, want = None, []
+        for i in range(400):
+            state = float(i % 7) if state is None else alpha * (i % 7) + (1 - alpha) * state
+            want.append(state)
+        same(of(s.done(y=y), "a", "y")[0], want)
+
+
+def test_engulfing_covers_a_flat_bar(spark):
+    flat = [("a", "H1", 0, 5.0, 6.0, 4.0, 5.0, 1.0), ("a", "H1", 3_600_000, 5.5, 6.0, 4.0, 4.5, 1.0)]
+    assert [r["engulfing_bear"] for r in patterns.candlesticks(spark.createDataFrame(flat, SCHEMA)).orderBy("t").collect()][1] is True
+
+
+def fills_of(spark, *rows):
+    return spark.createDataFrame([("X", i, *r) for i, r in enumerate(rows, 1)], "symbol string, t long, side string, qty double, price double, commission double")
+
+
+def test_fills_to_trades(spark):
+    run = lambda *rows: [r.asDict() for r in book.trades_of_fills(fills_of(spark, *rows), ["symbol"], ["t"]).orderBy("exit_t").collect()]
+    (one,) = run(("buy", 2.0, 100.0, 1.0), ("sell", 2.0, 110.0, 1.5))
+    assert abs(one["pnl"] - 17.5) < 1e-9 and one["commission"] == 2.5 and one["side"] == "long" and (one["entry_t"], one["exit_t"]) == (1, 2)
+    (part,) = run(("buy", 4.0, 100.0, 4.0), ("sell", 1.0, 110.0, 1.0))
+    assert abs(part["pnl"] - 8.0) < 1e-9
+    (cover,) = run(("sell", 2.0, 100.0, 0.0), ("buy", 5.0, 90.0, 0.0))
+    assert abs(cover["pnl"] - 20) < 1e-9 and cover["side"] == "short"
+    both = run(("sell", 2.0, 100.0, 1.0), ("buy", 5.0, 90.0, 5.0), ("sell", 3.0, 95.0, 0.0))
+    assert [round(x["pnl"], 9) for x in both] == [20 - 1 - 2, 15 - 3] and both[1]["entry_t"] == 2
+    added = run(("buy", 1.0, 100.0, 0.0), ("buy", 3.0, 120.0, 0.0), ("sell", 2.0, 130.0, 0.0), ("buy", 2.0, 140.0, 0.0), ("sell", 4.0, 100.0, 0.0))
+    assert [round(x["entry_price"], 9) for x in added] == [115.0, 127.5] and [round(x["pnl"], 9) for x in added] == [30.0, -110.0]
+    assert run() == [] and run(("buy", 1.0, 1.0, 0.0)) == []
+
+
+def test_next_open_and_equity(spark, bars):
+    marks = spark.createDataFrame([("r", "a", "H1", i * 3_600_000, d) for i, d in ((5, "long"), (6, "long"), (9, "exit"), (399, "long"))], "rule string, symbol string, tf string, t long, direction string")
+    fills = book.next_open_fills(bars, marks, commission=0.0, slippage=0.0)
+    got = [(r["t"] // 3_600_000, r["side"]) for r in fills.orderBy("t").collect()]
+    assert got == [(6, "buy"), (10, "sell")]
+    one = bars.where("symbol = 'a'")
+    curve = {r["t"] // 3_600_000: r["equity"] for r in book.marked_equity(one, fills, 1000.0, span=7 * 3_600_000).collect()}
+    price = {r["t"] // 3_600_000: r for r in one.collect()}
+    assert curve[5] == 1000 and abs(curve[8] - (1000 - price[6]["o"] + price[8]["c"])) < 1e-9 and abs(curve[399] - (1000 - price[6]["o"] + price[10]["o"])) < 1e-9
+    wide = book.last_prices(bars.where("symbol = 'a' OR t % 7200000 = 0"), ["a", "b"], span=5 * 3_600_000)
+    closes = {(r["symbol"], r["t"]): r["c"] for r in bars.collect()}
+    assert all(r["b"] == closes["b", r["t"] // 7_200_000 * 7_200_000] and r["a"] == closes["a", r["t"]] for r in wide.collect())
+
+
+def test_as_of_by_buckets(bars):
+    high = resample.resample(bars, "H4")
+    few, many = (sorted(map(tuple, resample.as_of(bars, high, "H1", "H4", ["t", "c"], buckets=n).collect())) for n in (3, 512))
+    assert few == many and len(few) == 800
+
+
 def test_constant_market(spark):
     flat = spark.createDataFrame([("a", "H1", i * 3_600_000, 5.0, 5.0, 5.0, 5.0, 1.0) for i in range(120)], SCHEMA)
     last = lambda name, col="value": indicators.with_indicator(flat, name).orderBy(F.desc("t")).first()[col]
@@ -139,9 +233,15 @@ def test_timeframe_and_hours(spark, bars):
 
 
 def test_files(spark, bars, tmp_path):
-    source.write_bars(bars, str(tmp_path / "bars"))
-    back = source.scan_bars(spark, str(tmp_path / "bars"), 0, 9 * 3_600_000)
-    assert back.count() == 20 and {r["symbol"] for r in back.collect()} == {"a", "b"}
+    path = str(tmp_path / "bars")
+    for symbol in "ab":
+        source.write_bars(bars.where(F.col("symbol") == symbol), path)
+    back = source.scan_bars(spark, path, 0, 9 * 3_600_000)
+    assert back.count() == 20 and {r["symbol"] for r in back.collect()} == {"a", "b"} and {r["month"] for r in back.collect()} == {"1970-01"}
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    source.write_bars(bars.where("symbol = 'a'").withColumn("c", F.lit(1.0)), path)
+    assert source.scan_bars(spark, path, mixed=True).where("symbol = 'b'").count() == 400
     (tmp_path / "x.csv").write_text("Time,Open,High,Low,Close\n1700000000,1,2,0.5,1.5\n2023-11-15T00:00:00Z,1,2,0.5,1.5\nbad,1,2,3,4\n")
     assert sorted(r["t"] for r in source.scan_csv(spark, str(tmp_path / "x.csv")).collect()) == [1_700_000_000_000, 1_700_006_400_000]
     (tmp_path / "k.csv").write_text("open_time,o,h,l,c,v,x\n1700000000000000,1,2,0.5,1.5,7,0\n1700000060000,1,2,0.5,1.6,8,0\n")
