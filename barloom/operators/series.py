@@ -110,7 +110,7 @@ def in_tests(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5
     place = F.col("i") - (train + embargo)
     low, high = F.greatest(F.lit(0), F.ceil((place - test + 1) / step)), F.least(F.floor(place / step), _folds(F.col("__n"), train, test, embargo, step) - 1)
     met = x.join(size, "symbol").where(F.col("__n") >= train + embargo + test).withColumns({"__low": low, "__high": high}).where("__high >= __low")
-    return met.select(*bars.columns, F.explode(F.sequence("__low", "__high")).cast("int").alias("fold"))
+    return met.select(*bars.columns, F.explode(F.sequence(F.col("__low").cast("int"), F.col("__high").cast("int"))).alias("fold"))
 
 
 def excursions(trades: DataFrame, bars: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
