@@ -160,6 +160,18 @@ def monthly_returns(curve: DataFrame) -> DataFrame:
     return out.where("ret IS NOT NULL")
 
 
+def yearly_returns(monthly: DataFrame) -> DataFrame:
+    """Per hand and year: the compounded percent changes of its months."""
+    return monthly.groupBy("hand", F.substring("month", 1, 4).cast("int").alias("year")).agg(((F.product(F.col("ret") / 100 + 1) - 1) * 100).alias("ret"))
+
+
+def excursion_means(labelled: DataFrame) -> DataFrame:
+    """Per symbol: mean worst and best move, and the mean share of the best move that winners kept (0 to 1)."""
+    gain = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * F.when(F.col("side") == "long", 1).otherwise(-1)
+    kept = F.when((gain > 0) & (F.col("mfe") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain / F.col("mfe"))))
+    return labelled.groupBy("symbol").agg(F.avg("mae").alias("mae"), F.avg("mfe").alias("mfe"), F.coalesce(F.avg(kept), F.lit(0.0)).alias("capture"))
+
+
 def trade_quality(trades: DataFrame, *keys: str, initial: float = 100_000.0) -> DataFrame:
     """Win rate, payoff, break-even rate, Kelly share (within ±1), profit factor and SQN of gross profits; profit 0 is a loss."""
     r = F.col("pnl") / initial

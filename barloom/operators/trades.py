@@ -76,6 +76,36 @@ def performance(curve: DataFrame, initial: float = 100_000.0) -> DataFrame:
     )
 
 
+def risk_metrics(curve: DataFrame, initial: float = 100_000.0) -> DataFrame:
+    """Per hand: mean depth of points under water, longest run of points below the peak, Calmar, recovery factor, serenity, value at
+    risk and the mean beyond it (positive, 5 %), tail ratio. Ratios without a drawdown are 0."""
+    w = Window.partitionBy("hand").orderBy("t")
+    row, depth = F.row_number().over(w), F.col("drawdown") / 100
+    x = drawdowns(curve).withColumns({"ret": F.col("equity") / F.coalesce(F.lag("equity").over(w), F.lit(initial)) - 1, "i": row})
+    x = x.withColumn("under", F.col("i") - F.max(F.when(F.col("drawdown") <= 0, F.col("i"))).over(w))
+    years = (F.max("t") - F.min("t")) / F.lit(86_400_000.0 * 365.25)
+    g = x.groupBy("hand").agg(
+        F.max_by("equity", "t").alias("final"), years.alias("years"), F.max(depth).alias("deep"), F.coalesce(F.avg(F.when(depth > 0, depth)), F.lit(0.0)).alias("avg_drawdown"), F.max("under").alias("longest"),
+        F.sqrt(F.avg(F.pow("drawdown", 2))).alias("ulcer"), F.percentile("ret", F.lit(0.05)).alias("low"), F.percentile("ret", F.lit(0.95)).alias("high"),
+    )
+    tail = x.join(g.select("hand", "low"), "hand").where("ret <= low").groupBy("hand").agg(F.avg("ret").alias("tail"))
+    grown = F.when(F.col("final") > 0, (F.pow(F.col("final") / initial, 1 / F.nullif(F.col("years"), F.lit(0.0))) - 1) * 100)
+    per = lambda a, b: F.when(F.abs(b) < 2.3e-16, 0.0).otherwise(a / b)
+    loss = lambda name: F.greatest(F.lit(0.0), -F.col(name))
+    return g.join(tail, "hand").select(
+        "hand", "avg_drawdown", F.col("longest").alias("longest_drawdown"), per(grown, F.col("deep") * 100).alias("calmar"), per(F.col("final") / initial - 1, F.col("deep")).alias("recovery"),
+        per(grown, F.col("ulcer")).alias("serenity"), loss("low").alias("var_95"), loss("tail").alias("cvar_95"), per(F.abs("high"), F.abs("low")).alias("tail_ratio"),
+    )
+
+
+def outcomes(trades: DataFrame) -> DataFrame:
+    """Per hand: expected net profit of a trade, trades a year, mean holding seconds of winners and of the others."""
+    won = F.col("net_pnl") > 0
+    span = (F.max("exit_at") - F.min("entry_at")) / F.lit(86_400_000.0 * 365.25)
+    g = trades.groupBy("hand").agg(F.avg("net_pnl").alias("expectancy"), F.count(F.lit(1)).alias("n"), span.alias("years"), F.avg(F.when(won, F.col("holding_seconds"))).alias("held_won"), F.avg(F.when(~won, F.col("holding_seconds"))).alias("held_lost"))
+    return g.select("hand", "expectancy", F.coalesce(F.col("n") / F.nullif("years", F.lit(0.0)), F.lit(0.0)).alias("trades_per_year"), F.coalesce("held_won", F.lit(0.0)).alias("held_won"), F.coalesce("held_lost", F.lit(0.0)).alias("held_lost"))
+
+
 def streaks(trades: DataFrame) -> DataFrame:
     """hand, longest_win, longest_loss: runs of trades in order of exit; a trade without profit is a loss."""
     order = Window.partitionBy("hand").orderBy("exit_at", "entry_at", "trade", "line", "part")

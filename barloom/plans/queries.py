@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calls
 from ..functions.sheet import Sheet
-from ..operators import book, charts, frames, indicators, patterns, resample, risk, rules, series, trades
+from ..operators import book, charts, frames, indicators, journals, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
 from .indicator_sql import indicator_sql, rule_sql, two_frame_sql, walk_rule_sql
 from .report_sql import report_sql
@@ -248,6 +248,44 @@ QUERIES |= {
     "signal_pairs": lambda s, d: rounded(rules.paired(bars(s, d), "donchian_breakout")),
     "walk_forward_anchored": lambda s, d: series.walk_forward_splits(bars(s, d), step=40, anchored=True),
 }
+def _tick_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as signals that arrive a fifth of a second for every unit of price after their making."""
+    return source.ticks_of_events(spark, sf_dir).select("symbol", "event_id", F.col("t").alias("generated"), (F.col("t") + F.floor("price") * 200).alias("received"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entries(spark, sf_dir).withColumn("side", F.when(F.col("t") % 7_200_000 == 0, "long").otherwise("short"))
+    p, side, yes, no = F.col("entry_price"), F.col("side"), F.lit(True), F.lit(False)
+    return e.select("symbol", "t", "side", journals.level(p, side, F.lit(5.0), yes, True).alias("target"), journals.level(p, side, F.lit(3.0), yes, False).alias("stop"), journals.level(p, side, F.col("stop"), no, False).alias("fixed_stop"))
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.ticks_of_events(spark, sf_dir).select("symbol").distinct()
+
+
+_NOW = 1_706_500_000_000
+QUERIES |= {
+    "signal_page": lambda s, d: journals.page(source.ticks_of_events(s, d).select("t", "event_id", "symbol"), ["t", "event_id"], 50, _NOW),
+    "newest_orders": lambda s, d: journals.newest_orders(trades.order_projection(_order_events(s, d)), 40),
+    "events_from": lambda s, d: journals.events_from(_order_events(s, d), "order_filled", 100, 60),
+    "last_books": lambda s, d: journals.last_rows(source.ticks_of_events(s, d).select("symbol", "t", "event_id", "price"), ["symbol"], ["t", "event_id"], 3),
+    "latest_book": lambda s, d: journals.latest(source.ticks_of_events(s, d).select("symbol", "t", "event_id", "price"), ["symbol"], ["t", "event_id"]),
+    "latest_versions": lambda s, d: journals.latest(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("version")).distinct(), ["name"], ["version"]),
+    "exchange_symbols": lambda s, d: journals.exchange_symbols(A=_symbols(s, d), B=_symbols(s, d).where("symbol <> 'view'"), C=_symbols(s, d).union(_symbols(s, d))),
+    "symbol_timeframes": lambda s, d: journals.with_timeframes(_symbols(s, d).withColumn("tfs", F.when(F.col("symbol") == "view", F.array(F.lit("H1"), F.lit("D1"))))),
+    "fresh_signals": lambda s, d: journals.fresh(_tick_signals(s, d), "generated", "received"),
+    "month_to_date": lambda s, d: journals.matching(_tick_signals(s, d), "generated", *journals.period("mtd", _NOW), symbol="click"),
+    "last_week": lambda s, d: journals.matching(_tick_signals(s, d), "generated", *journals.period("7d", _NOW)),
+    "price_levels": lambda s, d: rounded(_levels(s, d)),
+    "warmup_window": lambda s, d: rounded(journals.warmed(bars(s, d), "H1", 1_705_000_000_000, 20, lambda b: indicators.with_indicator(b, "sma")).select("symbol", "tf", "t", "value")),
+    "cash_impacts": lambda s, d: rounded(_fills(s, d).groupBy("hand").agg(F.sum(book.cash_impact(F.col("side"), F.col("qty"), F.col("price"), F.col("commission"))).alias("cash")), 2),
+    "risk_metrics": lambda s, d: rounded(trades.risk_metrics(trades.equity(trades.trades_of(s, d))), 5),
+    "trade_outcomes": lambda s, d: rounded(trades.outcomes(trades.trades_of(s, d)), 4),
+    "yearly_returns": lambda s, d: rounded(risk.yearly_returns(risk.monthly_returns(trades.equity(trades.trades_of(s, d)))), 4),
+    "excursion_means": lambda s, d: rounded(risk.excursion_means(_labelled(s, d))),
+    "rolling_sharpe_std": lambda s, d: rounded(series.rolling_sharpe(bars(s, d)).groupBy("symbol").agg(F.stddev_samp("sharpe").alias("dev"))),
+    "row_estimate": lambda s, d: bars(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), (F.count(F.lit(1)) / 500_000.0).alias("seconds")),
+}
 QUERIES["chart_patterns"] = lambda s, d: rounded(charts.chart_patterns(bars(s, d)))
 
 
@@ -466,3 +504,35 @@ ORACLE_SQL |= indicator_sql(_bars_sql()) | rule_sql(_bars_sql()) | walk_rule_sql
 ORACLE_SQL["mcginley"] = indicator_sql(_WALK_SQL)["mcginley"]
 ORACLE_SQL |= two_frame_sql(_bars_sql("M15"), _bars_sql("H1", "high_bars"), source.TIMEFRAMES["H1"], source.TIMEFRAMES["M15"])
 ORACLE_SQL |= report_sql(_bars_sql, _prior, _TRADES, _EQUITY, {name: ORACLE_SQL[f"rule_{name}"] for name in BOARD}, indicator_sql(_bars_sql()))
+_MONTHLY = ORACLE_SQL["monthly_returns"].replace("round((equity - before) / before * 100, 4)", "(equity - before) / before * 100")
+ORACLE_SQL |= {
+    "signal_page": f"""SELECT t, event_id, symbol, row_number() OVER (ORDER BY t DESC, event_id DESC)::INTEGER AS place, (SELECT count(*) > 50 FROM events WHERE epoch_us(ts) // 1000 < {_NOW}) AS has_more
+FROM (SELECT epoch_us(ts) // 1000 AS t, event_id, event_type AS symbol FROM events) WHERE t < {_NOW} ORDER BY t DESC, event_id DESC LIMIT 50""",
+    "newest_orders": f"SELECT * FROM ({ORACLE_SQL['order_projection']}) ORDER BY placed_at DESC NULLS LAST, order_id DESC LIMIT 40",
+    "events_from": "SELECT event_id AS seq, user_id * 1000 + event_id // 5 AS order_id, 'order_filled' AS kind, epoch_us(ts) // 1000 AS at FROM events WHERE event_type = 'click' AND event_id >= 100 ORDER BY event_id LIMIT 60",
+    "last_books": "SELECT event_type AS symbol, epoch_us(ts) // 1000 AS t, event_id, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC)::INTEGER AS rn FROM events QUALIFY rn <= 3",
+    "latest_book": "SELECT event_type AS symbol, epoch_us(ts) // 1000 AS t, event_id, value AS price FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) = 1",
+    "latest_versions": "SELECT o_custkey AS name, max(o_orderkey) AS version FROM orders GROUP BY o_custkey",
+    "exchange_symbols": "SELECT DISTINCT x || ':' || upper(event_type) AS symbol FROM events, (VALUES ('A'), ('B'), ('C')) v(x) WHERE NOT (x = 'B' AND event_type = 'view')",
+    "symbol_timeframes": "SELECT symbol, unnest(CASE WHEN symbol = 'view' THEN ['H1', 'D1'] ELSE [" + ", ".join(f"'{tf}'" for tf in source.TIMEFRAMES) + "] END) AS tf FROM (SELECT DISTINCT event_type AS symbol FROM events)",
+    "fresh_signals": "SELECT event_type AS symbol, event_id, epoch_us(ts) // 1000 AS generated, epoch_us(ts) // 1000 + floor(value)::BIGINT * 200 AS received FROM events WHERE floor(value) * 200 <= 10000",
+    "month_to_date": f"SELECT event_type AS symbol, event_id, epoch_us(ts) // 1000 AS generated, epoch_us(ts) // 1000 + floor(value)::BIGINT * 200 AS received FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-01' AND epoch_us(ts) // 1000 < {_NOW}",
+    "last_week": f"SELECT event_type AS symbol, event_id, epoch_us(ts) // 1000 AS generated, epoch_us(ts) // 1000 + floor(value)::BIGINT * 200 AS received FROM events WHERE epoch_us(ts) // 1000 >= {_NOW} - 7 * 86400000 AND epoch_us(ts) // 1000 < {_NOW}",
+    "price_levels": f"""WITH {_bars_sql()}, i AS (SELECT *, {_prior('max(h)', 20)} AS top FROM bars), e AS (SELECT symbol, t, c, CASE WHEN t % 7200000 = 0 THEN 'long' ELSE 'short' END AS side FROM i WHERE c > top)
+SELECT symbol, t, side, round(CASE WHEN side = 'long' THEN c + 5 ELSE c - 5 END, 6) AS target, round(CASE WHEN side = 'long' THEN c - 3 ELSE c + 3 END, 6) AS stop, round(c * 0.5, 6) AS fixed_stop FROM e""",
+    "warmup_window": f"WITH {_bars_sql()}, b AS (SELECT * FROM bars WHERE t >= 1705000000000 - 20 * 3600000), x AS (SELECT symbol, tf, t, {_full('avg(c)', 20)} AS value FROM b) SELECT symbol, tf, t, round(value, 6) AS value FROM x WHERE t >= 1705000000000",
+    "cash_impacts": """SELECT l_suppkey::BIGINT AS hand, round(sum(CASE WHEN l_returnflag = 'A' OR (l_returnflag <> 'R' AND l_linenumber % 2 = 1) THEN -l_extendedprice ELSE l_extendedprice END - l_extendedprice * l_tax), 2) AS cash FROM lineitem WHERE l_quantity > 0 GROUP BY l_suppkey""",
+    "risk_metrics": f"""WITH {_TRADES}, {_EQUITY}, d AS (SELECT hand, t, equity, (max(equity) OVER w - equity) / max(equity) OVER w AS dd, equity / coalesce(lag(equity) OVER w, 100000) - 1 AS x, row_number() OVER w AS i FROM equity WINDOW w AS (PARTITION BY hand ORDER BY t)),
+u AS (SELECT *, i - max(i) FILTER (dd <= 0) OVER (PARTITION BY hand ORDER BY t) AS under FROM d), q AS (SELECT hand, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM d GROUP BY hand),
+g AS (SELECT hand, arg_max(equity, t) AS final, (max(t) - min(t)) / (86400000 * 365.25) AS years, max(dd) AS deep, coalesce(avg(dd) FILTER (dd > 0), 0) AS shallow, max(under) AS longest, sqrt(avg(pow(dd * 100, 2))) AS ulcer, any_value(lo) AS lo, any_value(hi) AS hi, avg(x) FILTER (x <= lo) AS tail FROM u JOIN q USING (hand) GROUP BY hand),
+y AS (SELECT *, CASE WHEN final > 0 THEN (pow(final / 100000, 1 / nullif(years, 0)) - 1) * 100 END AS grown FROM g)
+SELECT hand, round(shallow, 5) AS avg_drawdown, longest AS longest_drawdown, round(CASE WHEN deep < 2.3e-16 THEN 0 ELSE grown / (deep * 100) END, 5) AS calmar, round(CASE WHEN deep < 2.3e-16 THEN 0 ELSE (final / 100000 - 1) / deep END, 5) AS recovery,
+  round(CASE WHEN ulcer < 2.3e-16 THEN 0 ELSE grown / ulcer END, 5) AS serenity, round(greatest(0, -lo), 5) AS var_95, round(greatest(0, -tail), 5) AS cvar_95, round(CASE WHEN abs(lo) < 2.3e-16 THEN 0 ELSE abs(hi) / abs(lo) END, 5) AS tail_ratio FROM y""",
+    "trade_outcomes": f"""WITH {_TRADES} SELECT hand, round(avg(net_pnl), 4) AS expectancy, round(count(*) / nullif((max(exit_at) - min(entry_at)) / (86400000 * 365.25), 0), 4) AS trades_per_year,
+  round(coalesce(avg(holding_seconds) FILTER (net_pnl > 0), 0), 4) AS held_won, round(coalesce(avg(holding_seconds) FILTER (NOT net_pnl > 0), 0), 4) AS held_lost FROM trades GROUP BY hand""",
+    "yearly_returns": f"SELECT hand, month[1:4]::INTEGER AS year, round((product(1 + ret / 100) - 1) * 100, 4) AS ret FROM ({_MONTHLY}) GROUP BY ALL",
+    "excursion_means": f"""WITH {_LABELS}, p AS (SELECT *, (exit_price - entry_price) / entry_price AS gain FROM labels)
+SELECT symbol, round(avg(mae), 6) AS mae, round(avg(mfe), 6) AS mfe, round(coalesce(avg(greatest(0, least(1, gain / mfe))) FILTER (gain > 0 AND mfe > 0), 0), 6) AS capture FROM p GROUP BY symbol""",
+    "rolling_sharpe_std": f"SELECT symbol, round(stddev_samp(sharpe), 6) AS dev FROM ({ORACLE_SQL['rolling_sharpe'].replace(', 4) AS sharpe', ', 15) AS sharpe')}) GROUP BY symbol",
+    "row_estimate": f"WITH {_bars_sql()} SELECT symbol, count(*) AS bars, count(*) / 500000.0::DOUBLE AS seconds FROM bars GROUP BY symbol",
+}

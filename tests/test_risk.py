@@ -200,3 +200,24 @@ def test_replay(spark):
     assert last(e(1, "order_place"), e(2, "order_placed", n=9)) == ("entering", "buy", 0.0, 0.0, 0, 0.0)
     sold = [e(1, "order_place", side="sell"), e(2, "order_placed", side="sell"), e(3, "order_filled", price=10.0, qty=2.0)]
     assert last(*sold, *closed)[-1] == -10.0
+
+
+def test_periods_and_catalog(spark, tmp_path):
+    from barloom.operators import journals
+
+    now = 1_706_500_000_000  # 2024-01-29
+    assert journals.period("mtd", now) == journals.period("ytd", now) == (1_704_067_200_000, now) and journals.period("24h", now) == (now - 86_400_000, now)
+    one = spark.range(1).selectExpr("id AS t", "1.0 AS c")
+    for place in ("okx/M1/btc/2024-01.parquet", "okx/M1/btc/2024-02.parquet", "okx/M5/BTC/2024-01-03_to_2024-01-09.parquet", "nyse/H1/BTC/all.parquet", "old_eod/H1/BTC/2024-01.parquet"):
+        one.coalesce(1).write.parquet(str(tmp_path / "made" / place))
+        (tmp_path / "root" / place).parent.mkdir(parents=True, exist_ok=True)
+        next((tmp_path / "made" / place).glob("part-*")).rename(tmp_path / "root" / place)
+    files = journals.catalog(spark, str(tmp_path / "root"))
+    got = {(r["source"], r["tf"], r["symbol"], str(r["first"]), str(r["last"])) for r in files.collect()}
+    assert got == {("okx", "M1", "BTC", "2024-01-01", "2024-01-31"), ("okx", "M1", "BTC", "2024-02-01", "2024-02-29"), ("okx", "M5", "BTC", "2024-01-03", "2024-01-09"), ("nyse", "H1", "BTC", "None", "None")}
+    february = 1_706_918_400_000  # 2024-02-03: January's last day, a day wider, ends before it
+    assert sorted((r["source"], str(r["first"])) for r in journals.pruned(files, february, None).collect()) == [("nyse", "None"), ("okx", "2024-02-01")]
+    pick = lambda tf, *sources: {(r["source"], r["tf"]) for r in journals.resolved(files, "btc", tf, list(sources)).collect()}
+    assert pick("H1", "okx", "nyse") == {("okx", "M1")} and pick("M5", "okx", "nyse") == {("okx", "M5")} and pick("H1", "nyse") == {("nyse", "H1")} and pick("M1", "nyse") == set()
+    specs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "n int, rule string")
+    assert specs.select(journals.spec_hash(F.struct("n", "rule")).alias("h")).distinct().count() == 2 and journals.bars_per_year("D1") == 365.25
