@@ -317,7 +317,7 @@ def indicator_sql(bars: str) -> dict[str, str]:
         "fractal": new().add(**back).sql(("bullish", "bearish"), bullish=dip, bearish=top, fractal_high=f"CASE WHEN {top} THEN h2 END", fractal_low=f"CASE WHEN {dip} THEN l2 END"),
         "rwi": walk.sql(rwi_high=best("x"), rwi_low=best("y")),
         "kama": with_kama(new()).sql(value="kama"),
-        "heiken_ashi": with_heiken(new()).sql(("is_bullish",), open="ho", high="greatest(h, ho, hc)", low="least(l, ho, hc)", close="hc", is_bullish="hb"),
+        "heiken_ashi": with_heiken(new()).sql(("is_bullish",), open="ho + 1e-9", high="greatest(h, ho, hc) + 1e-9", low="least(l, ho, hc) + 1e-9", close="hc + 1e-9", is_bullish="hb"),
         "supertrend": with_supertrend(new()).sql(("bullish", "bearish"), value="st", bullish="bull", bearish="NOT bull"),
         "parabolic_sar": with_sar(new()).sql(("bullish",), sar="sar", bullish="rise"),
         "fisher": with_fisher(new(), 9).sql(fisher="fisher", signal="fsig"),

@@ -25,6 +25,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+def off_ties(df: DataFrame, digits: int, shift: float) -> DataFrame:
+    """Rounded after a shift smaller than any digit that matters: products and halves of decimals lie on ties, where the last bit decides."""
+    return df.select(*(F.round(F.col(c) + shift, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
 def _indicator(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = bars(spark, sf_dir)
@@ -235,6 +240,7 @@ QUERIES |= {
 QUERIES |= {f"sizing_{m}": _sized(m) for m in ("percent_equity", "fixed_usd", "fixed_qty", "equal_weight", "fixed_fractional", "atr")}
 QUERIES |= {name: _indicator(name) for name in indicators.INDICATORS}
 QUERIES["regime"] = _regime_columns
+QUERIES["heiken_ashi"] = lambda s, d: off_ties(indicators.with_indicator(bars(s, d), "heiken_ashi").drop("o", "h", "l", "c", "v"), 6, 1e-9)
 QUERIES["mcginley"] = lambda s, d: rounded(indicators.with_indicator(walk(s, d), "mcginley").drop("o", "h", "l", "c", "v"))
 QUERIES |= {f"rule_{name}": _rule(name) for name in (*rules.RULES, *rules.FOLDED)}
 QUERIES |= {f"rule_{name}": _two_frames(name) for name in frames.BASE}
@@ -242,7 +248,7 @@ QUERIES |= {f"rule_{name}": (lambda name: lambda s, d: rounded(rules.signals(wal
 QUERIES |= {
     "series_functions": lambda s, d: rounded(_series_functions(s, d)),
     "next_open_fills": lambda s, d: rounded(_rule_fills(s, d)),
-    "fill_trades": lambda s, d: rounded(book.trades_of_fills(_fills(s, d), ["hand", "symbol"], ["t", "order", "line", "part"]), 3),
+    "fill_trades": lambda s, d: off_ties(book.trades_of_fills(_fills(s, d), ["hand", "symbol"], ["t", "order", "line", "part"]), 3, 1e-7),
     "rule_trades": lambda s, d: rounded(book.trades_of_fills(_rule_fills(s, d), ["rule", "symbol", "tf"], ["t", "side"])),
     "marked_equity": lambda s, d: rounded(book.marked_equity(bars(s, d), _rule_fills(s, d)), 4),
     "signal_pairs": lambda s, d: rounded(rules.paired(bars(s, d), "donchian_breakout")),

@@ -59,7 +59,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY hand, symbol ORDER BY t, ord, li
     CASE WHEN {closes} THEN {fee_in} + {fee_out} END, CASE WHEN {closes} THEN (f.price - p.average) * sign(p.qty) * {amount} - {fee_in} - {fee_out} END, CASE WHEN {closes} THEN CASE WHEN p.qty > 0 THEN 'long' ELSE 'short' END END
   FROM p JOIN f ON {on} AND f.rn = p.rn + 1)"""
 
-    realised = lambda n: f"side, round(amount, {n}) AS qty, round(entry_price, {n}) AS entry_price, round(exit_price, {n}) AS exit_price, entry_t, exit_t, round(pnl, {n}) AS pnl, round(paid, {n}) AS commission, round(pnl / (entry_price * amount), {n}) AS pnl_pct"
+    shown = {"qty": "amount", "entry_price": "entry_price", "exit_price": "exit_price", "pnl": "pnl", "commission": "paid", "pnl_pct": "pnl / (entry_price * amount)"}
+    realised = lambda n, shift="0": "side, entry_t, exit_t, " + ", ".join(f"round({x} + {shift}, {n}) AS {k}" for k, x in shown.items())
     opened = f"""{marks}, ahead AS (SELECT symbol, t, lead(t) OVER {_BY} AS at, lead(o) OVER {_BY} AS open FROM bars),
 sent AS (SELECT * FROM (SELECT m.rule, m.symbol, m.tf, a.at AS t, a.open, m.direction, coalesce(lag(m.direction) OVER (PARTITION BY m.symbol ORDER BY m.t), 'exit') AS was FROM marks m JOIN ahead a ON m.symbol = a.symbol AND m.t = a.t WHERE a.at IS NOT NULL) WHERE direction <> was),
 first_fills AS (SELECT rule, symbol, tf, t, CASE WHEN direction = 'long' THEN 'buy' ELSE 'sell' END AS side, open * CASE WHEN direction = 'long' THEN 1.0005 ELSE 0.9995 END AS price FROM sent), {ends},
@@ -122,7 +123,7 @@ SELECT symbol, entry_t, round(kelly, 6) AS kelly, round(greatest(0, least(1, kel
         "next_open_fills": f"WITH {opened} SELECT rule, symbol, tf, t, side, 1.0::DOUBLE AS qty, round(price, 6) AS price, round(price * 0.001, 6) AS commission FROM filled",
         "rule_trades": f"""WITH RECURSIVE {opened}, f AS (SELECT rule, symbol, tf, t, CASE WHEN side = 'buy' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS d, price, price * 0.001 AS fee, row_number() OVER (PARTITION BY symbol ORDER BY t, side) AS rn FROM filled),
 {folded('rule, symbol, tf', 'f.symbol = p.symbol')} SELECT rule, symbol, tf, {realised(6)} FROM p WHERE amount IS NOT NULL""",
-        "fill_trades": f"WITH RECURSIVE {fills}, {folded('hand, symbol', 'f.hand = p.hand AND f.symbol = p.symbol')} SELECT hand, symbol, {realised(3)} FROM p WHERE amount IS NOT NULL",
+        "fill_trades": f"WITH RECURSIVE {fills}, {folded('hand, symbol', 'f.hand = p.hand AND f.symbol = p.symbol')} SELECT hand, symbol, {realised(3, '1e-7')} FROM p WHERE amount IS NOT NULL",
         "marked_equity": f"""WITH {opened}, a AS (SELECT symbol, t, sum(CASE WHEN side = 'buy' THEN -price ELSE price END - price * 0.001) AS cash, sum(CASE WHEN side = 'buy' THEN 1 ELSE -1 END) AS d FROM filled GROUP BY ALL),
 v AS (SELECT b.symbol, b.t, sum(coalesce(cash, 0)) OVER w + sum(coalesce(d, 0)) OVER w * b.c AS value FROM bars b LEFT JOIN a ON a.symbol = b.symbol AND a.t = b.t WINDOW w AS (PARTITION BY b.symbol ORDER BY b.t)),
 g AS (SELECT x.t, y.symbol FROM (SELECT DISTINCT t FROM bars) x, (SELECT DISTINCT symbol FROM bars) y)
