@@ -14,9 +14,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def plain(rows, names):
+    """Rows by column name, ordered by what three digits show, then exactly; rounding may differ in its last digit."""
     order = sorted(range(len(names)), key=lambda i: names[i])
-    clean = lambda x: None if isinstance(x, float) and math.isnan(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
-    return sorted((tuple(clean(r[i]) for i in order) for r in rows), key=str)
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    clean = lambda x: None if isinstance(x, float) and math.isnan(x) else float(x) + 0.0 if number(x) else x
+    rough = lambda r: str(tuple(round(x, 3) + 0.0 if number(x) and math.isfinite(x) else x for x in r))
+    return sorted((tuple(clean(r[i]) for i in order) for r in rows), key=lambda r: (rough(r), str(r)))
 
 
 @pytest.fixture(scope="module")
@@ -36,14 +39,14 @@ def test_against_sql(spark, duck, name):
     names = [x[0] for x in cur.description]
     want = plain(cur.fetchall(), names)
     assert sorted(names) == sorted(df.columns) and len(got) == len(want)
-    bad = [(a, b) for a, b in zip(got, want, strict=True) if any(x != y and not (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-5 * max(1.0, abs(x))) for x, y in zip(a, b, strict=True))]
+    bad = [(a, b) for a, b in zip(got, want, strict=True) if any(x != y and not (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-4 * max(1.0, abs(x))) for x, y in zip(a, b, strict=True))]
     assert not bad, bad[:3]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    """Held against loops elsewhere; here they must give rows, but for kitchen_sink, whose conditions these tables never meet."""
-    assert QUERIES[name](spark, SF).count() > 0 or name == "rule_kitchen_sink"
+    """Held against loops elsewhere; here they must give rows."""
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_lineage_of_a_long_chain(spark):
