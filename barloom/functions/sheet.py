@@ -1,15 +1,22 @@
-"""Column building over bars: one window specification per (symbol, tf), and linear recurrences as chunked scans."""
+"""Column building over bars: windows over (symbol, tf), cut into spans of time where no column reads further back than a
+known number of rows, and linear recurrences by doubling."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 KEYS = ("symbol", "tf")
-#: Rows of a chunk of a linear recurrence; (1/3)^-128 stays far below the largest double.
-CHUNK = 128
+#: Rows of a span: what one task sorts and holds of a series.
+SPAN = 65_536
+#: Milliseconds within which the rows of a series are numbered by one task.
+BUCKET = 45 * 86_400_000
+#: A state that has shrunk to this share is gone: it is below half of the last bit of what replaced it.
+FADED = 1e-17
 EPS = 2.220446049250313e-16
 
 
@@ -17,35 +24,69 @@ def near_zero(x: Column) -> Column:
     return F.abs(x) < EPS
 
 
-def _carried(end: str) -> Column:
-    """What each chunk carries in, and one more: a fold over the chunk ends of a series."""
-    return F.aggregate("ends", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(x[end]["e"] + x[end]["q"] * F.element_at(acc, -1))))
+def numbered(df: DataFrame, keys: list[str], order: str, span: int, name: str = "i") -> DataFrame:
+    """Rows numbered from 0 within ``keys`` by ``order`` (milliseconds): within buckets of ``span``, then shifted by the counts of the buckets before."""
+    df = df.withColumn("__bucket", F.floor(F.col(order) / span))
+    counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*keys, "__bucket", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(order)) - 1
+    return df.withColumn("__in", inside).join(shifts, [*keys, "__bucket"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")
+
+
+def spread(df: DataFrame, reach: int, rows: int) -> DataFrame:
+    """``df`` in spans of ``rows`` rows of a series (``__span``), each with the ``reach`` rows before it (``__own`` is false
+    there). Rows without symbol, tf or t take no part."""
+    rows = max(rows, reach)
+    row = F.col("__row")
+    span = F.floor(row / rows)
+    spans = F.when((span + 1) * rows - row <= reach, F.array(span, span + 1)).otherwise(F.array(span))
+    cut = numbered(df, list(KEYS), "t", BUCKET, "__row").withColumns({"__at": span, "__span": F.explode(spans)})
+    return cut.withColumn("__own", F.col("__at") == F.col("__span")).drop("__row", "__at")
 
 
 class Sheet:
     """A bars DataFrame that grows by helper columns. Every step is a named column, so steps may nest.
 
-    All frames share the window ``w``: Spark plans one exchange and one sort for them. Rows before a frame is full are null.
+    All frames share one window: Spark plans one exchange and one sort for them. Rows before a frame is full are null.
+    ``w`` is a window over the whole series; ``rows`` gives bounded ones. ``reach`` adds up how far back the columns read.
     """
 
-    def __init__(self, df: DataFrame):
-        self.df, self.own, self.n = df, df.columns, 0
+    def __init__(self, df: DataFrame | None, *more_keys: str):
+        self.df, self.own, self.n = df, [c for c in df.columns if not c.startswith("__")] if df is not None else [], 0
         self.o, self.h, self.l, self.c, self.v = (F.col(x) for x in "ohlcv")
-        self.w = Window.partitionBy(*KEYS).orderBy("t")
+        self._w = Window.partitionBy(*KEYS, *more_keys).orderBy("t")
+        self.reach, self.whole, self.cut = 0, False, bool(more_keys)
+
+    @property
+    def w(self) -> WindowSpec:
+        self.whole = True
+        return self._w
+
+    def rows(self, first: int, last: int = 0) -> WindowSpec:
+        self.reach += max(0, -first)
+        self.whole |= last > 0
+        return self._w.rowsBetween(first, last)
+
+    def row(self) -> Column:
+        """How many rows there are up to this one; in a span after the first, some number above the rows before the span."""
+        return self.put(F.row_number().over(self._w))
 
     def put(self, expr: Column) -> Column:
         self.n += 1
         name = f"__{self.n}"
-        self.df = self.df.withColumn(name, expr)
+        if self.df is not None:
+            self.df = self.df.withColumn(name, expr)
         return F.col(name)
 
     def frame(self, agg: Column, x: Column, n: int) -> Column:
         """``agg`` over the last n rows, null until n rows of x are not null."""
-        w = self.w.rowsBetween(1 - n, 0)
+        w = self.rows(1 - n)
         return self.put(F.when(F.count(x).over(w) == n, agg.over(w)))
 
     def lag(self, x: Column, k: int = 1) -> Column:
-        return self.put(F.lag(x, k).over(self.w)) if k else x
+        self.reach += k
+        return self.put(F.lag(x, k).over(self._w)) if k else x
 
     def sma(self, x: Column, n: int) -> Column:
         return self.frame(F.avg(x), x, n)
@@ -76,39 +117,38 @@ class Sheet:
         return self.weighted(x, [2 * k / (n * (n + 1)) for k in range(1, n + 1)])
 
     def seen(self, x: Column) -> Column:
-        return self.put(F.count(x).over(self.w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def scan(self, *steps: tuple[Column, Column], size: int = CHUNK) -> list[Column]:
-        """y_t = q_t·y_{t-1} + b_t for each (q, b), y before the first row 0, q above 0.
-
-        Chunks of a series are summed in parallel with Q = Πq: local = Q·Σ b/Q. The chunk ends of a series, a
-        short array, fold into what each chunk carries in; y = local + Q·carry. ``size`` rows make a chunk: q to its
-        power must stay above the smallest double.
-        """
-        row = self.put(F.row_number().over(self.w) - 1)
-        chunk = self.put(F.floor(row / size))
-        inside = Window.partitionBy(*KEYS, chunk).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-        made = []
+        """How many values there are up to this row; in a span after the first, from somewhere before the span."""
+        return self.put(F.count(x).over(self._w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def scan(self, *steps: tuple[Column, Column], most: float) -> list[Column]:
+        """y_t = q_t·y_{t-1} + b_t for each (q, b) with q from 0 to ``most``, or 1 where the state stays as it is.
+
+        Steps are composed by doubling twice a round: a row's step over 4^k rows is made of four over 4^(k-1), met by lags
+        in one window. Rounds end where ``most`` has faded what came before; where q of 1 kept that from fading, y is
+        null. All rounds share one exchange and one sort, and nothing is joined."""
+        rounds = max(1, math.ceil(math.log(math.log(FADED) / math.log(most), 4) - 1e-9))
+        self.reach += 4**rounds
+        names = []
         for q, b in steps:
-            whole = self.put(F.exp(F.sum(F.log(q)).over(inside)))
-            made.append((self.put(whole * F.sum(b / whole).over(inside)), whole))
-        ends = self.df.groupBy(*KEYS, chunk.alias("__k")).agg(*(F.max_by(F.struct(local.alias("e"), whole.alias("q")), "t").alias(f"e{i}") for i, (local, whole) in enumerate(made)))
-        lists = ends.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("__k", *(f"e{i}" for i in range(len(made)))))).alias("ends"))
-        carries = [_carried(f"e{i}").alias(f"c{i}") for i in range(len(made))]
-        base = self.n
-        carried = lists.select(*KEYS, *carries).select(*(F.col(k).alias(f"__in_{k}") for k in KEYS), F.posexplode(F.arrays_zip(*(f"c{i}" for i in range(len(made))))).alias("__at", "__c"))
-        carried = carried.withColumnsRenamed({"__at": f"__at{base}", "__c": f"__c{base}", **{f"__in_{k}": f"__in{base}_{k}" for k in KEYS}})
-        on = [self.df[k] == carried[f"__in{base}_{k}"] for k in KEYS] + [chunk == carried[f"__at{base}"]]
-        condition = on[0]
-        for c in on[1:]:
-            condition = condition & c
-        self.df = self.df.join(carried, condition, "left")
-        return [self.put(local + whole * F.col(f"__c{base}")[f"c{i}"]) for i, (local, whole) in enumerate(made)]
+            self.n += 1
+            names.append((f"__q{self.n}", f"__b{self.n}"))
+            if self.df is not None:
+                self.df = self.df.withColumns({names[-1][0]: q, names[-1][1]: b})
+        for k in range(rounds if self.df is not None else 0):
+            made = {}
+            for q, b in names:
+                qs = [F.col(q), *(F.lag(q, i * 4**k, 0.0).over(self._w) for i in (1, 2, 3))]
+                bs = [F.col(b), *(F.lag(b, i * 4**k, 0.0).over(self._w) for i in (1, 2, 3))]
+                made[q] = qs[0] * qs[1] * qs[2] * qs[3]
+                made[b] = bs[0] + qs[0] * (bs[1] + qs[1] * (bs[2] + qs[2] * bs[3]))
+            self.df = self.df.withColumns(made)
+        return [self.put(F.when(F.col(q) < 1e-12, F.col(b))) for q, b in names]
 
     def smooth(self, *steps: tuple[Column, float, int], seed: str = "mean") -> list[Column]:
         """Exponential smoothing of each (x, alpha, n): seeded with the mean of its first n values, or with the first
-        value (seed="first", n is 1 then); null until seeded. Null inputs leave the state as it is."""
-        ready, todo = [], []
+        value (seed="first", n is 1 then); null until seeded. Null inputs leave the state as it is; after more of them in a
+        row than a state takes to fade, the result is null until as many values have come."""
+        ready, todo, reach = [], [], self.reach
         for x, alpha, n in steps:
             n = 1 if seed == "first" else n
             seen = self.seen(x)
@@ -117,12 +157,11 @@ class Sheet:
             if alpha >= 1:
                 ready.append((x, None))
                 continue
-            q = F.when(x.isNull() | (seen < n), 1.0).otherwise(1.0 - alpha)
-            todo.append((self.put(q), self.put(b)))
+            q = F.when(x.isNull(), F.when(seen < n, 0.0).otherwise(1.0)).when(seen <= n, 0.0).otherwise(1.0 - alpha)
+            todo.append((q, b))
             ready.append((seen, n))
-        least = min((1.0 - alpha for _, alpha, _ in steps if alpha < 1), default=0.5)
-        fits = max(1, int(-250 * math.log(10) / math.log(max(least, 1e-250)))) if least < 1 / 3 else CHUNK
-        done = iter(self.scan(*todo, size=min(CHUNK, fits))) if todo else iter(())
+        self.reach = reach + max((n for _, _, n in steps), default=0)
+        done = iter(self.scan(*todo, most=max(1.0 - alpha for _, alpha, _ in steps if alpha < 1))) if todo else iter(())
         return [s if n is None else self.put(F.when(s >= n, next(done))) for s, n in ready]
 
     def ema(self, x: Column, n: int) -> Column:
@@ -131,6 +170,22 @@ class Sheet:
     def smma(self, x: Column, n: int) -> Column:
         return self.smooth((x, 1 / n, n))[0]
 
+    def kept(self) -> DataFrame:
+        """The rows of the sheet, those before each span left out."""
+        return self.df.where("__own") if self.cut else self.df
+
     def done(self, **outputs: Column) -> DataFrame:
         """The bars with the outputs, without the helper columns."""
-        return self.df.select(*self.own, *(v.alias(k) for k, v in outputs.items()))
+        rows = self.df.select(*self.own, *(["__own"] if self.cut else []), *(v.alias(k) for k, v in outputs.items()))
+        return rows.where("__own").drop("__own") if self.cut else rows
+
+
+def sheet_for(bars: DataFrame, columns: Callable[[Sheet], object], rows: int | None = SPAN) -> Sheet:
+    """A sheet that ``columns`` may fill. Where they read only so many rows back, found by a first run without rows, the
+    series is cut into spans of ``rows`` rows, each a task of its own; elsewhere, or without ``rows``, it stays whole."""
+    if rows:
+        dry = Sheet(None)
+        columns(dry)
+        if not dry.whole:
+            return Sheet(spread(bars, dry.reach, rows), "__span")
+    return Sheet(bars)

@@ -12,18 +12,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sheet import Sheet, near_zero
+from ..functions.sheet import SPAN, Sheet, near_zero, sheet_for
 from . import recurrences
 
 INDICATORS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def indicator(f: Callable) -> Callable:
-    INDICATORS[f.__name__.rstrip("_")] = lambda bars, **parameters: (lambda s: s.done(**f(s, **parameters)))(Sheet(bars))
+    def run(bars: DataFrame, rows: int | None = SPAN, **parameters) -> DataFrame:
+        s = sheet_for(bars, lambda dry: f(dry, **parameters), rows)
+        return s.done(**f(s, **parameters))
+
+    INDICATORS[f.__name__.rstrip("_")] = run
     return f
 
 
 def with_indicator(bars: DataFrame, name: str, **parameters) -> DataFrame:
+    """``rows`` among the parameters is the size of a span of a series (see ``sheet_for``); None keeps series whole."""
     return INDICATORS[name](bars, **parameters)
 
 
@@ -136,9 +141,9 @@ def kama(s, er=10, fast=2, slow=30):
     f, g = 2 / (fast + 1), 2 / (slow + 1)
     sc = s.put(F.when(path.isNull(), None).otherwise(F.pow(ratio * (f - g) + g, F.lit(2.0))))
     seen, start = s.seen(sc), s.sma(s.c, er + 1)
-    q = s.put(F.when(seen == 0, 1.0).otherwise(1 - sc))
-    b = s.put(F.when(seen == 0, 0.0).when(seen == 1, sc * s.c + (1 - sc) * start).otherwise(sc * s.c))
-    return {"value": F.when(seen > 0, s.scan((q, b))[0])}
+    q = s.put(F.when(seen < 2, 0.0).when(sc.isNull(), 1.0).otherwise(1 - sc))
+    b = s.put(F.when(seen == 0, 0.0).when(seen == 1, sc * s.c + (1 - sc) * start).otherwise(F.coalesce(sc * s.c, F.lit(0.0))))
+    return {"value": F.when(seen > 0, s.scan((q, b), most=1 - min(f, g) ** 2)[0])}
 
 
 def _macd(s, x, fast, slow, signal):
@@ -187,8 +192,7 @@ def adx(s, n=14):
 
 
 def _aroon(s, n):
-    row = s.put(F.row_number().over(s.w))
-    w = s.w.rowsBetween(-n, 0)
+    row, w = s.row(), s.rows(-n)
     since = lambda x: row - s.put(F.max(F.struct(x, row.alias("i"))).over(w))["i"]
     full = row > n
     return F.when(full, (n - since(s.h)) / n * 100), F.when(full, (n - since(-s.l)) / n * 100)
@@ -242,7 +246,7 @@ def heiken_ashi(s, smooth=1):
     close = s.put((o + h + low + c) / 4)
     seen, before = s.seen(close), s.lag(close)
     b = F.when(seen == 0, 0.0).when(seen == 1, (o + c) / 2).otherwise(before / 2)
-    open_ = s.put(F.when(seen > 0, s.scan((s.put(F.when(seen == 0, 1.0).otherwise(0.5)), s.put(b)))[0]))
+    open_ = s.put(F.when(seen > 0, s.scan((F.when(seen < 2, 0.0).otherwise(0.5), b), most=0.5)[0]))
     return {"open": open_, "high": F.when(seen > 0, F.greatest(h, open_, close)), "low": F.when(seen > 0, F.least(low, open_, close)), "close": close, "is_bullish": close >= open_}
 
 
@@ -278,7 +282,7 @@ def cmo(s, n=14):
 
 @indicator
 def dpo(s, n=20):
-    warm = s.put(F.row_number().over(s.w)) >= n + n // 2 + 1
+    warm = s.row() >= n + n // 2 + 1
     return {"value": F.when(warm, s.lag(s.c, n // 2 + 1) - s.sma(s.c, n))}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_cdf, probit
-from .series import numbered
+from ..functions.sheet import numbered
 
 DAY = 86_400_000
 _TRADE_ORDER = ("exit_at", "entry_at", "trade", "line", "part")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sheet import Sheet
+from ..functions.sheet import SPAN, Sheet, sheet_for
 from . import charts
 from . import indicators as I
 
@@ -70,14 +70,15 @@ def emitted(s: Sheet, name: str, entry: Column, leave: Column, strength: Column
     power = F.lit(1.0) if strength is None else F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength))
     side = F.when(entry, "long").when(leave, "exit").alias("direction")
     extra = (F.when(entry, x).alias(k) for k, x in more.items())
-    return s.df.select("symbol", "tf", "t", F.lit(name).alias("rule"), side, F.when(entry, power).otherwise(1.0).alias("strength"), *extra).where("direction IS NOT NULL")
+    return s.kept().select("symbol", "tf", "t", F.lit(name).alias("rule"), side, F.when(entry, power).otherwise(1.0).alias("strength"), *extra).where("direction IS NOT NULL")
 
 
-def signals(bars: DataFrame, name: str) -> DataFrame:
+def signals(bars: DataFrame, name: str, rows: int | None = SPAN) -> DataFrame:
+    """Rules that read only so many rows back work in spans of ``rows`` rows of a series; latched ones look at all of it."""
     if name in FOLDED:
         return _folded(bars, name)
     kernel, parameters = PREPARED.get(name, (None, {}))
-    s = Sheet(I.with_indicator(bars, kernel, **parameters) if kernel else bars)
+    s = sheet_for(I.with_indicator(bars, kernel, **parameters) if kernel else bars, RULES[name], None if name in LATCHED else rows)
     return emitted(s, name, *RULES[name](s))
 
 
@@ -533,7 +534,7 @@ def pattern_breakout(s):
         "double_bottom", "double_top", "inverse_head_and_shoulders", "head_and_shoulders", "ascending_triangle", "descending_triangle", "symmetric_triangle", "bull_flag", "falling_wedge",
     )
     best = charts.best_pattern(s, kinds)
-    warm = s.put(F.row_number().over(s.w) >= 20)
+    warm = s.put(s.row() >= 20)
     return warm & best["kind"].isin(*charts.BULLISH), warm & best["kind"].isin(*charts.BEARISH), best["confidence"]
 
 

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sheet import numbered
+
 _BY_TIME = ("symbol", "t")
 
 
@@ -73,16 +75,6 @@ def latency_stats(samples: DataFrame, last: int = 1000) -> DataFrame:
     return g.select("source", n.alias("n"), F.floor(F.col("s") / n).alias("mean"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.element_at("x", -1).alias("max"))
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, span: int, name: str = "i") -> DataFrame:
-    """Rows numbered from 0 within ``keys`` by ``order`` (milliseconds): within buckets of ``span``, then shifted by the counts of the buckets before."""
-    df = df.withColumn("__bucket", F.floor(F.col(order) / span))
-    counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.select(*keys, "__bucket", before.alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(order)) - 1
-    return df.withColumn("__in", inside).join(shifts, [*keys, "__bucket"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")
-
-
 def _folds(size: Column, train: int, test: int, embargo: int, step: int) -> Column:
     return F.floor((size - (train + embargo + test)) / step) + 1
 
