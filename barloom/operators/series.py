@@ -94,17 +94,41 @@ def walk_forward_splits(bars: DataFrame, train: int = 200, test: int = 50, embar
     return met.groupBy("symbol", "fold").agg(*(F.max(F.when(F.col("k") == k, F.col("t"))).alias(k) for k in ends))
 
 
-def in_tests(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5, step: int | None = None) -> DataFrame:
-    """The bars of each fold's test window: all columns and fold. A bar's folds follow from its row number."""
-    step = step or test
+def _in_folds(bars: DataFrame, offset: int, length: int, train: int, test: int, embargo: int, step: int) -> DataFrame:
+    """The bars of ``length`` rows from ``offset`` after each fold's start: all columns and fold. A bar's folds follow from its row number."""
     x = numbered(bars, ["symbol"], "t", 500 * 86_400_000)
     size = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("__n"))
-    place = F.col("i") - (train + embargo)
-    low, high = F.greatest(F.lit(0), F.ceil((place - test + 1) / step)), F.least(F.floor(place / step), _folds(F.col("__n"), train, test, embargo, step) - 1)
+    place = F.col("i") - offset
+    low, high = F.greatest(F.lit(0), F.ceil((place - length + 1) / step)), F.least(F.floor(place / step), _folds(F.col("__n"), train, test, embargo, step) - 1)
     met = x.join(size, "symbol").where(F.col("__n") >= train + embargo + test).withColumns({"__low": low, "__high": high}).where("__high >= __low")
     return met.select(*bars.columns, F.explode(F.sequence(F.col("__low").cast("int"), F.col("__high").cast("int"))).alias("fold"))
 
 
+def in_tests(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5, step: int | None = None) -> DataFrame:
+    """The bars of each fold's test window: all columns and fold."""
+    return _in_folds(bars, train + embargo, test, train, test, embargo, step or test)
+
+
+def in_training(bars: DataFrame, train: int = 200, test: int = 50, embargo: int = 5, step: int | None = None) -> DataFrame:
+    """The bars of each fold's training window: all columns and fold."""
+    return _in_folds(bars, 0, train, train, test, embargo, step or test)
+
+
+def fold_sharpe(folds: DataFrame, annual: float = 8766.0) -> DataFrame:
+    """symbol, fold, sharpe of holding the close within each fold; 0 without deviation."""
+    x = folds.select("symbol", "fold", (F.col("c") / F.nullif(F.lag("c").over(_w("symbol", "fold")), F.lit(0.0)) - 1).alias("ret"))
+    dev = F.stddev_samp("ret")
+    return x.groupBy("symbol", "fold").agg(F.coalesce(F.when(dev > 1e-12, F.avg("ret") / dev * annual**0.5), F.lit(0.0)).alias("sharpe"))
+
+
+def walk_forward_efficiency(tests: DataFrame, training: DataFrame) -> DataFrame:
+    """Per symbol: folds, mean Sharpe ratio of test and of training windows, percent of tests above 0, and the first mean over
+    the second (0 where that is 0)."""
+    both = fold_sharpe(tests).join(fold_sharpe(training).withColumnRenamed("sharpe", "trained"), ["symbol", "fold"])
+    g = both.groupBy("symbol").agg(F.count(F.lit(1)).alias("folds"), F.avg("sharpe").alias("oos_sharpe"), F.avg("trained").alias("is_sharpe"), (F.avg((F.col("sharpe") > 0).cast("double")) * 100).alias("profitable_pct"))
+    return g.withColumn("efficiency", F.when(F.abs("is_sharpe") > 2.220446049250313e-16, F.col("oos_sharpe") / F.col("is_sharpe")).otherwise(0.0))
+
+
 def excursions(trades: DataFrame, bars: DataFrame, bucket_ms: int = 86_400_000) -> DataFrame:
     """Bars within each trade (trade, symbol, entry_t, exit_t, entry_price) → worst and best move and bars held; the range
     join meets on (symbol, day)."""

@@ -389,6 +389,16 @@ def two_frame_sql(base: str, high: str, high_ms: int, base_ms: int) -> dict[str,
     }
 
 
+def crossing_sets_sql(bars: str, name: str, sets: list[tuple[int, int]]) -> str:
+    """Signals of EMA crossings under each pair of lengths, the pair as a column."""
+    def one(fast: int, slow: int) -> str:
+        s = Layers(bars).smooth("a", "c", fast).smooth("b", "c", slow).add(pa=lag("a"), pb=lag("b"))
+        signals = s.rule(name, "pa <= pb AND a > b", "pa >= pb AND a < b")
+        return f"SELECT symbol, tf, t, rule, '{fast}/{slow}' AS parameters, direction FROM ({signals})"
+
+    return " UNION ALL ".join(one(*x) for x in sets)
+
+
 def walk_rule_sql(bars: str) -> dict[str, str]:
     """Rules that need prices with a memory."""
     new = lambda: Layers(bars)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import calls
 from ..functions.sheet import Sheet
-from ..operators import book, charts, frames, indicators, journals, patterns, resample, risk, rules, series, trades
+from ..operators import book, charts, custom, frames, indicators, journals, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
-from .indicator_sql import indicator_sql, rule_sql, two_frame_sql, walk_rule_sql
+from .indicator_sql import crossing_sets_sql, indicator_sql, rule_sql, two_frame_sql, walk_rule_sql
 from .report_sql import report_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +233,7 @@ QUERIES |= {
     "turnover": lambda s, d: rounded(risk.turnover(rules.paired(bars(s, d), "donchian_breakout"), bars(s, d))),
     "exposure": lambda s, d: rounded(risk.exposure(trades.trades_of(s, d))),
     "holdings": lambda s, d: rounded(risk.holdings(_positions(s, d)), 4),
+    "walk_forward_efficiency": lambda s, d: (lambda b: rounded(series.walk_forward_efficiency(series.in_tests(b), series.in_training(b))).withColumn("efficiency", F.round("efficiency", 4)))(bars(s, d)),
     "walk_forward_summary": lambda s, d: rounded(risk.walk_forward_summary(_curves(s, d))),
     "position_replay": lambda s, d: rounded(_positions(s, d)),
     "event_counts": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("hand"), F.col("event_type").alias("code")).agg(F.count(F.lit(1)).alias("n")),
@@ -369,6 +370,45 @@ def _break_sql(name: str, top: str, bottom: str) -> str:
 SELECT symbol, tf, t, '{name}' AS rule, CASE WHEN c > top THEN 'long' ELSE 'exit' END AS direction, 1.0::DOUBLE AS strength FROM x WHERE c > top OR c < bottom"""
 
 
+def crossing(s: Sheet, fast: int = 20, slow: int = 50) -> tuple:
+    """A user's rule: two EMAs cross."""
+    a, b = s.smooth((s.c, 2 / (fast + 1), fast), (s.c, 2 / (slow + 1), slow))
+    return rules.crossed_up(s, a, b), rules.crossed_down(s, a, b)
+
+
+_SETS = [(5, 20), (9, 21), (12, 26), (20, 50)]
+
+
+def jumps(s: Sheet) -> tuple:
+    """A user's detector: a close that moves by over a half."""
+    move = s.put(F.abs(calls.pct_change(s, s.c, 1)))
+    return move > 0.5, move
+
+
+def bulges(s: Sheet) -> tuple:
+    """Another one: a bar whose range is over twice the mean of the last twenty."""
+    size = s.put(s.h - s.l)
+    return size > 2 * s.sma(size, 20), F.lit(0.5)
+
+
+def band_regime(s: Sheet) -> tuple:
+    """A user's regime: above or below the mean of fifty closes; wide where they deviate by over 30."""
+    m, dev = s.sma(s.c, 50), s.deviation(s.c, 50)
+    return m, F.when(s.c > m, "up").when(s.c <= m, "down"), dev, F.when(dev > 30, "wide").when(dev <= 30, "narrow")
+
+
+def _band_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = custom.custom_regime(bars(spark, sf_dir), band_regime)
+    return rounded(x.select("symbol", "tf", "t", F.col("trend.value").alias("trend"), F.col("trend.status").alias("trend_is"), F.col("volatility.value").alias("volatility"), F.col("volatility.status").alias("volatility_is")))
+
+
+QUERIES |= {
+    "rule_sets": lambda s, d: custom.signals_by_set(bars(s, d), "crossing", crossing, {f"{a}/{b}": {"fast": a, "slow": b} for a, b in _SETS}),
+    "custom_detectors": lambda s, d: rounded(custom.detected(bars(s, d), {"jump": (5, jumps), "bulge": (20, bulges)})),
+    "custom_regime": _band_regime,
+    "indicators_by_config": lambda s, d: rounded(custom.with_indicators(bars(s, d), [{"type": "sma", "n": 20, "as": "fast"}, {"type": "sma", "n": 50, "as": "slow"}]).select("symbol", "tf", "t", "fast_value", "slow_value")),
+}
+
 ORACLE_SQL: dict[str, str] = {
     "resample": f"WITH {_bars_sql()} SELECT symbol, tf, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, v, n FROM bars",
     "resample_m15": f"WITH {_bars_sql('M15')} SELECT symbol, tf, t, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, v, n FROM bars",
@@ -542,3 +582,14 @@ SELECT symbol, round(avg(mae), 6) AS mae, round(avg(mfe), 6) AS mfe, round(coale
     "rolling_sharpe_std": f"SELECT symbol, round(stddev_samp(sharpe), 6) AS dev FROM ({ORACLE_SQL['rolling_sharpe'].replace(', 4) AS sharpe', ', 15) AS sharpe')}) GROUP BY symbol",
     "row_estimate": f"WITH {_bars_sql()} SELECT symbol, count(*) AS bars, count(*) / 500000.0::DOUBLE AS seconds FROM bars GROUP BY symbol",
 }
+
+_MEAN50, _DEV50 = _full("avg(c)", 50), _full("stddev_pop(c)", 50)
+ORACLE_SQL |= {
+    "rule_sets": crossing_sets_sql(_bars_sql(), "crossing", _SETS),
+    "custom_detectors": f"""WITH {_bars_sql()}, p AS (SELECT *, lag(c) OVER {_BY} AS p, h - l AS size, row_number() OVER {_BY} AS rn FROM bars),
+m AS (SELECT *, abs(CASE WHEN p = 0 THEN 0 ELSE (c - p) / p END) AS move, {_full('avg(size)', 20)} AS mean FROM p)
+SELECT symbol, tf, t, 'jump' AS detector, round(least(1, move), 6)::DOUBLE AS confidence FROM m WHERE rn >= 5 AND move > 0.5 UNION ALL SELECT symbol, tf, t, 'bulge', 0.5::DOUBLE FROM m WHERE rn >= 20 AND size > 2 * mean""",
+    "custom_regime": f"""WITH {_bars_sql()}, m AS (SELECT *, {_MEAN50} AS m, {_DEV50} AS dev FROM bars)
+SELECT symbol, tf, t, round(m, 6) AS trend, CASE WHEN c > m THEN 'up' WHEN c <= m THEN 'down' END AS trend_is, round(dev, 6) AS volatility, CASE WHEN dev > 30 THEN 'wide' WHEN dev <= 30 THEN 'narrow' END AS volatility_is FROM m""",
+    "indicators_by_config": f"WITH {_bars_sql()} SELECT symbol, tf, t, round({_full('avg(c)', 20)}, 6) AS fast_value, round({_full('avg(c)', 50)}, 6) AS slow_value FROM bars",
+}

@@ -103,6 +103,12 @@ SELECT symbol, list_min([{near}]).tf AS tf FROM k""",
 SELECT symbol, t, round(CASE WHEN n = 30 AND s > 1e-12 THEN m / s * sqrt(8766.0) ELSE 0 END, 4) AS sharpe FROM w""",
         "walk_forward_splits": folds(50, False), "walk_forward_anchored": folds(40, True),
         "walk_forward_summary": f"WITH {curves} SELECT symbol, count(*) AS folds, round(avg(z / a - 1), 6) AS mean_return, round(avg((z / a - 1 > 0)::INT), 6) AS profitable FROM heads GROUP BY symbol",
+        "walk_forward_efficiency": f"""WITH {b}, {numbered}, k AS (SELECT symbol, unnest(range((n - 255) // 50 + 1)) AS fold FROM (SELECT DISTINCT symbol, n FROM i) WHERE n >= 255),
+x AS (SELECT k.symbol, fold, t, c, i.i >= fold * 50 + 205 AS oos FROM k JOIN i ON k.symbol = i.symbol AND (i.i BETWEEN fold * 50 AND fold * 50 + 199 OR i.i BETWEEN fold * 50 + 205 AND fold * 50 + 254)),
+r AS (SELECT symbol, fold, oos, c / nullif(lag(c) OVER (PARTITION BY symbol, fold, oos ORDER BY t), 0) - 1 AS ret FROM x),
+s AS (SELECT symbol, fold, oos, coalesce(CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(8766) END, 0) AS sharpe FROM r GROUP BY ALL),
+g AS (SELECT symbol, count(*) FILTER (oos) AS folds, avg(sharpe) FILTER (oos) AS o, avg(sharpe) FILTER (NOT oos) AS s, avg((sharpe > 0)::INT) FILTER (oos) * 100 AS p FROM s GROUP BY symbol)
+SELECT symbol, folds, round(o, 6) AS oos_sharpe, round(s, 6) AS is_sharpe, round(p, 6) AS profitable_pct, round(CASE WHEN abs(s) > 2.220446049250313e-16 THEN o / s ELSE 0 END, 4) AS efficiency FROM g""",
         "stitch_oos": f"""WITH {curves}, s AS (SELECT symbol, fold, coalesce(product(z / a) OVER (PARTITION BY symbol ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * first(a) OVER (PARTITION BY symbol ORDER BY fold) / a AS scale FROM heads)
 SELECT c.symbol, c.fold, t, round(equity * scale, 6) AS equity FROM curves c JOIN s ON c.symbol = s.symbol AND c.fold = s.fold""",
         "sharpe_skill": f"""WITH {b}, r AS (SELECT symbol, c / lag(c) OVER {_BY} - 1 AS x FROM bars), q AS (SELECT symbol, x, {moments('x', 'symbol')} FROM r WHERE x IS NOT NULL),
