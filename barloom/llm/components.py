@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n positions reaches over the links of one task."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum of a set of edges: equal marks mean that a round changed nothing."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized, stored, table, text_hash, without
-from .components import components
+from .components import components, stars
 from .jaccard import similar
 
 SEED, BUDGET = 42, 2
@@ -93,20 +93,6 @@ def trie_links(values: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: t
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest position that each of n positions reaches over the links."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    return label
-
-
 def _join_groups(key: np.ndarray, split: np.ndarray, rest: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole groups, sorted by key and rest; split is -1, or names the two deeper nodes that meet in a hot group."""
     start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (split[1:] != split[:-1]))))
@@ -118,7 +104,7 @@ def _join_groups(key: np.ndarray, split: np.ndarray, rest: np.ndarray, rep: np.n
     high = np.concatenate(([0], np.cumsum((rest >> np.uint64(32 - _SPLIT_BITS)).astype(np.int64) == (split >> _SPLIT_BITS))))
     middle = np.where(cut, start + (high[stop] - high[start]), stop)
     a, b = trie_links(rest, (start, middle), (np.where(cut, middle, start), stop))
-    label = _stars(len(key), a, b)
+    label = stars(len(key), a, b)
     moved = np.flatnonzero(label != np.arange(len(key)))
     return rep[moved], rep[label[moved]]
 

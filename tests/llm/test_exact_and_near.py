@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from barloom.llm import exact_dedup, line_dedup, simhash
-from barloom.llm.components import components
+from barloom.llm import exact_dedup, jaccard, line_dedup, simhash
+from barloom.llm.common import text_hash
+from barloom.llm.components import components, stars
 
 
 def brute_exact(rows):
@@ -33,7 +34,10 @@ def test_exact_odd_rows(odd, none):
     assert got == {(1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 5, 2), (5, 5, 2), (6, 6, 1), (7, 8, 2), (8, 8, 2), (None, None, 1), (9, 9, 1), (10, 10, 2), (11, 11, 1)}
     assert exact_dedup.exact_groups(none).count() == 0
     left = exact_dedup.drop_exact(odd)
-    assert left.columns == odd.columns and left.count() == odd.count() - 3
+    ids = sorted(str(r["doc_id"]) for r in left.collect())
+    assert left.columns == odd.columns and ids == sorted(map(str, (2, 3, 5, 6, 8, None, 9, 10, 11)))
+    twice = odd.where("doc_id IS NULL OR doc_id = 4")
+    assert sorted(str(r["doc_id"]) for r in exact_dedup.drop_exact(twice.union(twice)).collect()) == ["4", "None"]
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 5000, 50_000])
@@ -130,6 +134,35 @@ def test_near_stage_finds_similar_shingles(spark, sf, documents):
     assert want and not [p for p in want if kept >= set(p)]
 
 
+@pytest.mark.parametrize("sides", [None, 7])
+def test_dense_groups_lose_no_link(spark, monkeypatch, sides):
+    """A text with 40 copies that differ too much from one another, chains of edits, and texts that share half of their words."""
+    if sides:
+        monkeypatch.setattr(jaccard, "TILE_TEXTS", sides)
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    edited = lambda base, n: [f"x{rng.randrange(9000)}" if i in at else x for at in [rng.sample(range(len(base)), n)] for i, x in enumerate(base)]
+    base, passage, chain = words(120), words(60), [words(120)]
+    for _ in range(25):
+        chain.append(edited(chain[-1], 2))
+    made = [base, *(edited(base, 2) for _ in range(40)), *chain, *(passage + words(40) for _ in range(40))]
+    sets = [frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in made]
+    label = {i: i for i in range(len(made))}
+    for _ in range(len(made)):
+        before = dict(label)
+        for i, j in combinations(label, 2):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(made)], "doc_id long, text string")
+    ids = {r["th"]: r["doc_id"] for r in docs.select("doc_id", text_hash(docs["text"]).alias("th")).collect()}
+    edges = [(ids[r["u"]], ids[r["v"]]) for r in jaccard.similar(docs).collect()]
+    assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or label[a] == label[b] for a, b in edges)
+    got = stars(len(made), *(np.array(x) for x in zip(*edges, strict=True)))
+    assert got.tolist() == [label[i] for i in range(len(made))] and len(set(got.tolist())) < len(made) - 50
+
+
 def test_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(60)]
