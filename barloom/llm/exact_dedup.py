@@ -133,7 +133,7 @@ def exact_groups(docs: DataFrame, in_snapshot: Column | None = None) -> DataFram
     texts = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).join(sized(repeated), "digest", "left_semi")
     groups = texts.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep"))
     groups = stored(groups.select("digest", text_hash(F.col("text")).alias("th"), "size", "keep"), "groups")
-    out = base.join(groups, ["digest", "th"], "left")
+    out = base.join(sized(groups), ["digest", "th"], "left")
     return out.select(
         "doc_id", "th", "digest",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
@@ -142,9 +142,20 @@ def exact_groups(docs: DataFrame, in_snapshot: Column | None = None) -> DataFram
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows for which another row with the same text stays; all columns are kept."""
-    gone = exact_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return without(docs, gone)
+    """``docs`` with one row of each text, all columns kept: that with the largest doc_id; a row with a null id stays only if
+    no row of its text has an id. Of rows that repeat one doc_id and text any one stays."""
+    groups = stored(exact_groups(docs), "exact")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    left = without(docs, groups.where(~stays))
+    again = groups.where(stays & (F.col("group_size") > 1)).groupBy("doc_id", "th").count().where("count > 1")
+    again = stored(again.select("doc_id", "th"), "again")
+    if not again.take(1):
+        return left
+    th = "__th"
+    marked = left.withColumn(th, text_hash(F.col("text")))
+    both = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col(f"a.{th}") == F.col("b.th")]
+    repeats = marked.alias("a").join(sized(again).alias("b"), both, "left_semi").dropDuplicates(["doc_id", th])
+    return without(left, again).unionByName(repeats.drop(th))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
