@@ -55,7 +55,8 @@ def ids_of(text: str, coder) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens (and ids) for each piece; a null text is empty: only the end id."""
+    """doc_id, start, length, ids_crc32, doc_tokens, salt (and ids) for each piece; a null text is empty: only the end id.
+    salt is the place of the document in its batch: it deals out rows that are otherwise equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks)
@@ -72,12 +73,12 @@ def pieces(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, with
                     whole.append(len(got))
                     if with_ids:
                         ids.append(piece.tobytes())
-            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole, row))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -143,8 +144,9 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, with_i
     """
     cut = stored(pieces(docs, ranks, window, with_ids), "pieces")
     groups = max(1, math.ceil(cut.count() / RESTS_PER_GROUP))
-    placed = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return placed.groupBy("group").applyInPandas(_pack(window, groups, with_ids), T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    placed = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
+    fields = [f for f in cut.schema.fields if f.name != "salt"]
+    return placed.groupBy("group").applyInPandas(_pack(window, groups, with_ids), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
