@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .divergence import OP11_SQL, op11_source_divergence
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op1_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_nearest": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_nearest": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
