@@ -11,6 +11,8 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import op5_mixing
 from .nearest import OP7_SQL, op7_nearest
 from .packing import op6_packing
+from .partenum import OP13_SQL, op13_jaccard_join
+from .periodic import op12_periodic_runs
 from .secret_scan import op8_secret_scan
 from .sharding import op3_sharding
 from .simhash import op2_simhash
@@ -28,8 +30,10 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_jaccard_join": op13_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_nearest": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_nearest": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_jaccard_join": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
