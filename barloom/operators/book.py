@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A position smaller than this is flat: sums of quantities aren't exact.
 FLAT = 1e-9
+#: Exponents that one block of a position's running cost spans; exp of twice as much is gone in doubles.
+BLOCK = 500
 
 
 def next_open_fills(bars: DataFrame, marks: DataFrame, qty: float = 1.0, commission: float = 0.001, slippage: float = 0.0005) -> DataFrame:
@@ -39,7 +41,8 @@ def trades_of_fills(fills: DataFrame, keys: list[str], order: list[str]) -> Data
 
     A fill through the position closes it and opens the rest the other way, its commission split by quantity. Additions move
     the average price; a part close leaves it and takes its share of the entry commission. The running cost of a position is a
-    linear recurrence in its fills (an addition adds, a part close scales), so it is a sum of windows over each position.
+    linear recurrence in its fills (an addition adds, a part close scales), so it is a sum of windows over each position, however
+    often that is part-closed.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -59,12 +62,22 @@ def trades_of_fills(fills: DataFrame, keys: list[str], order: list[str]) -> Data
     begins = (F.col("kind") == "open") & ((F.col("__was") == 0) | (F.col("__k") == 1))
     x = x.withColumn("__episode", F.sum(begins.cast("int")).over(steps))
     own = Window.partitionBy(*keys, "__episode").orderBy(*order, "__k")
-    past, opened = own.rowsBetween(Window.unboundedPreceding, -1), F.col("kind") == "open"
+    opened = F.col("kind") == "open"
     left = F.when(opened, 1.0).otherwise(1 - F.col("amount") / F.nullif(size("__was"), F.lit(0.0)))
     x = x.withColumn("__left", F.when(left < FLAT, 1.0).otherwise(left))  # a full close ends the position: nothing follows
-    x = x.withColumn("__q", F.exp(F.sum(F.log("__left")).over(own.rowsBetween(Window.unboundedPreceding, 0))))
-    grown = lambda added: F.coalesce(F.lag("__q").over(own), F.lit(1.0)) * F.coalesce(F.sum(F.when(opened, added) / F.col("__q")).over(past), F.lit(0.0))
-    x = x.withColumns({"__cost": grown(F.col("price") * F.col("amount")), "__fee": grown(F.col("fee")), "entry_t": F.first(order[0]).over(own), "__long": F.col("__was") > 0})
+    # What is left of an earlier addition is the product of all shares that stayed since: exp(-__l) of differences of __l. Sums of
+    # additions are scaled within blocks of __l, so that nothing over- or underflows; two blocks back all has faded.
+    x = x.withColumn("__l", -F.sum(F.log("__left")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("__block", F.floor(F.col("__l") / BLOCK))
+    inside = Window.partitionBy(*keys, "__episode", "__block").orderBy(*order, "__k").rowsBetween(Window.unboundedPreceding, 0)
+    scale = F.col("__l") - F.col("__block") * BLOCK
+    added = {"__cost": F.col("price") * F.col("amount"), "__fee": F.col("fee")}
+    x = x.withColumns({f"{k}_sum": F.sum(F.when(opened, v).otherwise(0.0) * F.exp(scale)).over(inside) for k, v in added.items()})
+    x = x.withColumns({f"{k}_past": F.lag(f"{k}_sum").over(own) for k in added})
+    x = x.withColumns({f"{k}_past": F.coalesce(F.first(f"{k}_past").over(inside), F.lit(0.0)) for k in added})
+    x = x.withColumns({f"{k}_now": F.exp(-scale) * F.col(f"{k}_sum") + F.exp(-scale - BLOCK) * F.col(f"{k}_past") for k in added})
+    x = x.withColumns({k: F.coalesce(F.lag(f"{k}_now").over(own), F.lit(0.0)) for k in added})
+    x = x.withColumns({"entry_t": F.first(order[0]).over(own), "__long": F.col("__was") > 0})
     held = F.nullif(size("__was"), F.lit(0.0))
     share = F.col("amount") / held
     average = F.col("__cost") / held

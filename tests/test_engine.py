@@ -1,6 +1,7 @@
 """Recurrences against plain loops, resampling rules, pairing, streams, sources."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -276,3 +277,39 @@ def test_streams(spark, bars, tmp_path):
     sink(bars, 0)
     sink(bars, 0)
     assert spark.read.parquet(str(tmp_path / "journal")).count() == bars.count()
+
+
+def plain_trades(fills):
+    """(qty, entry price, exit price, pnl) of each close, by a mutable position."""
+    held, cost, fees, out = 0.0, 0.0, 0.0, []
+    for side, qty, price, commission in fills:
+        d = qty if side == "buy" else -qty
+        if held * d < 0:
+            closed = min(abs(held), qty)
+            average, fee = cost / abs(held), fees * closed / abs(held) + commission * closed / qty
+            out.append((closed, average, price, (price - average) * closed * (1 if held > 0 else -1) - fee))
+            cost, fees = cost - average * closed, fees - fees * closed / abs(held)
+            held = held - closed if held > 0 else held + closed
+            held = 0.0 if abs(held) < 1e-9 else held
+            if not held:
+                cost = fees = 0.0
+            d, commission = (qty - closed) * (1 if d > 0 else -1), commission * (qty - closed) / qty
+        if abs(d) >= 1e-9:
+            held, cost, fees = held + d, cost + price * abs(d), fees + commission
+    return out
+
+
+@pytest.mark.parametrize("kind", ["halved", "random"])
+def test_positions_that_are_part_closed_often(spark, kind):
+    rng = random.Random(kind)
+    if kind == "halved":
+        rows = [("buy", 1.0, 100.0, 0.1)] + [x for _ in range(5000) for x in (("buy", 1.0, 100 + rng.random(), 0.1), ("sell", 1.0, 100 + rng.random(), 0.1))]
+    else:
+        rows = [(rng.choice(("buy", "buy", "sell")), rng.randint(1, 64) / 16, 100 + rng.random(), 0.1) for _ in range(4000)]
+        rows += [(rng.choice(("buy", "sell")), rng.randint(1, 64) / 16, 100 + rng.random(), 0.1) for _ in range(4000)]
+    df = spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], "symbol string, t long, side string, qty double, price double, commission double")
+    got = book.trades_of_fills(df, ["symbol"], ["t"]).orderBy("exit_t").collect()
+    want = plain_trades(rows)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert [g["qty"], g["entry_price"], g["exit_price"], g["pnl"]] == pytest.approx(list(w), rel=1e-9, abs=1e-9)
