@@ -10,7 +10,8 @@ share a band.
 A signature that many sets share says little: it is an empty choice, a passage that many documents quote, or a large family
 of near copies. A set leaves those signatures out, unless it has so many of them that they may be all that it shares
 with a similar set (``slack``). So families stay together while documents that share a passage part. What then shares a
-signature is compared whole: all pairs of a small bucket, and by tiles in a large one (``jaccard``).
+signature is compared, all pairs of a small bucket, and by tiles in a large one: first by sketches whose difference is a lower
+bound, then whole (``jaccard``).
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ while BANDS[-1] < 1 << 40:
 SMALL = 8
 #: Signatures that one task sorts; times that a task meets one before it deals its sets out by other keys.
 BUCKET, HOT = 500_000, 64
+#: Sets of one side of a tile of sketches.
+TILE = 2048
 _FLUSH = 400_000
 _WORD = (1 << 64) - 1
 _SUMMARY = 0xFFFFFFFF
@@ -57,6 +60,14 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n], (ends[words - 1 :] - 1).tolist(), strict=True)), np.uint64, n))
 
 
+def sketch_of(found: np.ndarray) -> np.ndarray:
+    """Parities of the elements that fall on each of at least as many bits, a power of two from 512 on: sketches of equal
+    length differ in no more bits than their sets in elements. The two halves of a sketch make one of half the length by xor."""
+    bits = max(512, 1 << (len(found) - 1).bit_length()) if len(found) else 512
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node_of(found: np.ndarray) -> int:
     """64 bits that stand for a set."""
     return xxhash.xxh3_64_intdigest(found.tobytes())
@@ -97,20 +108,22 @@ def slack(n):
 
 
 def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, th (text_hash), n (size of the set) and node (which stands for the set) of each row."""
+    """doc_id, th (text_hash), n (size of the set), node (which stands for the set) and its sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node = [], []
+            n, node, sketch = [], [], []
             for t in b.column(2):
                 found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words)
                 n.append(len(found))
                 node.append(node_of(found))
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "node"])
+                sketch.append(sketch_of(found))
+            sketches = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketch)]), pa.int32()), pa.array(np.concatenate(sketch or [np.zeros(0, np.int64)])))
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), sketches]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_hash(F.col("text")), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, th long, n long, node long")
+    return docs.select("doc_id", text_hash(F.col("text")), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, th long, n long, node long, sketch array<long>")
 
 
 def _packed(sig: np.ndarray, ref: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
@@ -202,6 +215,78 @@ def _sets(docs: DataFrame, rows: DataFrame, asked: DataFrame, words: int) -> Dat
     return texts.mapInArrow(run, "th long, s array<long>").dropDuplicates(["th"])
 
 
+def _differ(a: str, b: str):
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    fold = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    return F.expr(f"aggregate(zip_with({fold(a, b)}, {fold(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)")
+
+
+def _near_rows(n: np.ndarray, c: np.ndarray, sketches: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """Which rows of a tile have a partner in another component whose sketch may be that of a similar set. ``left`` and
+    the others meet, or all of them where left is everywhere true."""
+    least = min(map(len, sketches))
+    folded = []
+    for s in sketches:
+        while len(s) > least:
+            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+        folded.append(s)
+    bits = np.array(folded).view(np.uint64)
+    a, b = np.flatnonzero(left), np.arange(len(n)) if left.all() else np.flatnonzero(~left)
+    out = np.zeros(len(n), bool)
+    for at in range(0, len(a), 256):
+        i = a[at : at + 256]
+        apart = np.zeros((len(i), len(b)), np.int32)
+        for k in range(least):
+            apart += np.bitwise_count(bits[i, k][:, None] ^ bits[b, k])
+        near = (apart * 9 <= n[i][:, None] + n[b]) & (c[i][:, None] != c[b])
+        out[i] |= near.any(axis=1)
+        out[b] |= near.any(axis=0)
+    return out
+
+
+def _near_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, p, q, side, node, c, n, sketch) sorted by sig, p and q; a tile that goes on in the next batch is held back."""
+    held = None
+    for b in batches:
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        keys = np.column_stack([held.column(k).to_numpy() for k in range(3)])
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, np.int64)
+        if len(first) > 1:
+            yield _near_of(held.slice(0, first[-1]), first)
+            held = held.slice(first[-1])
+    if held is not None and held.num_rows:
+        yield _near_of(held, np.array([0, held.num_rows]))
+
+
+def _near_of(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    sig, side, node, c, n = (rows.column(k).to_numpy() for k in ("sig", "side", "node", "c", "n"))
+    sketches = rows.column("sketch").combine_chunks()
+    flat, ends = sketches.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sketches.value_lengths().to_numpy())))
+    kept = np.zeros(rows.num_rows, bool)
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), rows.num_rows], strict=True):
+        if j > i:
+            left = np.ones(j - i, bool) if (side[i:j] == side[i]).all() else side[i:j] == 0
+            kept[i:j] = _near_rows(n[i:j], c[i:j], [flat[a:b] for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)], left)
+    return pa.RecordBatch.from_arrays([pa.array(sig[kept]), pa.array(node[kept])], ["sig", "node"])
+
+
+def _unsettled(large: DataFrame, sketches: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sig, node) of large buckets that may be similar to a set of another component in the same bucket, by their sketches.
+
+    A bucket of more than TILE sets is cut into parts, and each two parts meet in a tile."""
+    label = components(edges)
+    rows = large.join(label.toDF("node", "label"), "node", "left").select("sig", "node", F.coalesce("label", "node").alias("c"))
+    mixed = rows.groupBy("sig").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b")
+    parts = mixed.select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("parts"))
+    rows = rows.join(parts, "sig").withColumn("x", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("y", each).select("sig", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), (F.col("x") > F.col("y")).cast("int").alias("side"), "node", "c")
+    # A part alone is one tile; in a tile of two, the part of the lower number is side 0.
+    rows = rows.join(sketches.select("node", "n", "sketch"), "node").select("sig", "p", "q", "side", "node", "c", "n", "sketch")
+    rows = rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    return rows.mapInArrow(_near_tiles, "sig long, node long").distinct()
+
+
 def links(docs: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Edges (u, v) between nodes whose sets have a similarity of 0.8 or more: not each such pair, but all that are needed
     to reach one end of it from the other. rows: ``prints`` of docs."""
@@ -222,16 +307,25 @@ def links(docs: DataFrame, rows: DataFrame, words: int = WORDS) -> DataFrame:
     held = stored(held.join(again, "sig"), "held")
     small = few.union(held.where(F.col("k") <= SMALL).select("sig", "node", "n"))
     large = held.where(F.col("k") > SMALL)
+    sketches = stored(rows.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
     a, b = small.toDF("sig", "u", "x"), small.toDF("sig", "v", "y")
     near = a.join(b, "sig").where("u < v AND 5 * least(x, y) >= 4 * greatest(x, y)").select("u", "v")
     star = large.where("node <> rep").select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v"))
-    pairs = stored(near.union(star).distinct(), "pairs")
-    asked = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(large.select("node")).distinct(), "asked")
+    # What differs in the sketches differs in the sets: most pairs that aren't similar end here.
+    side = lambda name: sketches.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    pairs = near.union(star).distinct().join(side("u"), "u").join(side("v"), "v")
+    pairs = pairs.where((F.least("nu", "nv") * 5 >= F.greatest("nu", "nv") * 4) & (_differ("su", "sv") * 9 <= F.col("nu") + F.col("nv"))).select("u", "v")
+    pairs = stored(pairs, "pairs")
+    asked = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "asked")
     sets = stored(_sets(docs, rows, asked, words), "sets")
     both = pairs.join(sets.select(F.col("th").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("th").alias("v"), F.col("s").alias("b")), "v")
     common, every = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     edges = stored(both.where(common * 100 >= (every - common) * 80).select("u", "v"), "links")
-    more = across(large.select(F.lit(0).alias("band"), F.col("sig").alias("key"), F.col("node").alias("th")), sets, edges)
+    left = stored(_unsettled(large, sketches, edges), "unsettled")
+    if not left.take(1):
+        return edges
+    sets = stored(_sets(docs, rows, left.select("node").distinct(), words), "sets")
+    more = across(left.select(F.lit(0).alias("band"), F.col("sig").alias("key"), F.col("node").alias("th")), sets, edges)
     return edges if more is None else edges.union(more)
 
 
