@@ -4,6 +4,7 @@ known number of rows, and linear recurrences by doubling."""
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ BUCKET = 45 * 86_400_000
 #: A state that has shrunk to this share is gone: it is below half of the last bit of what replaced it.
 FADED = 1e-17
 EPS = 2.220446049250313e-16
+_HELPER = re.compile(r"\b__\d+\b")
 
 
 def near_zero(x: Column) -> Column:
@@ -48,16 +50,27 @@ def spread(df: DataFrame, reach: int, rows: int) -> DataFrame:
 class Sheet:
     """A bars DataFrame that grows by helper columns. Every step is a named column, so steps may nest.
 
-    All frames share one window: Spark plans one exchange and one sort for them. Rows before a frame is full are null.
+    Columns wait in layers, each over those it reads from, until the rows are asked for: the plan is as deep as the longest chain of
+    columns, not as their number. All frames share one window: Spark plans one exchange and one sort for them. Rows before a
+    frame is full are null.
     ``w`` is a window over the whole series; ``rows`` gives bounded ones. ``reach`` adds up how far back the columns read.
     """
 
     def __init__(self, df: DataFrame | None, *more_keys: str):
-        self.df, self.own, self.n = df, [c for c in df.columns if not c.startswith("__")] if df is not None else [], 0
+        self._df, self.own, self.n = df, [c for c in df.columns if not c.startswith("__")] if df is not None else [], 0
+        self._layers: list[dict[str, Column]] = []
+        self._layer: dict[str, int] = {}
         self.o, self.h, self.l, self.c, self.v = (F.col(x) for x in "ohlcv")
         self._w = Window.partitionBy(*KEYS, *more_keys).orderBy("t")
         self.reach, self.whole, self.cut = 0, False, bool(more_keys)
 
+    @property
+    def df(self) -> DataFrame | None:
+        for layer in self._layers:
+            self._df = self._df.withColumns(layer)
+        self._layers, self._layer = [], {}
+        return self._df
+
     @property
     def w(self) -> WindowSpec:
         self.whole = True
@@ -75,8 +88,11 @@ class Sheet:
     def put(self, expr: Column) -> Column:
         self.n += 1
         name = f"__{self.n}"
-        if self.df is not None:
-            self.df = self.df.withColumn(name, expr)
+        if self._df is not None:
+            layer = max((self._layer[x] + 1 for x in _HELPER.findall(str(expr)) if x in self._layer), default=0)
+            self._layers += [{} for _ in range(layer + 1 - len(self._layers))]
+            self._layers[layer][name] = expr
+            self._layer[name] = layer
         return F.col(name)
 
     def frame(self, agg: Column, x: Column, n: int) -> Column:
@@ -128,21 +144,15 @@ class Sheet:
         null. All rounds share one exchange and one sort, and nothing is joined."""
         rounds = max(1, math.ceil(math.log(math.log(FADED) / math.log(most), 4) - 1e-9))
         self.reach += 4**rounds
-        names = []
+        done = []
         for q, b in steps:
-            self.n += 1
-            names.append((f"__q{self.n}", f"__b{self.n}"))
-            if self.df is not None:
-                self.df = self.df.withColumns({names[-1][0]: q, names[-1][1]: b})
-        for k in range(rounds if self.df is not None else 0):
-            made = {}
-            for q, b in names:
-                qs = [F.col(q), *(F.lag(q, i * 4**k, 0.0).over(self._w) for i in (1, 2, 3))]
-                bs = [F.col(b), *(F.lag(b, i * 4**k, 0.0).over(self._w) for i in (1, 2, 3))]
-                made[q] = qs[0] * qs[1] * qs[2] * qs[3]
-                made[b] = bs[0] + qs[0] * (bs[1] + qs[1] * (bs[2] + qs[2] * bs[3]))
-            self.df = self.df.withColumns(made)
-        return [self.put(F.when(F.col(q) < 1e-12, F.col(b))) for q, b in names]
+            q, b = self.put(q), self.put(b)
+            for k in range(rounds):
+                qs = [q, *(F.lag(q, i * 4**k, 0.0).over(self._w) for i in (1, 2, 3))]
+                bs = [b, *(F.lag(b, i * 4**k, 0.0).over(self._w) for i in (1, 2, 3))]
+                q, b = self.put(qs[0] * qs[1] * qs[2] * qs[3]), self.put(bs[0] + qs[0] * (bs[1] + qs[1] * (bs[2] + qs[2] * bs[3])))
+            done.append(self.put(F.when(q < 1e-12, b)))
+        return done
 
     def smooth(self, *steps: tuple[Column, float, int], seed: str = "mean") -> list[Column]:
         """Exponential smoothing of each (x, alpha, n): seeded with the mean of its first n values, or with the first

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sheet import SPAN, Sheet, sheet_for
-from .indicators import with_indicator
+from .indicators import COLUMNS, with_indicator
 from .rules import emitted
 
 #: (entry, exit) or (entry, exit, strength) of each bar.
@@ -56,11 +56,27 @@ def detected(bars: DataFrame, detectors: dict[str, tuple[int, Callable[[Sheet],
     return s.kept().select("symbol", "tf", "t", F.explode(F.array_compact(F.array(*marks))).alias("x")).select("symbol", "tf", "t", "x.*")
 
 
-def with_indicators(bars: DataFrame, specs: list[dict]) -> DataFrame:
+def with_indicators(bars: DataFrame, specs: list[dict], rows: int | None = SPAN) -> DataFrame:
     """The bars with the outputs of each {type, as, …parameters}; outputs are called as_output, ``as`` is the type if not given.
-    Each indicator adds to the rows of the one before, so nothing is joined."""
+
+    Indicators that read only so many rows back fill one sheet in spans, those that look at a whole series another one, so
+    bars are read, dealt and sorted as often for twenty indicators as for one. Those with a non-linear recurrence fold series."""
+    near, whole, folded = [], [], []
     for spec in specs:
+        kind, name = spec["type"], spec.get("as", spec["type"])
         parameters = {k: v for k, v in spec.items() if k not in ("type", "as")}
-        made = with_indicator(bars, spec["type"], **parameters)
-        bars = made.withColumnsRenamed({c: f"{spec.get('as', spec['type'])}_{c}" for c in made.columns if c not in bars.columns})
+        if kind not in COLUMNS:
+            folded.append((kind, name, parameters))
+            continue
+        dry = Sheet(None)
+        COLUMNS[kind](dry, **parameters)
+        (whole if dry.whole or not rows else near).append((kind, name, parameters))
+    for some, span in ((near, rows), (whole, None)):
+        if some:
+            every = lambda s, some=some: {f"{name}_{k}": x for kind, name, p in some for k, x in COLUMNS[kind](s, **p).items()}
+            s = sheet_for(bars, every, span)
+            bars = s.done(**every(s))
+    for kind, name, parameters in folded:
+        made = with_indicator(bars, kind, **parameters)
+        bars = made.withColumnsRenamed({c: f"{name}_{c}" for c in made.columns if c not in bars.columns})
     return bars

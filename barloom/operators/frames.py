@@ -80,13 +80,23 @@ BASE: dict[str, Callable[[Sheet, dict], tuple]] = {f.__name__: f for f in (mtf_e
 
 def two_frame_signals(base: DataFrame, high: DataFrame, name: str, base_tf: str, high_tf: str) -> DataFrame:
     """symbol, tf, t, rule, direction, strength, target, stop."""
+    return custom_two_frames(base, high, name, base_tf, high_tf, HIGH[name], BASE[name], NEEDED.get(name, 2), ("p",))
+
+
+def custom_two_frames(
+    base: DataFrame, high: DataFrame, name: str, base_tf: str, high_tf: str, above: Callable[[Sheet], dict[str, Column]], rule: Callable[[Sheet, dict], tuple], needed: int = 1, optional: tuple = ()
+) -> DataFrame:
+    """Signals of a user's rule over two timeframes: ``above`` gives the higher bars' columns by name, ``rule`` takes the base bars' sheet
+    and those columns as of each base bar's close, and returns (entry, exit) or (entry, exit, strength, target, stop).
+
+    It is silent until ``needed`` closed higher bars know all columns but the ``optional`` ones."""
     h = Sheet(high)
-    made = {k: h.put(v) for k, v in HIGH[name](h).items()}
-    known = F.count(F.when(_known(*(v for k, v in made.items() if k != "p")), 1)).over(h.w.rowsBetween(Window.unboundedPreceding, 0))
+    made = {k: h.put(v) for k, v in above(h).items()}
+    known = F.count(F.when(_known(*(v for k, v in made.items() if k not in optional)), 1)).over(h.w.rowsBetween(Window.unboundedPreceding, 0))
     right = h.done(**{f"x_{k}": v for k, v in made.items()}, x_known=known)
     s = Sheet(as_of(base, right, base_tf, high_tf, [f"x_{k}" for k in (*made, "known")], prefix="__"))
     s.own = base.columns
-    entry, leave, *more = BASE[name](s, {k: F.col(f"__x_{k}") for k in made})
-    ready = F.col("__x_known") >= NEEDED.get(name, 2)
+    entry, leave, *more = rule(s, {k: F.col(f"__x_{k}") for k in made})
+    ready = F.col("__x_known") >= needed
     strength, target, stop = more or (None, F.lit(None).cast("double"), F.lit(None).cast("double"))
     return emitted(s, name, ready & entry, ready & leave, strength, target=target, stop=stop)

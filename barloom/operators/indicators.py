@@ -16,6 +16,8 @@ from ..functions.sheet import SPAN, Sheet, near_zero, sheet_for
 from . import recurrences
 
 INDICATORS: dict[str, Callable[..., DataFrame]] = {}
+#: Those that are columns of a sheet: outputs by name.
+COLUMNS: dict[str, Callable[..., dict[str, Column]]] = {}
 
 
 def indicator(f: Callable) -> Callable:
@@ -24,6 +26,7 @@ def indicator(f: Callable) -> Callable:
         return s.done(**f(s, **parameters))
 
     INDICATORS[f.__name__.rstrip("_")] = run
+    COLUMNS[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -250,6 +253,18 @@ def heiken_ashi(s, smooth=1):
     return {"open": open_, "high": F.when(seen > 0, F.greatest(h, open_, close)), "low": F.when(seen > 0, F.least(low, open_, close)), "close": close, "is_bullish": close >= open_}
 
 
+def candles(bars: DataFrame, kind: str = "raw", smooth: int = 1, rows: int | None = SPAN) -> DataFrame:
+    """The bars as another candle type (``raw`` or ``heiken_ashi``, with ``smooth`` bars of smoothing), with the same columns, so any indicator
+    or rule may stand on them. Bars before the smoothing is warm are left out; time, symbol and volume stay."""
+    if kind == "raw":
+        return bars
+    if kind != "heiken_ashi":
+        raise ValueError(f"unknown candle type {kind}")
+    made = with_indicator(bars, "heiken_ashi", smooth=smooth, rows=rows).where("close IS NOT NULL")
+    price = {"o": "open", "h": "high", "l": "low", "c": "close"}
+    return made.select(*(F.col(price[c]).alias(c) if c in price else F.col(c) for c in bars.columns))
+
+
 @indicator
 def rsi(s, n=14):
     return {"value": _rsi(s, s.c, n)}

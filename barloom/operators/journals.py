@@ -8,7 +8,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.bars import TIMEFRAMES
+from ..sources.bars import TIMEFRAMES, bars_before, bars_range, scan_bars
+from .resample import resample
 
 DAY = 86_400_000
 
@@ -132,3 +133,38 @@ def resolved(files: DataFrame, symbol: str, tf: str, sources: list[str]) -> Data
     best = held.groupBy("place").agg(F.max("ms").alias("most"), F.min("ms").alias("least")).orderBy("place").limit(1)
     chosen = best.select("place", F.when(F.col("most") == TIMEFRAMES[tf], F.col("most")).otherwise(F.col("least")).alias("ms"))
     return held.join(F.broadcast(chosen), ["place", "ms"], "left_semi").drop("place", "ms")
+
+
+#: Fixed: the resolutions of a report; an empty or unknown one is a minute.
+RESOLUTIONS = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "4h": 14_400_000, "1d": 86_400_000}
+
+
+def by_resolution(rows: DataFrame, time: str, resolution: str, *keys: str, **sums: str) -> DataFrame:
+    """Journal rows counted, and columns summed (name=column), per ``keys`` and bucket of a resolution."""
+    ms = RESOLUTIONS.get(resolution, RESOLUTIONS["1m"])
+    return rows.groupBy(*keys, (F.floor(F.col(time) / ms) * ms).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
+
+
+def load_resolved(spark, files: DataFrame, symbol: str, tf: str, sources: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
+    """symbol, tf and the bars of what ``resolved`` finds, brought up to ``tf`` where only a finer timeframe is held; no rows where
+    no source has the symbol. Files outside the span aren't opened; their names, one per file, pass the driver."""
+    chosen = pruned(resolved(files, symbol, tf, sources), start, end).select("path", "tf").collect()
+    if not chosen:
+        return spark.createDataFrame([], "symbol string, tf string, t long, o double, h double, l double, c double, v double")
+    # A finer bar belongs to a bucket that may begin before the span and end after it.
+    ms = TIMEFRAMES[tf]
+    low, high = None if start is None else start // ms * ms, None if end is None else end // ms * ms + ms - 1
+    bars = scan_bars(spark, [r["path"] for r in chosen], low, high).select(F.lit(symbol.upper()).alias("symbol"), F.lit(chosen[0]["tf"]).alias("tf"), "t", "o", "h", "l", "c", "v")
+    bars = bars if chosen[0]["tf"] == tf else resample(bars, tf)
+    keep = F.lit(True) if start is None else F.col("t") >= start
+    return bars.where(keep if end is None else keep & (F.col("t") <= end))
+
+
+def held_before(spark, files: DataFrame, symbol: str, tf: str, sources: list[str], cursor: int, limit: int) -> DataFrame:
+    """The newest ``limit`` bars before a cursor, ascending, from whatever timeframe is held (see ``load_resolved``)."""
+    return bars_before(load_resolved(spark, files, symbol, tf, sources, None, cursor), cursor, limit)
+
+
+def held_range(spark, files: DataFrame, symbol: str, tf: str, sources: list[str], start: int, end: int) -> DataFrame:
+    """Bars with start <= t < end from whatever timeframe is held."""
+    return bars_range(load_resolved(spark, files, symbol, tf, sources, start, end), start, end)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.bars import TIMEFRAMES
+from ..sources.bars import TIMEFRAMES, write_bars
 
 
 def bars_from_ticks(ticks: DataFrame, tf: str) -> DataFrame:
@@ -33,6 +33,11 @@ def ladder(bars: DataFrame, tfs: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [resample(bars, tf) for tf in tfs])
 
 
+def write_ladder(bars: DataFrame, tfs: list[str], path: str) -> None:
+    """The bars in every timeframe as files by tf, symbol and month; only the partitions of these bars are replaced."""
+    write_bars(ladder(bars, tfs), path)
+
+
 def detect_timeframe(bars: DataFrame) -> DataFrame:
     """symbol, tf: the timeframe nearest to the gap at index floor(0.1·n) of the sorted positive gaps; fewer than two rows give M1.
 

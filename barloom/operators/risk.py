@@ -194,7 +194,7 @@ def by_regime(trades: DataFrame, regimes: DataFrame) -> DataFrame:
     r = F.col("ret")
     g = x.groupBy("label").agg(F.count(F.lit(1)).alias("trades"), (F.avg(F.when(r > 0, 100.0).otherwise(0.0))).alias("win_rate"), (F.avg(r) * 100).alias("avg_return"), F.sum(F.greatest(r, F.lit(0.0))).alias("gain"), F.sum(F.greatest(-r, F.lit(0.0))).alias("pain"))
     factor = F.when(F.col("pain") > 0, F.col("gain") / F.nullif("pain", F.lit(0.0))).when(F.col("gain") > 0, F.lit(float("inf"))).otherwise(0.0)
-    return g.select("label", "trades", "win_rate", "avg_return", factor.alias("profit_factor"))
+    return g.select("label", "trades", "win_rate", "avg_return", factor.alias("profit_factor")).orderBy(F.desc("trades"), "label")
 
 
 def changes(labels: DataFrame) -> DataFrame:
@@ -203,16 +203,28 @@ def changes(labels: DataFrame) -> DataFrame:
     return labels.select("symbol", "tf", "t", before.alias("was"), "label").where("NOT (was <=> label)")
 
 
+def _resampled(returns: DataFrame, paths: int, seed: int) -> DataFrame:
+    """symbol, path, k, x: the log growth of each path up to its step k."""
+    sizes = returns.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    steps = returns.select("symbol", F.col("i").alias("k")).join(sizes, "symbol").select("symbol", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
+    picks = steps.select("symbol", "path", "k", F.pmod(F.xxhash64(F.lit(seed), "symbol", "path", "k"), F.col("n")).alias("i"))
+    w = Window.partitionBy("symbol", "path").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return picks.join(returns, ["symbol", "i"]).select("symbol", "path", "k", F.sum(F.log1p(F.greatest("ret", F.lit(-1 + 1e-12)))).over(w).alias("x"))
+
+
+def bootstrap_bands(returns: DataFrame, paths: int = 200, seed: int = 42, percents: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
+    """symbol, k and the percentiles over all paths of the growth up to each step, of the same paths as ``bootstrap``. A step's
+    values are counted before they meet; only the paths of one step do."""
+    grown = _resampled(returns, paths, seed).select("symbol", "k", F.exp("x").alias("growth"))
+    return grown.groupBy("symbol", "k").agg(*(F.percentile("growth", F.lit(q / 100)).alias(f"p{q}") for q in percents))
+
+
 def bootstrap(returns: DataFrame, paths: int = 200, seed: int = 42, ruin: float = 0.5) -> DataFrame:
     """Resamples each symbol's returns (symbol, i from 0, ret) with replacement into ``paths`` paths of as many steps.
 
     A step's pick is a hash of seed, symbol, path and step, so any executor can draw it again. Per symbol: percentiles of
     the final growth and the share of paths that ever fall to ``ruin`` of the start."""
-    sizes = returns.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    steps = returns.select("symbol", F.col("i").alias("k")).join(sizes, "symbol").select("symbol", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
-    picks = steps.select("symbol", "path", "k", F.pmod(F.xxhash64(F.lit(seed), "symbol", "path", "k"), F.col("n")).alias("i"))
-    w = Window.partitionBy("symbol", "path").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    grown = picks.join(returns, ["symbol", "i"]).select("symbol", "path", "k", F.sum(F.log1p(F.greatest("ret", F.lit(-1 + 1e-12)))).over(w).alias("x"))
+    grown = _resampled(returns, paths, seed)
     ends = grown.groupBy("symbol", "path").agg(F.exp(F.max_by("x", "k")).alias("final"), F.exp(F.min("x")).alias("lowest"))
     cuts = {f"p{q}": F.percentile("final", F.lit(q / 100)) for q in (5, 10, 25, 50, 75, 90, 95)}
     return ends.groupBy("symbol").agg(F.count(F.lit(1)).alias("paths"), *(v.alias(k) for k, v in cuts.items()), F.avg((F.col("lowest") <= ruin).cast("double")).alias("ruin"))

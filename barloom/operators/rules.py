@@ -629,11 +629,43 @@ def paired(bars: DataFrame, name: str) -> DataFrame:
     return trades_of(bars, signals(bars, name))
 
 
+def every_signal(bars: DataFrame, names: tuple[str, ...], rows: int | None = SPAN) -> DataFrame:
+    """symbol, tf, t, c, rule, direction of several rules' signals: rules that read only so many rows back fill one sheet in spans,
+    the others one over whole series, so bars are read, dealt and sorted as often for all of them as for one."""
+    near, whole, apart = [], [], []
+    for n in names:
+        if n in FOLDED or n in PREPARED:
+            apart.append(n)
+            continue
+        dry = Sheet(None)
+        RULES[n](dry)
+        (whole if dry.whole or n in LATCHED or not rows else near).append(n)
+    out = []
+    for some, span in ((near, rows), (whole, None)):
+        if some:
+            s = sheet_for(bars, lambda dry, some=some: [RULES[n](dry) for n in some], span)
+            marks = []
+            for n in some:
+                entry, leave = (s.put(F.coalesce(x, F.lit(False))) for x in RULES[n](s)[:2])
+                entry, leave = latched(s, entry, leave) if n in LATCHED else (entry, leave)
+                marks.append(F.when(entry | leave, F.struct(F.lit(n).alias("rule"), F.when(entry, "long").otherwise("exit").alias("direction"))))
+            found = F.explode(F.array_compact(F.array(*(s.put(m) for m in marks))))
+            out.append(s.kept().select("symbol", "tf", "t", "c", found.alias("x")).select("symbol", "tf", "t", "c", "x.*"))
+    closes = bars.select("symbol", "tf", "t", "c")
+    out += [closes.join(signals(bars, n, None).select("symbol", "tf", "t", "rule", "direction"), ["symbol", "tf", "t"]) for n in apart]
+    return reduce(DataFrame.unionByName, out)
+
+
 def leaderboard(bars: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Each rule on each series: signals, trades, wins and its compounded return in percent, best first."""
-    marks = reduce(DataFrame.unionByName, (signals(bars, n).select("rule", "symbol", "tf", "t", "direction") for n in names))
+    """Each rule on each series: signals, trades, wins and its compounded return in percent, best first.
+
+    Signals are made once and counted and paired in one window: a long while out enters, the next change leaves, else the last bar."""
     keys = ["rule", "symbol", "tf"]
-    seen = marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("signals"))
-    made = trades_of(bars, marks).groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("ret") > 0).alias("wins"), F.product(F.col("ret") + 1).alias("grown"))
-    out = seen.join(made, keys, "left").select(*keys, "signals", F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("wins", F.lit(0)).alias("wins"), ((F.coalesce("grown", F.lit(1.0)) - 1) * 100).alias("return_pct"))
-    return out.orderBy(F.desc("return_pct"), *keys)
+    x = every_signal(bars, names).withColumn("was", F.coalesce(F.lag("direction").over(Window.partitionBy(*keys).orderBy("t")), F.lit("exit")))
+    x = x.withColumn("next", F.expr("lead(if(direction <> was, c, null), 1) IGNORE NULLS OVER (PARTITION BY rule, symbol, tf ORDER BY t)"))
+    last = bars.groupBy("symbol", "tf").agg(F.max_by("c", "t").alias("last_c"))
+    entered = (F.col("direction") == "long") & (F.col("was") == "exit")
+    ret = F.when(entered, F.coalesce("next", "last_c") / F.col("c") - 1)
+    x = x.join(last, ["symbol", "tf"]).withColumn("ret", ret).groupBy(*keys)
+    out = x.agg(F.count(F.lit(1)).alias("signals"), F.count("ret").alias("trades"), F.count_if(F.col("ret") > 0).alias("wins"), F.product(F.col("ret") + 1).alias("grown"))
+    return out.select(*keys, "signals", "trades", "wins", ((F.coalesce("grown", F.lit(1.0)) - 1) * 100).alias("return_pct")).orderBy(F.desc("return_pct"), *keys)

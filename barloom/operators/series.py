@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sheet import numbered
 
 _BY_TIME = ("symbol", "t")
+#: Milliseconds of bars that one tile of a correlation matrix multiplies.
+TILE_MS = 7 * 86_400_000
+
+
+def checkpoint_dir(spark) -> str:
+    """The folder that driver and executors share, for checkpoints; a local run without one gets a temporary one, a cluster an error."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="barloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
 
 
 def _w(*keys: str, order: str = "t"):
@@ -20,14 +37,40 @@ def bar_returns(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "t", "c", (F.col("c") / F.lag("c").over(_w("symbol")) - 1).alias("ret"))
 
 
-def correlations(bars: DataFrame) -> DataFrame:
+def correlations(bars: DataFrame, width: int = 64) -> DataFrame:
     """Pearson correlation of closes of each two symbols at equal times; 1 on the diagonal, 0 without variance.
 
-    A time's closes meet as one small array per time, so nothing is joined with itself."""
-    at = bars.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("symbol", "c"))).alias("x"))
-    pairs = at.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q"))
-    out = pairs.groupBy(F.col("p.symbol").alias("a"), F.col("q.symbol").alias("b")).agg(F.corr("p.c", "q.c").alias("r"))
-    return out.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("r"))
+    Symbols are dealt into blocks of about ``width``; a tile of two blocks and one span of time is a product of two matrices, which
+    leaves five sums a pair. So a pair of symbols is one row a tile, not one a time, and a row of bars goes to as many tiles
+    as there are blocks."""
+    n = bars.agg(F.approx_count_distinct("symbol")).first()[0] or 0
+    blocks = max(1, -(-n // width))
+    # Sums of squares cancel: closes count from their symbol's first one.
+    base = bars.groupBy("symbol").agg(F.min_by("c", "t").alias("base"))
+    rows = bars.where("c IS NOT NULL").join(base, "symbol").select("symbol", "t", (F.col("c") - F.col("base")).alias("c"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("x"), F.floor(F.col("t") / TILE_MS).alias("span"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    tiled = rows.withColumn("y", each).select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "span", (F.col("x") <= F.col("y")).alias("low"), (F.col("x") >= F.col("y")).alias("high"), "symbol", "t", "c")
+    kept = "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
+    sums = tiled.groupBy("p", "q", "span").applyInPandas(_tile_sums, kept).groupBy("a", "b").agg(*(F.sum(x).alias(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab")))
+    va, vb = (F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / F.col("n") for x in "ab")
+    r = F.when((va <= 0) | (vb <= 0), 0.0).otherwise((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va * vb))
+    one = sums.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))).alias("r"))
+    return one.unionByName(one.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+
+
+def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    wide = pdf.pivot_table(index="t", columns="symbol", values="c", aggfunc="first", sort=True)
+    names, x = wide.columns.to_numpy(), wide.to_numpy(np.float64)
+    seen, x = ~np.isnan(x), np.nan_to_num(x)
+    side = pdf.groupby("symbol")[["low", "high"]].first().loc[names]
+    i, j = np.flatnonzero(side["low"].to_numpy()), np.flatnonzero(side["high"].to_numpy())
+    a, b, sa, sb = x[:, i], x[:, j], seen[:, i].astype(float), seen[:, j].astype(float)
+    parts = {"n": sa.T @ sb, "sa": a.T @ sb, "sb": sa.T @ b, "saa": (a * a).T @ sb, "sbb": sa.T @ (b * b), "sab": a.T @ b}
+    u, v = np.meshgrid(names[i], names[j], indexing="ij")
+    # In a tile of one block with itself every pair is met twice.
+    own = bool((side["low"] & side["high"]).all())
+    take = (parts["n"] > 0) & ((u <= v) if own else True)
+    return pd.DataFrame({"a": u[take], "b": v[take], **{k: m[take] for k, m in parts.items()}})
 
 
 def rolling_sharpe(bars: DataFrame, n: int = 30, annual: float = 8766.0) -> DataFrame:
@@ -146,9 +189,7 @@ def lineage(strategies: DataFrame) -> DataFrame:
     A round joins each open row with its ancestor's row and so doubles how far it looks back: log2 of the longest chain
     rounds. Rows that have met their root leave the rounds. A version that no root reaches (its ancestor is missing or in
     a ring) gives no row; ids are distinct."""
-    sc = strategies.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # unset in local runs only
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+    checkpoint_dir(strategies.sparkSession)
     rows = strategies.where("id IS NOT NULL").select("id", F.coalesce("previous_id", "id").alias("root"), F.when(F.col("previous_id").isNull(), 0).otherwise(1).alias("depth"), F.col("previous_id").isNull().alias("done"))
     rows = rows.checkpoint()
     n = rows.count()

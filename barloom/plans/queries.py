@@ -11,6 +11,7 @@ from ..functions import calls
 from ..functions.sheet import Sheet
 from ..operators import book, charts, custom, frames, indicators, journals, patterns, resample, risk, rules, series, trades
 from ..sources import bars as source
+from . import portfolio_queries
 from .indicator_sql import crossing_sets_sql, indicator_sql, rule_sql, two_frame_sql, walk_rule_sql
 from .report_sql import report_sql
 
@@ -593,3 +594,5 @@ SELECT symbol, tf, t, 'jump' AS detector, round(least(1, move), 6)::DOUBLE AS co
 SELECT symbol, tf, t, round(m, 6) AS trend, CASE WHEN c > m THEN 'up' WHEN c <= m THEN 'down' END AS trend_is, round(dev, 6) AS volatility, CASE WHEN dev > 30 THEN 'wide' WHEN dev <= 30 THEN 'narrow' END AS volatility_is FROM m""",
     "indicators_by_config": f"WITH {_bars_sql()} SELECT symbol, tf, t, round({_full('avg(c)', 20)}, 6) AS fast_value, round({_full('avg(c)', 50)}, 6) AS slow_value FROM bars",
 }
+QUERIES |= portfolio_queries.queries(bars, rounded)
+ORACLE_SQL |= portfolio_queries.oracle_sql(_bars_sql, _TRADES.replace("SELECT l_suppkey", "SELECT l_quantity AS qty, l_quantity * p_retailprice * 0.1 AS planned_risk, l_suppkey", 1))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.series import checkpoint_dir
 from ..sources.bars import TIMEFRAMES
 
 _BAR = ["t", "o", "h", "l", "c", "v"]
@@ -77,10 +78,16 @@ def last_bars(bars: DataFrame, capacity: int) -> DataFrame:
     return online(bars, capacity, window, "closes array<double>")
 
 
+def closed_only(updates: DataFrame) -> DataFrame:
+    """Updates (…, closed) of bars that are final; what is forming goes."""
+    return updates.where(F.coalesce(F.col("closed"), F.lit(False))).drop("closed")
+
+
 def after_history(live: DataFrame, history: DataFrame) -> DataFrame:
     """Live bars above the last t that the history holds of their series: what follows the history without a gap or a repeat.
-    Series without history pass whole."""
-    ends = history.groupBy("symbol", "tf").agg(F.max("t").alias("__end"))
+    Series without history pass whole. The ends are worked out once and stored, not in every batch."""
+    checkpoint_dir(history.sparkSession)
+    ends = history.groupBy("symbol", "tf").agg(F.max("t").alias("__end")).checkpoint()
     return live.join(ends, ["symbol", "tf"], "left").where("__end IS NULL OR t > __end").select(*live.columns)
 
 

@@ -65,6 +65,18 @@ def test_forming_candles_and_delivery(spark, bars, tmp_path):
     assert {r["ms"] for r in late.collect()} == {250}
 
 
+def test_routes_closed_bars_and_updates_on_a_stream(spark, bars, tmp_path):
+    watchers = spark.createDataFrame([("x", "a", "H1"), ("y", "a", "H1"), ("z", "b", "H4")], "rule string, symbol string, tf string")
+    updates = bars.where("t < 20 * 3600000").withColumn("closed", F.expr("if(t % 7200000 = 0, true, if(t % 10800000 = 0, null, false))")).orderBy("t")
+    got = streamed(spark, updates, tmp_path / "in", lambda s: live.routed(live.closed_only(s), watchers), "routes")
+    assert {(r["rule"], r["t"]) for r in got.collect()} == {(k, t * H) for k in "xy" for t in range(0, 20, 2)} and "closed" not in got.columns
+    some = bars.where("symbol = 'a' AND t < 20 * 3600000").orderBy("t")
+    seen = streamed(spark, some, tmp_path / "in2", lambda s: live.forming_candles(s, "H1", "H4", "30 days"), "grown", "update", 5).collect()
+    last = {t: max((r for r in seen if r["t"] == t), key=lambda r: r["fill"]) for t in {r["t"] for r in seen}}
+    want = {r["t"]: (r["o"], r["h"], r["l"], r["c"]) for r in resample.resample(some, "H4").collect()}
+    assert {t: (r["o"], r["h"], r["l"], r["c"]) for t, r in last.items()} == want and all(r["fill"] == 1.0 for r in last.values())
+
+
 def _cross(s, fast=20, slow=50):
     a, b = s.smooth((s.c, 2 / (fast + 1), fast), (s.c, 2 / (slow + 1), slow))
     return rules.crossed_up(s, a, b), rules.crossed_down(s, a, b)
