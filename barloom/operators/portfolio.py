@@ -52,14 +52,15 @@ def open_exposure(trades: DataFrame, keys: list[str], order: list[str], span: in
 
     A sweep over entries and exits: running sums within spans of time, and one row a span with the sum of those before."""
     value = F.col("qty").cast("double") * F.col("entry_price")
-    both = F.array(F.struct(F.col("entry_at").alias("at"), F.lit(0).alias("side"), value.alias("d"), F.lit(1).alias("k")), F.struct(F.col("exit_at").alias("at"), F.lit(1).alias("side"), (-value).alias("d"), F.lit(-1).alias("k")))
-    x = trades.withColumn("__x", F.explode(both)).select(*trades.columns, "__x.*").withColumn("__span", F.floor(F.col("at") / span))
-    sums = x.groupBy(*keys, "__span").agg(F.sum("d").alias("d"), F.sum("k").alias("k"))
+    point = lambda at, side, d, k: F.struct(F.col(at).alias("__at"), F.lit(side).alias("__side"), d.alias("__d"), F.lit(k).alias("__k"))
+    both = F.explode(F.array(point("entry_at", 0, value, 1), point("exit_at", 1, -value, -1)))
+    x = trades.withColumn("__x", both).select(*trades.columns, "__x.*").withColumn("__span", F.floor(F.col("__at") / span))
+    sums = x.groupBy(*keys, "__span").agg(F.sum("__d").alias("d"), F.sum("__k").alias("k"))
     earlier = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select(*keys, "__span", F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("__d"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("__k"))
-    inside = Window.partitionBy(*keys, "__span").orderBy("at", "side", *order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({"__gross": F.sum("d").over(inside), "__open": F.sum("k").over(inside)}).where("side = 0").join(past, [*keys, "__span"])
-    return x.select(*trades.columns, (F.col("__gross") + F.col("__d")).alias("gross"), (F.col("__open") + F.col("__k")).alias("open"))
+    past = sums.select(*keys, "__span", F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("__value"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("__count"))
+    inside = Window.partitionBy(*keys, "__span").orderBy("__at", "__side", *order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"__gross": F.sum("__d").over(inside), "__open": F.sum("__k").over(inside)}).where("__side = 0").join(past, [*keys, "__span"])
+    return x.select(*trades.columns, (F.col("__gross") + F.col("__value")).alias("gross"), (F.col("__open") + F.col("__count")).alias("open"))
 
 
 def exposure_guard(trades: DataFrame, keys: list[str], order: list[str], most: float = 2.0, initial: float = 100_000.0, span: int = 30 * DAY) -> DataFrame:

@@ -37,7 +37,7 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trades as events of closed positions, some payloads cut, missing or without a quantity; each event but those comes
     twice, the later one with its reason."""
     x = priced(spark, sf_dir).withColumn("trade_id", F.concat_ws("-", "trade", "line", "part", "hand"))
-    fields = [F.col("symbol"), F.col("side"), F.col("qty").cast("double"), F.col("entry_price").alias("entryPrice"), F.col("entry_price").alias("exitPrice"), F.col("entry_at").alias("entryTime"), F.col("exit_at").alias("exitTime")]
+    fields = [F.col("symbol"), F.col("side"), F.col("qty").cast("double").alias("qty"), F.col("entry_price").alias("entryPrice"), F.col("entry_price").alias("exitPrice"), F.col("entry_at").alias("entryTime"), F.col("exit_at").alias("exitTime")]
     whole = F.struct(*fields, F.col("pnl").cast("double").alias("pnl"), F.col("commission").cast("double").alias("commission"))
     text = F.to_json(whole)
     bad = F.when(F.col("trade") % 7 == 0, F.substring(text, 1, 40)).when(F.col("line") == 5, F.to_json(F.struct(*fields[:2], *fields[3:]))).when(F.col("line") == 6, F.lit(None).cast("string"))
