@@ -20,6 +20,8 @@ from .common import sized, stored, table, text_hash
 BLOCK, SHARE, MOST_REPEATS, WEIGHTS = 32, 1.5, 2, (3, 1, 2)
 #: Rows of a shard, about; a source has as many shards as that needs. Rows of a part of a shard, about: a task sorts one part.
 ROWS_PER_SHARD, ROWS_PER_PART = 20_000, 2_000
+#: Rows that repeat an id and a text are counted; so many of them stand together, more are drawn apart.
+COPIES = 500
 
 
 def sainte_lague(claims: np.ndarray, seats: int) -> np.ndarray:
@@ -95,17 +97,21 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_REPEATS, block:
     """doc_id, th, source, size, source_size, target, taken for each row of ``docs``.
 
     Null texts have size 0 and take 0; null sources form one source, last in order. Repeated rows and null ids
-    take part as rows of their own. If all sizes are 0, all targets are 0. An empty table gives an empty
+    take part as rows of their own; until the end, equal rows are one row with their number, so they don't fill a shard, a
+    part or a task. If all sizes are 0, all targets are 0. An empty table gives an empty
     table. Other columns aren't read. The plan is made of one row per source, the quotas of one row per shard.
     """
-    words = stored(word_counts(docs), "words")
-    sources = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    words = word_counts(docs).groupBy("doc_id", "source", "th", "size").agg(F.count(F.lit(1)).alias("n"))
+    words = words.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    words = stored(words.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("k") * COPIES)), "words")
+    all_words = F.col("size") * F.col("n")
+    sources = words.groupBy("source").agg(F.sum(all_words).alias("source_size"), F.sum("n").alias("rows"))
     plan = sources.withColumn("mix", F.lit(0)).groupBy("mix").applyInPandas(_plan(share, most, block), "source string, source_size long, rows long, target double, blocks long")
     plan = stored(plan, "plan").withColumnRenamed("source", "__source")
     dealt = words.join(sized(plan), words["source"].eqNullSafe(plan["__source"])).drop("__source")
-    draw = F.xxhash64(F.lit(seed), "doc_id", "th")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "th", "k")
     dealt = dealt.withColumn("draw", draw).withColumn("shard", F.pmod("draw", F.ceil(F.col("rows") / ROWS_PER_SHARD)))
-    shards = dealt.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
+    shards = dealt.groupBy("source", "shard", "blocks").agg(F.sum(all_words).alias("shard_size"))
     quotas = shards.groupBy("source").applyInPandas(_quotas(most, block), "source string, shard long, shard_size long, quota long")
     quotas = stored(quotas, "quotas").withColumnsRenamed({"source": "__source", "shard": "__shard"})
     met = dealt.join(sized(quotas), dealt["source"].eqNullSafe(quotas["__source"]) & (dealt["shard"] == quotas["__shard"]))
@@ -113,11 +119,12 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_REPEATS, block:
     parts = -(-ROWS_PER_SHARD // ROWS_PER_PART)
     met = met.withColumn("part", F.shiftright((F.shiftrightunsigned("draw", 44) * F.lit(parts)).cast("long"), 20))
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    spans = met.groupBy("source", "shard", "part").agg(F.sum("size").alias("s"))
+    spans = met.groupBy("source", "shard", "part").agg(F.sum(all_words).alias("s"))
     spans = stored(spans.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.col("part").alias("__part"), F.coalesce(F.sum("s").over(up_to(Window.partitionBy("source", "shard").orderBy("part"))), F.lit(0)).alias("first")), "spans")
-    inside = up_to(Window.partitionBy("source", "shard", "part").orderBy(F.shiftrightunsigned("draw", 1), "doc_id", "size"))
-    met = met.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = up_to(Window.partitionBy("source", "shard", "part").orderBy(F.shiftrightunsigned("draw", 1), "doc_id", "size", "k"))
+    met = met.withColumn("inside", F.coalesce(F.sum(all_words).over(inside), F.lit(0)))
     met = met.join(sized(spans), met["source"].eqNullSafe(spans["__source"]) & (met["shard"] == spans["__shard"]) & (met["part"] == spans["__part"])).withColumn("before", F.col("first") + F.col("inside"))
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
     rounds = F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - rounds * F.col("shard_size") - F.col("before")))
     return met.select("doc_id", "th", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))

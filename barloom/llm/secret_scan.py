@@ -29,7 +29,7 @@ PREFIX = rf"(?i:{_NAMES}[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"'`]?)"
 CANDIDATE = rf"{PREFIX}[^\s\"'`]{{4,}}|[A-Za-z0-9+/_\-.@]{{16,}}={{0,2}}"
 #: Made labels of each kind; words of the dictionary, at most; characters of context.
 SAMPLES_PER_KIND, DICTIONARY_WORDS, CONTEXT = 400, 300, 48
-_LEAST = 4
+_LEAST, _BLOCK = 4, 64
 FEATURES = (
     "length", "digits", "uppers", "transitions", "kinds", "vowel_runs", "hex", "dictionary", "slashes", "extension", "at_sign",
     "credential_word", "lookalike_word", "assigned", "quoted", "repeats", "ascending", "padded",
@@ -48,27 +48,29 @@ def _joined(first: Column, second: Column) -> Column:
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, start (code points from 0), candidate, before, after: one row per occurrence in whole texts.
 
-    A text is cut at its candidates once, so its cost grows with its length whatever it holds; a candidate's context is
-    put together from the cuts beside it and may hold other candidates. Null and empty texts have none. Repeated
+    A text is cut at its candidates once, and a candidate's place is summed up by blocks, so the cost grows with the text's length
+    (and the square of its candidates over 64, in copied numbers). A candidate's context is put together from the cuts beside
+    it and may hold other candidates. No more than four blanks stand on either side of what assigns a value. Null and empty texts have none. Repeated
     rows repeat their findings. Other columns aren't read.
     """
     text = F.col("text")
     cuts = docs.where(text.rlike(CANDIDATE)).select(
         "doc_id", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("parts")
     )
-    ends = F.aggregate(
-        F.zip_with("parts", "found", lambda p, c: F.struct(p.alias("p"), c.alias("c"))),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["end"] + F.char_length(x["p"]) + F.coalesce(F.char_length(x["c"]), F.lit(0))).alias("end"),
-            F.concat(acc["starts"], F.array(acc["end"] + F.char_length(x["p"]))).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    lengths = F.zip_with("parts", "found", lambda p, c: (F.char_length(p) + F.coalesce(F.char_length(c), F.lit(0))).cast("long"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+
+    def before_blocks(lengths: Column) -> Column:
+        """Where each block of _BLOCK candidates begins: sums over blocks, then over those."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("found") - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
+        return F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
     # A candidate has at least _LEAST characters: so many of them and the cuts between fill any context.
     reach = -(-CONTEXT // _LEAST)
 
-    def context(i: Column) -> Column:
+    def context(i: Column, lengths: Column, blocks: Column) -> Column:
+        block, inside = F.floor((i - 1) / _BLOCK).cast("int"), (i - 1) % _BLOCK
+        start = F.element_at(blocks, block + 1) + total(F.slice(lengths, block * _BLOCK + 1, inside)) + F.char_length(F.element_at("parts", i))
         k = F.least(F.lit(reach), i - 1)
         match = F.element_at("found", i)
         name = F.regexp_extract(match, f"^{PREFIX}(?=[^\\s\"'`]{{4}})", 0)
@@ -76,11 +78,14 @@ def findings(docs: DataFrame) -> DataFrame:
         after = F.concat(F.element_at("parts", i + 1), _joined(F.slice("found", i + 1, F.lit(reach)), F.slice("parts", i + 2, F.lit(reach))))
         size = F.char_length(name)
         return F.struct(
-            (F.element_at("starts", i) + size).cast("long").alias("start"), F.substring(match, size + 1, F.char_length(match)).alias("candidate"),
+            (start + size).cast("long").alias("start"), F.substring(match, size + 1, F.char_length(match)).alias("candidate"),
             F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
         )
 
-    rows = cuts.withColumn("starts", ends).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("found")), context)).alias("f"))
+    # An array of one binds a value to a name, so that it is made once a text and not once a candidate.
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    every = bound(lengths, lambda n: bound(before_blocks(n), lambda b: F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: context(i, n, b))))
+    rows = cuts.select("doc_id", F.explode(every).alias("f"))
     return rows.select("doc_id", "f.start", "f.candidate", "f.before", "f.after")
 
 

@@ -17,6 +17,8 @@ from .common import stored, table
 
 #: Rows of a slot bucket: slots are numbered within buckets of about this size, never in a whole shard.
 ROWS_PER_BUCKET = 50_000
+#: Shards of the first tree with racks. Copies of a row that one row stands for when slots are made.
+FIRST, COPIES = 16, 10_000
 
 
 @dataclass(frozen=True)
@@ -29,21 +31,20 @@ class Node:
     children: tuple[Node, ...] = field(default=())
 
 
-def uniform_tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
-    """A first tree for ``shards`` shards: regions of ``racks`` racks of ``per_rack`` shards as far as whole regions go, each
-    shard left over as a region of its own. A tree in use grows by ``extended``, never by a new first tree."""
-    whole = shards // (racks * per_rack)
+def uniform_tree(shards: int) -> Node:
+    """A tree for ``shards`` shards: from 16 on, two regions of two racks of four shards, and each further shard in a region of its
+    own; below, every shard is a region. So the tree for one more shard is the ``extended`` one, but for the step from 15 to 16."""
+    if shards < FIRST:
+        regions = [Node(f"x{s}", 1.0, None, (Node(f"x{s}/k0", 1.0, None, (Node(f"x{s}/k0/s0", 1.0, s),)),)) for s in range(shards)]
+        return Node("", float(shards), None, tuple(regions))
     regions = []
-    for r in range(whole):
-        inner = tuple(
-            Node(f"g{r}/k{k}", per_rack, None, tuple(Node(f"g{r}/k{k}/s{s}", 1.0, (r * racks + k) * per_rack + s) for s in range(per_rack)))
-            for k in range(racks)
-        )
-        regions.append(Node(f"g{r}", racks * per_rack, None, inner))
-    for s in range(whole * racks * per_rack, shards):
-        leaf = Node(f"x{s}/k0/s0", 1.0, s)
-        regions.append(Node(f"x{s}", 1.0, None, (Node(f"x{s}/k0", 1.0, None, (leaf,)),)))
-    return Node("", float(shards), None, tuple(regions))
+    for r in range(2):
+        inner = tuple(Node(f"g{r}/k{k}", 4.0, None, tuple(Node(f"g{r}/k{k}/s{s}", 1.0, (r * 2 + k) * 4 + s) for s in range(4))) for k in range(2))
+        regions.append(Node(f"g{r}", 8.0, None, inner))
+    tree = Node("", float(FIRST), None, tuple(regions))
+    for _ in range(shards - FIRST):
+        tree = extended(tree)
+    return tree
 
 
 def _shards(node: Node) -> int:
@@ -96,13 +97,18 @@ def shard(docs: DataFrame, shards: int = 16, tree: Node | None = None, grown: No
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), F.shiftrightunsigned(F.xxhash64(F.lit("slot"), key, "size", "text_crc32"), 1).alias("spread"))
     rows = stored(rows, "shards")
-    parts = max(1, -(-rows.count() // (shards * ROWS_PER_BUCKET)))
+    n_rows, most = rows.agg(F.count(F.lit(1)), F.max("n")).first()
+    parts = max(1, -(-n_rows // (shards * ROWS_PER_BUCKET)))
     rows = rows.withColumn("part", F.col("spread") % parts)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "part").agg(F.sum("n").alias("n"))
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "part"]).withColumn("first", F.col("first") + F.col("at"))
+    # Slots of many copies are made a bounded number at a time, and by all tasks.
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}")))
+    out = out.withColumn("chunk", each).withColumn("first", F.col("first") + F.col("chunk") * COPIES).withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("chunk") * COPIES))
+    out = out.repartition("shard", "first") if (most or 0) > COPIES else out
     out = out.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
