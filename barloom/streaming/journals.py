@@ -109,7 +109,9 @@ def orders_as_they_stand(events: DataFrame, keep_ms: int = 7 * DAY) -> DataFrame
     placement, in whatever order they arrive; for the update output mode. Orders not placed yet stay silent.
 
     ``version`` grows with each change, so a consumer keeps the row of the highest one (``latest_orders``). State: four numbers an
-    order, dropped when nothing came for ``keep_ms`` of processing time. Needs the RocksDB state store."""
+    order, dropped when nothing came for ``keep_ms`` of processing time. Needs the RocksDB state store. A time to live makes Spark run
+    batches without data for ever: a query that should end when its source does needs
+    spark.sql.streaming.noDataMicroBatches.enabled set to false."""
     rows = events.select(F.col("order_id").cast("long"), "kind", F.col("at").cast("long"))
     return rows.groupBy("order_id").transformWithStateInPandas(_Orders(keep_ms), _ORDER, "Update", "ProcessingTime")
 

@@ -61,6 +61,7 @@ def test_journal_as_a_stream_across_restarts(spark, tmp_path):
 
 def test_orders_in_any_order_of_arrival(spark, tmp_path):
     use_rocksdb(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a time to live asks for one more batch without end
     rng = random.Random(1)
     events = [(i, rng.randrange(40), rng.choice(("order_placed", "order_placed", "order_filled", "order_cancelled")), 1000 + i) for i in range(150)]
     schema = "seq long, order_id long, kind string, at long"
@@ -71,10 +72,10 @@ def test_orders_in_any_order_of_arrival(spark, tmp_path):
         for part in (events[:60], events[60:90], events[90:]):
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        q = j.orders_as_they_stand(read).writeStream.format("memory").queryName(name).outputMode("update").start()
-        q.processAllAvailable()
-        q.stop()
+        q = j.orders_as_they_stand(read).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
+        assert q.awaitTermination(150)
         assert sorted(tuple(r) for r in j.latest_orders(spark.table(name)).collect()) == want
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_sessions(spark, tmp_path):
