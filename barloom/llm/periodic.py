@@ -150,8 +150,8 @@ def runs_of(docs: list[np.ndarray]) -> list[np.ndarray]:
             # What lies inside the run that was found would find it again.
             last = np.repeat((i + q + forward - 1) // q - 1, np.diff(np.append(first, len(k))))
             k = k[k > last]
-    if found:
-        every = np.concatenate(found)
+    every = np.concatenate(found) if found else none
+    if len(every):  # three equal steps need not lie in a run that is long enough
         every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
         # A stretch that is found for several periods is a run of the smallest.
         every = every[np.concatenate(([True], (np.diff(every[:, 0]) != 0) | (np.diff(every[:, 1]) != 0)))]

@@ -100,3 +100,10 @@ def test_odd_rows(odd, none):
     for r in odd.collect():
         if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10:
             assert rows[r["doc_id"]] == r["text"]
+
+
+def test_equal_steps_without_a_run():
+    a = [*range(8), 0, *range(10, 17), 0, *range(20, 27), 0, *range(30, 37)]  # word 0 at 0, 8, 16 and 24, no run
+    b = [*range(40, 52)]
+    assert plain_runs(a) == plain_runs(b) == []
+    assert [r.tolist() for r in periodic.runs_of([np.array(a), np.array(b)])] == [[], []]
