@@ -116,29 +116,39 @@ def kpi_slices(trades: DataFrame, slices: list[str], most: int = 50) -> DataFram
 CLOSED = "symbol string, side string, qty double, entryPrice double, exitPrice double, entryTime long, exitTime long, pnl double, commission double, reason string"
 
 
+def _once(x: Column) -> Column:
+    """A value that filters above it don't work out again: they stay above the rows that it makes."""
+    return F.explode(F.array(x))
+
+
+def _read(events: DataFrame, schema: str, kind: str | None) -> DataFrame:
+    """Events of the kind with __p, their payload, and ``why`` it isn't an object of that schema. Each payload is read once."""
+    rows = events.where(F.col("kind") == kind) if kind else events
+    read = rows.withColumn("__p", _once(F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})))
+    return read.withColumn("why", F.when(F.col("payload").isNull(), "missing").when(F.col("__p").isNull() | F.col("__p.__bad").isNotNull(), "malformed"))
+
+
 def decoded(events: DataFrame, schema: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Events (kind, payload, …) with the fields of their JSON payload, and the rejects: those of the kind whose payload isn't an
     object of that schema, with why."""
-    rows = events.where(F.col("kind") == kind) if kind else events
-    read = rows.withColumn("__p", F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}))
-    why = F.when(F.col("payload").isNull(), "missing").when(F.col("__p").isNull() | F.col("__p.__bad").isNotNull(), "malformed")
-    read = read.withColumn("why", why)
+    read = _read(events, schema, kind)
     good = read.where("why IS NULL").select(*events.columns, "__p.*").drop("__bad")
     return good, read.where("why IS NOT NULL").select(*events.columns, "why")
 
 
 def closed_trades(events: DataFrame, kind: str = "position_closed") -> tuple[DataFrame, DataFrame]:
     """Trades out of the payloads of closed positions, one a trade_id (the last by time), and the rejects: payloads that aren't
-    such an object, or lack a quantity, a price or a time, or end before they begin."""
-    good, bad = decoded(events, CLOSED, kind)
+    such an object, or lack a quantity, a price or a time, or end before they begin. Either reads the events once."""
     needed = ["symbol", "qty", "entryPrice", "exitPrice", "entryTime", "exitTime"]
-    why = F.when(F.concat(*(F.col(c).cast("string") for c in needed)).isNull(), "incomplete").when((F.col("qty") <= 0) | (F.col("exitTime") < F.col("entryTime")), "impossible")
-    good = good.withColumn("why", why)
-    bad = bad.unionByName(good.where("why IS NOT NULL").select(*events.columns, "why"))
+    p = lambda c: F.col(f"__p.{c}")
+    lacking = F.when(F.concat(*(p(c).cast("string") for c in needed)).isNull(), "incomplete").when((p("qty") <= 0) | (p("exitTime") < p("entryTime")), "impossible")
+    read = _read(events, CLOSED, kind).withColumn("why", F.coalesce("why", lacking))
+    bad = read.where("why IS NOT NULL").select(*events.columns, "why")
+    good = read.where("why IS NULL").select(*events.columns, "__p.*").drop("__bad")
     sign = F.when(F.lower("side").isin("short", "sell"), -1.0).otherwise(1.0)
     fee = F.coalesce("commission", F.lit(0.0))
     pnl = F.coalesce("pnl", sign * F.col("qty") * (F.col("exitPrice") - F.col("entryPrice")))
-    rows = good.where("why IS NULL").select(
+    rows = good.select(
         "trade_id", "at", "symbol", F.when(sign > 0, "long").otherwise("short").alias("side"), "qty", F.col("entryPrice").alias("entry_price"), F.col("exitPrice").alias("exit_price"),
         F.col("entryTime").alias("entry_at"), F.col("exitTime").alias("exit_at"), pnl.alias("pnl"), fee.alias("commission"), (pnl - fee).alias("net_pnl"), F.coalesce("reason", F.lit("unknown")).alias("reason"),
     )

@@ -165,3 +165,12 @@ def test_correlations_by_tiles(bars, width):
         cov = sum((p - mx) * (q - my) for p, q in zip(x, y, strict=True))
         want = 1.0 if a == b else cov / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
         assert r == pytest.approx(want, abs=1e-9)
+
+
+def test_payloads_are_made_and_read_once(spark):
+    from barloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("closed_trades", "closed_trade_rejects"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and scans(queries.QUERIES[name](spark, sf)) == 3, name  # lineitem, orders and part
