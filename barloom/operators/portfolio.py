@@ -46,35 +46,45 @@ def basket_signals(bars: DataFrame, name: str, symbols: list[str], rule: Callabl
     return emitted(s, name, *rule(s, {x: F.col(x) for x in symbols}))
 
 
+def _swept(trades: DataFrame, keys: list[str], order: list[str], span: int, held: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Entries of ``trades`` with ``held`` columns, entry_at, gross and open (see ``open_exposure``), and for each of ``totals`` its sum over the trades
+    that ended by the time of the entry.
+
+    One sweep: both points of a trade are dealt once by keys and span of time. What comes before a span is the last running sum of each
+    earlier span, out of the same dealt rows."""
+    value = F.col("qty").cast("double") * F.col("entry_price")
+    point = lambda at, side, sign: F.struct(
+        F.col(at).alias("__at"), F.lit(side).alias("__side"), (sign * value).alias("__d"), F.lit(sign).alias("__k"), *((v if side else F.lit(0.0)).alias(f"__{k}") for k, v in totals.items())
+    )
+    # Both readings of the dealt rows ask for the same rows and columns, so they are shuffled once: an entry's time is __at, and a
+    # trade without an end (no span) is never given back.
+    columns = [c for c in dict.fromkeys([*keys, *order, *held]) if c != "entry_at"]
+    x = trades.withColumn("__x", F.explode(F.array(point("entry_at", 0, 1), point("exit_at", 1, -1)))).select(*columns, "__x.*").withColumn("__span", F.floor(F.col("__at") / span)).where("__span IS NOT NULL")
+    inside = Window.partitionBy(*keys, "__span").orderBy("__at", "__side", *order).rowsBetween(Window.unboundedPreceding, 0)
+    # Peers by time alone are a coarser order of the same sort: what ends at the time of an entry has ended.
+    peers = Window.partitionBy(*keys, "__span").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.repartition(*keys, "__span").withColumns({"__gross": F.sum("__d").over(inside), "__open": F.sum("__k").over(inside), "__row": F.row_number().over(inside)})
+    x = x.withColumns({f"__{k}": F.sum(f"__{k}").over(peers) for k in totals})
+    sums = ["__gross", "__open", *(f"__{k}" for k in totals)]
+    ends = x.groupBy(*keys, "__span").agg(*(F.max_by(c, "__row").alias(c) for c in sums))
+    earlier = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    past = ends.select(*keys, "__span", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_past") for c in sums))
+    out = x.where("__side = 0").join(past, [*keys, "__span"])
+    return out.select(*columns, F.col("__at").alias("entry_at"), *((F.col(c) + F.col(f"{c}_past")).alias(c[2:]) for c in sums))
+
+
 def open_exposure(trades: DataFrame, keys: list[str], order: list[str], span: int = 30 * DAY) -> DataFrame:
     """Each trade (entry_at, exit_at, qty, entry_price) with ``gross``, the value at entry prices of what its ``keys`` hold right after
     its entry, itself included, and ``open``, how many trades that is. A trade that ends at another's entry time is still held.
 
     A sweep over entries and exits: running sums within spans of time, and one row a span with the sum of those before."""
-    value = F.col("qty").cast("double") * F.col("entry_price")
-    point = lambda at, side, d, k: F.struct(F.col(at).alias("__at"), F.lit(side).alias("__side"), d.alias("__d"), F.lit(k).alias("__k"))
-    both = F.explode(F.array(point("entry_at", 0, value, 1), point("exit_at", 1, -value, -1)))
-    x = trades.withColumn("__x", both).select(*trades.columns, "__x.*").withColumn("__span", F.floor(F.col("__at") / span))
-    sums = x.groupBy(*keys, "__span").agg(F.sum("__d").alias("d"), F.sum("__k").alias("k"))
-    earlier = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select(*keys, "__span", F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("__value"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("__count"))
-    inside = Window.partitionBy(*keys, "__span").orderBy("__at", "__side", *order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({"__gross": F.sum("__d").over(inside), "__open": F.sum("__k").over(inside)}).where("__side = 0").join(past, [*keys, "__span"])
-    return x.select(*trades.columns, (F.col("__gross") + F.col("__value")).alias("gross"), (F.col("__open") + F.col("__count")).alias("open"))
+    return _swept(trades, keys, order, span, trades.columns, {}).select(*trades.columns, "gross", "open")
 
 
 def exposure_guard(trades: DataFrame, keys: list[str], order: list[str], most: float = 2.0, initial: float = 100_000.0, span: int = 30 * DAY) -> DataFrame:
     """``open_exposure`` with ``limit``, ``most`` times the equity realised before the entry, and whether the trade would break it."""
-    x = open_exposure(trades, keys, order, span)
-    ended = trades.select(*keys, F.col("exit_at").alias("at"), F.lit(0).alias("side"), F.col("net_pnl").cast("double").alias("d"))
-    asked = x.select(*keys, F.col("entry_at").alias("at"), F.lit(1).alias("side")).distinct().withColumn("d", F.lit(0.0))
-    both = ended.unionByName(asked).withColumn("__span", F.floor(F.col("at") / span))
-    sums = both.groupBy(*keys, "__span").agg(F.sum("d").alias("d"))
-    past = sums.select(*keys, "__span", F.coalesce(F.sum("d").over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__d"))
-    inside = Window.partitionBy(*keys, "__span").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    made = both.withColumn("s", F.sum("d").over(inside)).where("side = 1").join(past, [*keys, "__span"])
-    made = made.select(*keys, F.col("at").alias("entry_at"), (F.col("s") + F.col("__d") + initial).alias("equity"))
-    x = x.join(made, [*keys, "entry_at"]).withColumn("limit", F.greatest(F.col("equity"), F.lit(0.0)) * most)
+    x = _swept(trades, keys, order, span, trades.columns, {"equity": F.col("net_pnl").cast("double")})
+    x = x.select(*trades.columns, "gross", "open", (F.col("equity") + initial).alias("equity")).withColumn("limit", F.greatest(F.col("equity"), F.lit(0.0)) * most)
     return x.withColumn("blocked", F.col("gross") > F.col("limit"))
 
 

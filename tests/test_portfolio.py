@@ -174,3 +174,37 @@ def test_payloads_are_made_and_read_once(spark):
     for name in ("closed_trades", "closed_trade_rejects"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1 and scans(queries.QUERIES[name](spark, sf)) == 3, name  # lineitem, orders and part
+
+
+def exchanges(spark, df):
+    """Shuffles of a plan that joins by sorting, those that it reads again left out."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(set(re.findall(r"Exchange hashpartitioning.*plan_id=(\d+)", plan)))
+
+
+@pytest.fixture
+def plain_plans(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_exposure_is_dealt_once(spark, plain_plans):
+    from barloom.plans import queries
+
+    # lineitem, orders, their join, part, points by span; one row a span by hand and back
+    for name in ("open_exposure", "exposure_guard"):
+        assert exchanges(spark, queries.QUERIES[name](spark, "/root/testdata/sf0.001")) == 7, name
+
+
+def test_trades_without_an_end_are_held(spark):
+    rows = [("x", 1, 0, None, 2.0, 10.0, None), ("x", 2, 5 * H, 6 * H, 1.0, 5.0, 50.0), ("x", 3, 6 * H, 9 * H, 1.0, 7.0, 1.0)]
+    df = spark.createDataFrame(rows, "hand string, trade long, entry_at long, exit_at long, qty double, entry_price double, net_pnl double")
+    for span in (H, 100 * H):
+        got = [(r["gross"], r["open"], r["equity"]) for r in portfolio.exposure_guard(df, ["hand"], ["trade"], 1.0, 100.0, span).orderBy("trade").collect()]
+        assert got == [(20.0, 1, 100.0), (25.0, 2, 100.0), (32.0, 3, 150.0)]
