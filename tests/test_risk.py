@@ -221,3 +221,9 @@ def test_periods_and_catalog(spark, tmp_path):
     assert pick("H1", "okx", "nyse") == {("okx", "M1")} and pick("M5", "okx", "nyse") == {("okx", "M5")} and pick("H1", "nyse") == {("nyse", "H1")} and pick("M1", "nyse") == set()
     specs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "n int, rule string")
     assert specs.select(journals.spec_hash(F.struct("n", "rule")).alias("h")).distinct().count() == 2 and journals.bars_per_year("D1") == 365.25
+
+
+def test_guards_sort_once(spark):
+    schema = "hand long, exit_at long, entry_at long, trade long, line int, part long, net_pnl double"
+    plan = risk.account_guards(spark.createDataFrame([(1, 5, 1, 1, 1, 1, 2.0)], schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 1
