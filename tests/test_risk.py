@@ -227,3 +227,18 @@ def test_guards_sort_once(spark):
     schema = "hand long, exit_at long, entry_at long, trade long, line int, part long, net_pnl double"
     plan = risk.account_guards(spark.createDataFrame([(1, 5, 1, 1, 1, 1, 2.0)], schema))._jdf.queryExecution().executedPlan().toString()
     assert plan.count(" Sort [") == 1
+
+
+def test_fills_and_positions_sort_little(spark):
+    from barloom.plans import queries
+
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sorts = lambda name: queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count(" Sort [")
+    try:
+        assert sorts("fill_trades") == 3  # fills, parts by position, parts by block
+        assert sorts("position_replay") == sorts("holdings") == 2  # lines as they are numbered, orders
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
