@@ -15,8 +15,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +26,8 @@ from .common import stored, table
 WINDOW, END = 2048, 1
 #: Rests that one group packs; bounds a task, and costs at most the padding of a last window a group.
 RESTS_PER_GROUP = 5_000
+#: Documents whose pieces leave a task at once.
+DOCUMENTS = 250
 #: Fixed: the one token of the vocabulary that a text may spell out; it is one id wherever it stands.
 SPELLED_OUT = {"<|endoftext|>": 50256}
 _ENCODERS: dict[str, object] = {}
@@ -61,21 +63,22 @@ def pieces(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks)
         for b in batches:
-            row, start, length, crc, whole, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                got = ids_of(text.as_py() or "", coder)
-                for at in range(0, len(got), window):
-                    piece = got[at : at + window]
-                    row.append(i)
-                    start.append(at)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    whole.append(len(got))
-                    if with_ids:
-                        ids.append(piece.tobytes())
-            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole, row))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+            for low in range(0, b.num_rows, DOCUMENTS):
+                row, start, length, crc, whole, ids = [], [], [], [], [], []
+                for i, text in enumerate(b.column(1).slice(low, DOCUMENTS), low):
+                    got = ids_of(text.as_py() or "", coder)
+                    for at in range(0, len(got), window):
+                        piece = got[at : at + window]
+                        row.append(i)
+                        start.append(at)
+                        length.append(len(piece))
+                        crc.append(zlib.crc32(piece.tobytes()))
+                        whole.append(len(got))
+                        if with_ids:
+                            ids.append(piece.tobytes())
+                cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole, row))]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids
@@ -116,22 +119,23 @@ def fill(counts: dict[int, int], window: int = WINDOW) -> Iterator[tuple[dict[in
 def _pack(window: int, groups: int, with_ids: bool):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + ["sequence_id", "offset"]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        length = pdf["length"].to_numpy(np.int64)
-        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        rows = {w: list(np.flatnonzero(length == w)[::-1]) for w in np.unique(length).tolist()}
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("doc_id", "start", "ids_crc32")]))
+        length = rows.column("length").to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        at_length = {w: list(np.flatnonzero(length == w)[::-1]) for w in np.unique(length).tolist()}
         at = 0
-        for used, times in fill({w: len(r) for w, r in rows.items()}, window):
+        for used, times in fill({w: len(r) for w, r in at_length.items()}, window):
             for _ in range(times):
                 place = 0
                 for w, n in used.items():
                     for _ in range(n):
-                        i = rows[w].pop()
+                        i = at_length[w].pop()
                         sequence[i], offset[i] = at, place
                         place += w
                 at += 1
-        return pdf.assign(sequence_id=sequence * groups + int(pdf["group"].iloc[0]), offset=offset)[columns]
+        sequence = sequence * groups + rows.column("group")[0].as_py()
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).select(columns)
 
     return pack
 
@@ -146,7 +150,7 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, with_i
     groups = max(1, math.ceil(cut.count() / RESTS_PER_GROUP))
     placed = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
     fields = [f for f in cut.schema.fields if f.name != "salt"]
-    return placed.groupBy("group").applyInPandas(_pack(window, groups, with_ids), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return placed.groupBy("group").applyInArrow(_pack(window, groups, with_ids), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ SAMPLE_ROWS, LEXICON_WORDS = 20_000, 200
 #: G² that a lexicon word needs; folds of the sample.
 LEAST_G2, FOLDS = 12.0, 4
 THRESHOLD = 0.7
+#: Documents whose features leave a task at once.
+DOCUMENTS = 500
 #: Fixed: second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 #: Fixed: signs that stand for letters.
@@ -113,8 +115,10 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], name: str = "__fea
         lexicon = shared.value
         disguises = Disguises(lexicon)
         for b in batches:
-            got = pa.array([features(t.as_py() or "", lexicon, disguises) for t in b.column(at)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
+            for low in range(0, b.num_rows, DOCUMENTS):
+                part = b.slice(low, DOCUMENTS)
+                got = pa.array([features(t.as_py() or "", lexicon, disguises) for t in part.column(at)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, got], [*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
