@@ -42,6 +42,38 @@ def plain(texts):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+def test_words_and_shingles_are_told_apart_at_once():
+    rng = random.Random(5)
+    letters = ["a", "B", "b", "\0", "\x1c", "\x85", "\xa0", "é", "É", "\u2003", "\U0001f600", "x" * 7, "y" * 8, "z" * 31]
+    blanks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  "]
+    word_of, seen, texts, alone = {}, {}, [], []
+    for i in range(400):
+        n = rng.choice([0, 1, 2, 4, 5, 6, 40])
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 9]))) for _ in range(n)]
+        text = rng.choice(["", *blanks]) + "".join(w + rng.choice(blanks) for w in words)
+        text = text if rng.random() < 0.5 else text.rstrip(" \t\n\x0b\x0c\r")
+        plain = text.encode().lower().split()
+        hashes = partenum.word_hashes(text.encode())[0].tolist()
+        assert len(hashes) == len(plain)
+        for w, h in zip(plain, hashes, strict=True):
+            assert word_of.setdefault(w, h) == h
+        assert len(partenum.shingle_set(text.encode())) == len(shingles(text))
+        texts.append(text.encode())
+        alone.append(partenum.shingle_set(texts[-1]).tobytes())
+        seen.setdefault(frozenset(shingles(text)), set()).add(alone[-1])
+    assert [s.tobytes() for s in partenum.shingle_sets(texts)] == alone
+    assert len(set(word_of.values())) == len(word_of) > 1000 and max(map(len, word_of)) > partenum.LONG
+    assert all(len(s) == 1 for s in seen.values()) and len({next(iter(s)) for s in seen.values()}) == len(seen)
+
+
+def test_a_text_costs_no_call_a_word(monkeypatch):
+    calls = []
+    real = partenum.xxhash.xxh64_intdigest
+    monkeypatch.setattr(partenum.xxhash, "xxh64_intdigest", lambda *a: calls.append(1) or real(*a))
+    text = " ".join(f"w{i}" for i in range(5000)).encode()
+    assert len(partenum.shingle_set(text)) == 4996 and not calls
+
+
 def got(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
 
