@@ -88,21 +88,37 @@ def exposure_guard(trades: DataFrame, keys: list[str], order: list[str], most: f
     return x.withColumn("blocked", F.col("gross") > F.col("limit"))
 
 
-def portfolio_summary(trades: DataFrame, prices: DataFrame, at: int, initial: float = 100_000.0) -> DataFrame:
+def portfolio_summary(trades: DataFrame, prices: DataFrame | None, at: int, initial: float = 100_000.0, order: tuple[str, ...] = ()) -> DataFrame:
     """Per hand at the time ``at``: realised profit so far and of that UTC day, unrealised profit of open trades at the last known
     prices (symbol, c), their gross value at entry prices, equity, and the drawdown from the highest realised equity.
 
-    Trades carry hand, symbol, side, qty, entry_at, entry_price, exit_at and net_pnl; a trade entered by ``at`` and not ended then is open."""
-    x = trades.where(F.col("entry_at") <= at).join(prices.select("symbol", F.col("c").alias("__c")), "symbol", "left")
+    Trades carry hand, symbol, side, qty, entry_at, entry_price, exit_at and net_pnl; a trade entered by ``at`` and not ended then is open.
+    Without ``prices`` a symbol's price is that of its last entry by ``at``, the last of them by ``order`` and hand. All but the drawdown
+    is made of sums by hand and symbol, so trades are read once for prices and figures: open trades meet a price as net quantity and cost.
+    Profits are summed in the type that net_pnl has: as decimals their sums don't depend on the order of rows."""
+    x = trades.where(F.col("entry_at") <= at)
     opened, qty = F.col("exit_at") > at, F.col("qty").cast("double")
-    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    signed = F.when(F.col("side") == "long", qty).otherwise(-qty)
     today = F.floor(F.col("exit_at") / DAY) == F.floor(F.lit(at) / DAY)
     none = lambda c: F.coalesce(c, F.lit(0.0))
-    g = x.groupBy("hand").agg(
-        F.count_if(opened).alias("open"), none(F.sum(F.when(opened, qty * F.col("entry_price")))).alias("gross"), none(F.sum(F.when(~opened, F.col("net_pnl").cast("double")))).alias("realised"),
-        none(F.sum(F.when(~opened & today, F.col("net_pnl").cast("double")))).alias("day_pnl"), none(F.sum(F.when(opened, sign * qty * (F.col("__c") - F.col("entry_price"))))).alias("unrealised"),
+    total = lambda when, value, name: F.sum(F.when(when, value)).alias(name)
+    net, known = F.col("net_pnl"), opened & F.col("entry_price").isNotNull()
+    sums = [
+        F.count_if(opened).alias("open"), total(opened, qty * F.col("entry_price"), "gross"), total(~opened, net, "realised"), total(~opened & today, net, "day_pnl"),
+        total(known, signed, "__q"), total(opened, signed * F.col("entry_price"), "__cost"),
+    ]
+    if prices is None:
+        last = F.struct("entry_at", *order, "hand")
+        held = x.groupBy("hand", "symbol").agg(*sums, F.max(F.struct(last.alias("at"), F.col("entry_price").alias("c"))).alias("__last"))
+        # A window over the sums, not a join with them: each side of a join would ask for other columns and read the trades again.
+        held = held.withColumn("__c", F.when(F.col("symbol").isNotNull(), F.max("__last").over(Window.partitionBy("symbol"))["c"]))
+    else:
+        held = x.groupBy("hand", "symbol").agg(*sums).join(prices.select("symbol", F.col("c").alias("__c")), "symbol", "left")
+    g = held.groupBy("hand").agg(
+        F.sum("open").alias("open"), none(F.sum("gross")).alias("gross"), none(F.sum("realised").cast("double")).alias("realised"), none(F.sum("day_pnl").cast("double")).alias("day_pnl"),
+        none(F.sum(F.col("__c") * F.col("__q") - F.col("__cost"))).alias("unrealised"),
     )
-    daily = x.where(~opened).groupBy("hand", F.floor(F.col("exit_at") / DAY).alias("day")).agg(F.sum(F.col("net_pnl").cast("double")).alias("d"))
+    daily = x.where(~opened).groupBy("hand", F.floor(F.col("exit_at") / DAY).alias("day")).agg(F.sum(net.cast("double")).alias("d"))
     top = daily.withColumn("e", F.sum("d").over(Window.partitionBy("hand").orderBy("day"))).groupBy("hand").agg(F.max("e").alias("top"))
     e = F.col("realised") + F.col("unrealised") + initial
     peak = F.greatest(F.lit(initial), none(F.col("top")) + initial, e)

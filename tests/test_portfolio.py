@@ -59,6 +59,26 @@ def test_exposure_and_guard(spark):
     assert {x[3] for x in got.values()} == {True, False}
 
 
+def test_summary_reads_trades_once(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("xyz"), rng.choice(["A", "B", None]), rng.choice(["long", "short"]), float(rng.randint(1, 9)), i, rng.randrange(60) * H, rng.choice([None, 50.0, 70.0]), rng.randrange(60, 200) * H, rng.randint(-99, 99) / 8) for i in range(300)]
+    spark.createDataFrame(rows, "hand string, symbol string, side string, qty double, trade long, entry_at long, entry_price double, exit_at long, net_pnl double").write.parquet(str(tmp_path / "t"))
+    df, at = spark.read.parquet(str(tmp_path / "t")), 100 * H
+    made = portfolio.portfolio_summary(df, None, at, order=("trade",))
+    assert scans(made.drop("drawdown")) == 1
+    last = {s: max((r for r in rows if r[1] == s and r[5] <= at), key=lambda r: (r[5], r[4]))[6] for s in "AB"}
+    given = portfolio.portfolio_summary(df, spark.createDataFrame(list(last.items()), "symbol string, c double"), at)
+    got = {r["hand"]: r for r in made.collect()}
+    assert got.keys() == set("xyz")
+    for other in given.collect():
+        hand, own = other["hand"], [r for r in rows if r[0] == other["hand"] and r[5] <= at]
+        held = [r for r in own if r[7] > at]
+        gain = sum((1 if r[2] == "long" else -1) * r[3] * (last[r[1]] - r[6]) for r in held if r[1] and r[6] and last[r[1]])
+        want = (len(held), sum(r[3] * r[6] for r in held if r[6]), sum(r[8] for r in own if r[7] <= at), gain)
+        for r in (got[hand], other):
+            assert (r["open"], r["gross"], r["realised"], r["unrealised"]) == pytest.approx(want) and r["equity"] == pytest.approx(100_000 + want[2] + gain)
+
+
 def test_payloads(spark):
     good = '{"symbol":"X","side":"SHORT","qty":2,"entryPrice":10,"exitPrice":8,"entryTime":1,"exitTime":5,"commission":0.5,"more":[1]}'
     rows = [
