@@ -1,9 +1,11 @@
 """The n-gram Jaccard join against all pairs."""
 
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,58 @@ def test_odd_rows(odd, none):
     assert partenum.jaccard_groups(none).count() == 0
     named = odd.selectExpr("concat('d', lpad(doc_id, 3, '0')) AS doc_id", "text", "n_chars AS node", "h AS label")
     assert got(partenum.jaccard_groups(named))["d008"] == (3, "d007")
+
+
+def test_buckets_of_the_same_few_sets_leave_once():
+    few, wide, marked = [7, 3, 9], list(range(20, 29)), [3, 7]
+    rows = [(s, r) for s in range(50) for r in few] + [(60, r) for r in wide + wide[:2]] + [(61, r) for r in [*marked, partenum._SUMMARY]] + [(62, 5)]
+    sig, ref = np.array([r[0] for r in rows], np.uint64) << np.uint64(1), np.array([r[1] for r in rows], np.uint32)
+    table = pa.table([pa.array([sig.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()]), pa.array([ref.tobytes()])], ["sig", "ref"])
+    out = partenum._shared((pa.scalar(0),), table, 8).to_pylist()
+    assert [np.frombuffer(r["few"], np.uint32).tolist() for r in out if r["few"]] == [[3, 7, 9]]
+    assert sorted((r["sig"] // 2, r["ref"], r["whole"]) for r in out if not r["few"]) == [(60, r, True) for r in wide] + [(61, r, False) for r in marked]
+    pairs = pa.Table.from_batches(partenum._pairs_of(iter([pa.RecordBatch.from_arrays([pa.array([r["few"] for r in out if r["few"]])], ["few"])])))
+    assert [tuple(r.values()) for r in pairs.to_pylist()] == [(3, 7), (3, 9), (7, 9)]
+    below = partenum._shared((pa.scalar(-1),), table, 8).to_pylist()  # all are shared with rows elsewhere
+    assert not any(r["few"] or r["whole"] for r in below) and len(below) == 150 + 9 + 2 + 1
+
+
+def tile(rows):
+    """What ``_near_tiles`` makes of rows (sig, p, q, side, node, c, n, sketch) in batches of 7."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    table = pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["sig", "p", "q", "side", "node", "c", "n", "sketch"])
+    return [tuple(r.values()) for b in partenum._near_tiles(iter(table.to_batches(7))) for r in b.to_pylist()]
+
+
+def test_sets_that_share_many_buckets_meet_once(spark):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(6):  # families of five that share 95 of 100 elements
+        base = rng.integers(0, 1 << 63, 105, dtype=np.uint64)
+        sets += [np.unique(np.delete(base, np.arange(k, k + 5))) for k in range(0, 25, 5)]
+    row = lambda sig, i, side=0: (sig, 0, int(side > 0 or sig > 90), side, 10 * i, i, len(sets[i]), partenum.sketch_of(sets[i]).tolist())
+    rows = [row(sig, i) for sig in range(80) for i in range(30) if (i * 7 + sig) % 10]
+    rows += [row(95, i, int(i % 5 == 4)) for i in range(30)]  # two sides: the last of each family meets the others
+    out = set(tile(rows))
+    near = {(a, b) for a in range(30) for b in range(a) if a // 5 == b // 5}
+    joined = {frozenset((r[0] // 10, r[1] // 10)) for r in out}
+    assert {r[0] // 10 for r in out} == set(range(30)) and all(a // 5 == b // 5 for a, *b in map(sorted, joined) for b in b)
+    got = partenum._families(spark.createDataFrame(sorted(out), "node long, anchor long, c long, n long")).collect()  # of 2 190 rows in buckets
+    assert sorted((r["th"], r["c"], r["size"]) for r in got) == [(10 * i, i, len(s)) for i, s in enumerate(sets)]
+    key = {r["th"] // 10: r["key"] for r in got}
+    assert all(key[a] == key[b] for a, b in near) and len(set(key.values())) == 6
+
+
+def test_shuffle_files_go_as_soon_as_they_are_read(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    docs = {i: " ".join(changed(rng, base if i % 2 else base[::-1], i % 5)) for i in range(60)}
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.split("_")[1] for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    kept = spark.conf.get(key)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    out = partenum.jaccard_groups(df)
+    # A stage that a plan turned out not to need may end after it and leave its own.
+    assert len(files() - before) <= 3 and spark.conf.get(key) == kept
+    assert got(out) == plain(docs)
